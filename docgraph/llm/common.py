@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -96,9 +97,9 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     return out
 
 
-def prefers(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns, so that extra columns of any name never clash."""
-    return df.select(*[df[c] for c in columns])
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """schema and the columns that ddl names."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

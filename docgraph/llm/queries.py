@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts, url_filters
+from . import decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_mixing": mixing.op2_mixing,
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_quality": quality.op6_quality,
+    "op7_pii": pii.op7_pii,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.OP1_SQL,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, shared_dir, written
+from .common import WORD_PATTERN, shared_dir, with_fields, written
 
 #: Pieces as a pre-tokenizer cuts them: letter runs, digit runs, other non-space characters one by one.
 PIECE_PATTERN = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
@@ -27,7 +27,7 @@ def counted(df: DataFrame, text_col: str, versions: list[str]) -> DataFrame:
 
 def bpe_counted(df: DataFrame, text_col: str, ranks_path: str, pattern: str, version: str) -> DataFrame:
     """As counted() for a byte-pair vocabulary of ranks (base64 token and rank a line) at ranks_path on every executor."""
-    schema = df.schema.add("tokenizer", "string").add("n_tokens", "long")
+    schema = with_fields(df.schema, "tokenizer string, n_tokens long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
