@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, token_counts, toxicity, url_filters
+from . import decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {

@@ -268,11 +268,15 @@ def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", mo
     return Model(terms, idf, pairs, got["y"].to_numpy(dtype=np.int64), got["doc_id"].to_numpy(dtype=np.int64), k)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with score, predicted (score >= threshold) and evidence (ids of the nearest examples). Null texts are empty."""
+def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with score, predicted (score >= threshold) and evidence (ids of the nearest examples), each name after prefix.
+
+    Null texts are empty and get the prior, as do texts without telling terms. Repeated rows are scored alike. All other
+    columns stay; one that has an added name is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = ["score", "predicted", "evidence"]
-    schema = with_fields(docs.drop(*added).schema, "score double, predicted int, evidence array<long>")
+    added = [prefix + x for x in ("score", "predicted", "evidence")]
+    schema = with_fields(docs.drop(*added).schema, "`{}` double, `{}` int, `{}` array<long>".format(*added))
     kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
