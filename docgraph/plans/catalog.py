@@ -2,5 +2,758 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docgraph.functions import ids, text
+from docgraph.operators import answers, bm25, corpus, evaluate, extract, graph, report, retrieve, units, validate
+
+from . import sql
+from .binding import Corpus, corpus_of, raw, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a query; with its SQL, if there is one."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return fn
+
+    return add
+
+
+# Text functions
+
+
+@query("f1_normalize_ws", r"SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS h FROM documents")
+def f1(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.normalize_ws("text"), 256).alias("h"))
+
+
+@query("f2_match_key", f"SELECT conv_id, turn, {sql.KEY.format('text')} AS k FROM conversations")
+def f2(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.match_key("text").alias("k"))
+
+
+@query("f3_f4_ids", f"SELECT page_id, sha256(url) AS content, {sql.ident('s', sql.j('url'))} AS source_id, {sql.ident('u', sql.j('url'), 'page_id::VARCHAR')} AS unit_id FROM pages")
+def f3(spark, sf):
+    url = F.col("url")
+    return table(spark, sf, "pages").select("page_id", text.content_hash("url").alias("content"), ids.source_id(url).alias("source_id"), ids.unit_id(url, F.col("page_id")).alias("unit_id"))
+
+
+@query("f5_terms", f"SELECT doc_id, len(t) AS n_terms, sha256(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, {sql.terms('text')} AS t FROM documents)")
+def f5(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.terms("text").alias("t")).select("doc_id", F.size("t").cast("long").alias("n_terms"), F.sha2(F.array_join("t", " "), 256).alias("h"))
+
+
+@query("f6_char_grams", f"SELECT item_id, list_sort(list_distinct(list_transform(range(1, length(k)), lambda i: substr(k, i, 2)))) AS grams FROM (SELECT item_id, {sql.KEY.format('text')} AS k FROM benchmark)")
+def f6(spark, sf):
+    keyed = table(spark, sf, "benchmark").select("item_id", text.match_key("text").alias("k"))
+    return keyed.select("item_id", F.array_sort(text.char_grams("k", 2)).alias("grams"))
+
+
+@query("f7_f8_titles_dates", sql.query("SELECT document_id, title, date_mentions, len(date_mentions) AS n_dates FROM docs", *sql.CORPUS))
+def f7(spark, sf):
+    return corpus_of(spark, sf).documents.select("document_id", "title", "date_mentions", F.size("date_mentions").cast("long").alias("n_dates"))
+
+
+@query("f12_strip_tags", r"SELECT page_id, length(t) AS n, sha256(t) AS h FROM (SELECT page_id, regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g') AS t FROM pages)")
+def f12(spark, sf):
+    t = text.strip_tags("html", unescape=False)
+    return table(spark, sf, "pages").select("page_id", t.alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("h"))
+
+
+@query("f14_clean_citations", r"SELECT conv_id, turn, list_transform(string_split('[' || text || ']', '.'), lambda x: trim(regexp_replace(trim(x), '^\[|\]$', '', 'g'))) AS c FROM conversations")
+def f14(spark, sf):
+    parts = F.split(F.concat(F.lit("["), "text", F.lit("]")), r"\.", -1)
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.clean_citations(parts).alias("c"))
+
+
+@query("f15_key_contains", f"SELECT item_id, source FROM benchmark, (SELECT DISTINCT source FROM documents) WHERE contains({sql.KEY.format(chr(39) + 'src' + chr(39) + ' || (item_id % 20) || text')}, {sql.KEY.format('source')})")
+def f15(spark, sf):
+    sources = table(spark, sf, "documents").select("source").distinct()
+    b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20, "text").alias("q"))
+    return b.join(sources, text.key_contains(F.col("source"), F.col("q"), nfkc=False)).select("item_id", "source")
+
+
+# Tables in markup
+
+HTML = """tab AS (SELECT l_orderkey AS id, '<table><tr><th>order</th><th>line</th><th colspan="2">part</th></tr>' || string_agg('<tr>' || CASE WHEN l_linenumber = first_line THEN '<td rowspan="' || n || '">' || l_orderkey || '</td>' ELSE '' END
+  || '<td>' || l_linenumber || '</td><td>p' || l_partkey || '</td><td>s' || l_suppkey || '</td></tr>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) || '</table>' AS html
+  FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first_line FROM lineitem) GROUP BY l_orderkey)"""
+CELLS = """cells AS (SELECT DISTINCT l_orderkey AS id, 0 AS row_no, ['order', 'line', 'part', 'part'] AS cells FROM lineitem
+  UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT, [l_orderkey::VARCHAR, l_linenumber::VARCHAR, 'p' || l_partkey, 's' || l_suppkey] FROM lineitem)"""
+
+
+def order_tables(spark, sf):
+    """One HTML table per order: the order key spans its lines, the last header cell spans two columns."""
+    li = table(spark, sf, "lineitem")
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    key = F.concat(F.lit('<td rowspan="'), F.size("x"), F.lit('">'), "l_orderkey", F.lit("</td>"))
+    row = lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, key).otherwise(""), F.lit("<td>"), r["l_linenumber"], F.lit("</td><td>p"), r["l_partkey"], F.lit("</td><td>s"), r["l_suppkey"], F.lit("</td></tr>"))
+    body = F.array_join(F.transform("x", row), "")
+    return lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit('<table><tr><th>order</th><th>line</th><th colspan="2">part</th></tr>'), body, F.lit("</table>")).alias("html"))
+
+
+@query("u1_expand_tables", sql.query("SELECT id, row_no, cells FROM cells", CELLS))
+def u1(spark, sf):
+    return units.expand_html_tables(order_tables(spark, sf), "id", "html").select("id", "row_no", "cells")
+
+
+@query("u2_table_row_text", sql.query("SELECT id, row_no, CASE WHEN row_no = 0 THEN 'order | line | part' ELSE '[표 머리글: order | line | part] ' || array_to_string(list_filter(cells, lambda c, i: i = 1 OR c <> cells[greatest(i - 1, 1)]), ' | ') END AS row_text FROM cells", CELLS))
+def u2(spark, sf):
+    return units.expand_html_tables(order_tables(spark, sf), "id", "html").select("id", "row_no", "row_text")
+
+
+# Corpus
+
+
+@query("c1_c2_sources", sql.query("SELECT * FROM src", *sql.CORPUS))
+def c2(spark, sf):
+    return corpus_of(spark, sf).sources
+
+
+@query("c3_products", sql.query("SELECT * FROM prod", *sql.CORPUS))
+def c3(spark, sf):
+    return corpus_of(spark, sf).products
+
+
+@query("c4_document_products", sql.query("SELECT DISTINCT document_id, product_id FROM src", *sql.CORPUS))
+def c4(spark, sf):
+    return corpus_of(spark, sf).document_products
+
+
+@query("d3_documents", sql.query("SELECT document_id, sha256, title, source_count, length(text) AS n_chars FROM docs", *sql.CORPUS))
+def d3(spark, sf):
+    return corpus_of(spark, sf).documents.select("document_id", "sha256", "title", "source_count", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("d4_dataset_fingerprint", sql.query("SELECT sha256('[' || string_agg('[' || to_json(relative_path) || ',' || to_json(sha256) || ']', ',' ORDER BY relative_path) || ']') AS dataset_hash FROM src", *sql.CORPUS))
+def d4(spark, sf):
+    return corpus.dataset_fingerprint(corpus_of(spark, sf).sources)
+
+
+@query("d5_manifest", sql.query("SELECT (SELECT count(*) FROM prod) AS products, (SELECT count(*) FROM src) AS source_documents, (SELECT count(*) FROM docs) AS unique_documents, (SELECT sum(length(text))::BIGINT FROM docs) AS raw_chars, (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM chunks) AS chunks", *sql.CUT))
+def d5(spark, sf):
+    c = corpus_of(spark, sf)
+    return corpus.corpus_manifest(c.sources, c.documents, c.units, c.chunks)
+
+
+@query("d6_source_drift", sql.query("""SELECT coalesce(a.relative_path, b.relative_path) AS relative_path, CASE WHEN a.relative_path IS NULL THEN 'added' WHEN b.relative_path IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM src a FULL JOIN (SELECT CASE WHEN lang = 'es' THEN 'moved/' ELSE '' END || source || '/' || lang || '-' || doc_id || '/document.md' AS relative_path, sha256(text || CASE WHEN lang = 'fr' THEN '!' ELSE '' END) AS sha256 FROM documents WHERE lang <> 'de') b USING (relative_path)
+  WHERE a.sha256 IS DISTINCT FROM b.sha256""", *sql.CORPUS))
+def d6(spark, sf):
+    """Against a later state: German files are gone, French ones changed, Spanish ones moved."""
+    now = raw(spark, sf).withColumn("lang", F.regexp_extract("relative_path", "/([^/-]*)-", 1)).where("lang <> 'de'")
+    later = now.select(F.when(F.col("lang") == "es", F.concat(F.lit("moved/"), "relative_path")).otherwise(F.col("relative_path")).alias("relative_path"), F.sha2(F.when(F.col("lang") == "fr", F.concat("content", F.lit("!"))).otherwise(F.col("content")), 256).alias("sha256"))
+    return corpus.source_drift(corpus_of(spark, sf).sources, later)
+
+
+@query("u3_f9_units", sql.query("SELECT unit_id, document_id, ordinal, text, heading, page FROM units", *sql.CUT))
+def u3(spark, sf):
+    return corpus_of(spark, sf).units.select("unit_id", "document_id", "ordinal", "text", "heading", "page")
+
+
+@query("u4_chunks", sql.query("SELECT chunk_id, document_id, ordinal, unit_ids, pages, headings, sha256(text) AS text_hash FROM chunks", *sql.CUT))
+def u4(spark, sf):
+    return corpus_of(spark, sf).chunks.select("chunk_id", "document_id", "ordinal", "unit_ids", "pages", "headings", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("u5_unit_chunk_map", sql.query("SELECT p.unit_id, c.chunk_id, (p.ordinal - min(p.ordinal) OVER (PARTITION BY c.chunk_id))::INT AS position FROM placed p JOIN chunks c ON c.document_id = p.document_id AND c.ordinal = p.chunk_no", *sql.CUT))
+def u5(spark, sf):
+    return units.unit_chunk_map(corpus_of(spark, sf).chunks)
+
+
+# Extraction
+
+
+@query("e1_unit_aliases", sql.query("SELECT chunk_id, 'U' || n AS alias, unit_ids[n] AS unit_id FROM chunks, unnest(range(1, len(unit_ids) + 1)) AS r(n)", *sql.CUT))
+def e1(spark, sf):
+    return extract.unit_aliases(corpus_of(spark, sf).chunks)
+
+
+@query("e2_requests", sql.query("""SELECT chunk_id, sha256('Read.' || chr(10) || chr(10) || 'Document title: ' || any_value(d.title) || chr(10) || 'Source units:' || chr(10)
+  || string_agg('[U' || (p.ordinal - f + 1) || '] [페이지 1; ' || p.heading || ']' || chr(10) || p.text, chr(10) || chr(10) ORDER BY p.ordinal)) AS prompt_hash
+  FROM (SELECT *, min(ordinal) OVER (PARTITION BY document_id, chunk_no) AS f FROM placed) p JOIN chunks c ON c.document_id = p.document_id AND c.ordinal = p.chunk_no JOIN docs d ON d.document_id = p.document_id GROUP BY chunk_id""", *sql.CUT))
+def e2(spark, sf):
+    c = corpus_of(spark, sf)
+    return extract.extraction_requests(c.chunks, c.units, c.documents, "Read.").select("chunk_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+TURNS = """turns AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role FROM conversations),
+req AS (SELECT conv_id || ':' || turn AS request_id, sha256('chat' || chr(31) || text || chr(31) || 'm' || chr(31) || '{}') AS request_hash, text AS prompt, turn, answer FROM turns WHERE role = 'user'),
+cache AS (SELECT request_hash, min(answer) AS raw_text FROM req WHERE turn = 0 AND answer IS NOT NULL GROUP BY 1)"""
+
+
+def chat(spark, sf):
+    """User turns as requests; first turns that were answered are the cache."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "conversations")
+    t = c.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
+    req = t.select(F.concat("conv_id", F.lit(":"), "turn").alias("request_id"), extract.request_hash(F.col("text"), "chat", "m").alias("request_hash"), F.col("text").alias("prompt"), "turn", "answer")
+    return req, req.where("turn = 0 and answer is not null").select("request_hash", F.col("answer").alias("raw_text"))
+
+
+@query("e3_cache_hits", sql.query("SELECT request_id, request_hash, sha256(raw_text) AS h FROM req JOIN cache USING (request_hash)", TURNS))
+def e3(spark, sf):
+    req, cache = chat(spark, sf)
+    return extract.cache_split(req.select("request_id", "request_hash", "prompt"), cache)[0].select("request_id", "request_hash", F.sha2("raw_text", 256).alias("h"))
+
+
+@query("e3_cache_pending", sql.query("SELECT request_hash, sha256(min(prompt)) AS h FROM req ANTI JOIN cache USING (request_hash) GROUP BY request_hash", TURNS))
+def e3b(spark, sf):
+    req, cache = chat(spark, sf)
+    return extract.cache_split(req.select("request_id", "request_hash", "prompt"), cache)[1].select("request_hash", F.sha2("prompt", 256).alias("h"))
+
+
+ERRORS = """errors AS (SELECT chunk_id, CASE right(chunk_id, 1) WHEN '0' THEN 'bad_type' WHEN '1' THEN 'bad_unit' ELSE 'truncated' END AS reason FROM chunks WHERE right(chunk_id, 1) IN ('0', '1', '2'))"""
+
+
+@query("e4_validation_errors", sql.query("SELECT chunk_id, reason FROM errors", *sql.CUT, ERRORS))
+def e4(spark, sf):
+    return corpus_of(spark, sf).errors
+
+
+@query("e5_e7_facts", sql.query("SELECT fact_id, type, name, sha256(statement) AS statement_hash, [unit_id] AS unit_ids, document_id, chunk_id, fact_pos::INT AS fact_pos FROM fact", *sql.FULL))
+def e5(spark, sf):
+    return corpus_of(spark, sf).facts.select("fact_id", "type", "name", F.sha2("statement", 256).alias("statement_hash"), "unit_ids", "document_id", "chunk_id", "fact_pos")
+
+
+@query("e6_entities", sql.query("SELECT fact_id, chunk_id, fact_pos::INT AS fact_pos, e1 AS organization, e2 AS concept, 2 AS accepted, 1 AS rejected FROM fact", *sql.FULL))
+def e6(spark, sf):
+    e = F.col("entities")
+    return corpus_of(spark, sf).facts.select("fact_id", "chunk_id", "fact_pos", e[0]["name"].alias("organization"), e[1]["name"].alias("concept"), F.size("entities").alias("accepted"), F.size("rejected_entities").alias("rejected"))
+
+
+@query("e8_retry_requests", sql.query("SELECT chunk_id, sha256('P:' || chunk_id || chr(10) || chr(10) || 'The last answer was rejected (' || reason || '). Retry 1.') AS h, 1 AS attempt FROM errors", *sql.CUT, ERRORS))
+def e8(spark, sf):
+    c = corpus_of(spark, sf)
+    requests = c.chunks.select("chunk_id", F.concat(F.lit("P:"), "chunk_id").alias("prompt"))
+    return extract.retry_requests(c.errors, requests, 1).select("chunk_id", F.sha2("prompt", 256).alias("h"), "attempt")
+
+
+@query("e9_extraction_status", sql.query("""SELECT (SELECT count(*) FROM chunks) AS requested_chunks, (SELECT count(*) FROM chunks) - (SELECT count(*) FROM errors) AS completed_chunks, (SELECT count(*) FROM errors) AS failed_chunks,
+  count(*) AS facts, count(DISTINCT unit_id) AS covered_units, (SELECT count(*) FROM units) AS total_units, count(DISTINCT unit_id) / (SELECT count(*) FROM units) AS unit_coverage, count(*) AS rejected_entities, 0::BIGINT AS fallback_successes FROM fact""", *sql.FULL, ERRORS))
+def e9(spark, sf):
+    c = corpus_of(spark, sf)
+    return extract.extraction_status(c.chunks, c.facts, c.errors)
+
+
+@query("e10_merge_fallback", sql.query("SELECT chunk_id, CASE WHEN right(chunk_id, 1) IN ('0', '1', '2') THEN 'alternate' ELSE 'primary' END AS origin, CASE WHEN right(chunk_id, 1) IN ('0', '1', '2') THEN 3 ELSE 0 END AS attempt FROM chunks", *sql.CUT))
+def e10(spark, sf):
+    c = corpus_of(spark, sf)
+    keys = c.chunks.select("chunk_id")
+    primary = keys.join(c.errors, "chunk_id", "left_anti").select("chunk_id", F.lit("primary").alias("origin"), F.lit(0).alias("attempt"))
+    return extract.merge_fallback(primary, keys.select("chunk_id", F.lit("alternate").alias("origin"), F.lit(0).alias("attempt")))
+
+
+# Graph
+
+
+@query("g1_nodes", sql.query("SELECT id, type, name FROM nodes", *sql.FULL))
+def g1(spark, sf):
+    return corpus_of(spark, sf).nodes.select("id", "type", "name")
+
+
+@query("g2_g3_edges", sql.query("SELECT id, source, target, type FROM edges", *sql.FULL))
+def g2(spark, sf):
+    return corpus_of(spark, sf).edges.select("id", "source", "target", "type")
+
+
+@query("g4_entities", sql.query("SELECT entity_id, type, name, count(DISTINCT fact_id) AS n_facts FROM ent GROUP BY ALL", *sql.FULL))
+def g4(spark, sf):
+    f = corpus_of(spark, sf).facts.select("fact_id", F.explode("entities").alias("e"))
+    return f.groupBy(ids.entity_id(F.col("e.type"), F.col("e.name")).alias("entity_id"), "e.type", "e.name").agg(F.countDistinct("fact_id").alias("n_facts"))
+
+
+@query("g5_signature_check", sql.query("SELECT e.id, e.type, s.type AS source_type, t.type AS target_type FROM (SELECT id, source, CASE WHEN type = 'HAS_CHUNK' THEN 'ASSERTS' ELSE type END AS type, target FROM edges) e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.type = 'ASSERTS' AND t.type = 'Chunk'", *sql.FULL))
+def g5(spark, sf):
+    """Edges to chunks renamed to a type that does not allow chunks; exactly these are found."""
+    c = corpus_of(spark, sf)
+    renamed = c.edges.withColumn("type", F.when(F.col("type") == "HAS_CHUNK", "ASSERTS").otherwise(F.col("type")))
+    return graph.check_signatures(c.nodes, renamed)
+
+
+@query("g6_foreign_keys", sql.query("SELECT 'edge_target' AS rule, id FROM edges WHERE type = 'ABOUT_PRODUCT'", *sql.FULL))
+def g6(spark, sf):
+    """Without the product nodes, every edge to a product lacks its end."""
+    c = corpus_of(spark, sf)
+    return graph.check_foreign_keys(c.nodes.where("type <> 'Product'"), c.edges, c.units)
+
+
+@query("g8_graph_counts", sql.query("""SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type
+  UNION ALL SELECT 'total', 'facts', count(DISTINCT fact_id) FROM fact UNION ALL SELECT 'total', 'units', count(*) FROM units""", *sql.FULL))
+def g8(spark, sf):
+    c = corpus_of(spark, sf)
+    return graph.graph_counts(c.nodes, c.edges, c.unique_facts, c.units)
+
+
+@query("g9_traversal", sql.query("SELECT a.source AS document_id, b.source AS fact_id, a.target AS chunk_id FROM edges a JOIN edges b ON a.target = b.target WHERE a.type = 'HAS_CHUNK' AND b.type = 'SUPPORTED_BY'", *sql.FULL))
+def g9(spark, sf):
+    """Forward from documents to chunks, then back to the facts that these support."""
+    c = corpus_of(spark, sf)
+    forward = graph.targets(c.documents.select(F.col("document_id").alias("id")), c.edges, "HAS_CHUNK").select(F.col("id").alias("document_id"), F.col("target").alias("id"))
+    return graph.predecessors(forward, c.edges, "SUPPORTED_BY").select("document_id", F.col("source").alias("fact_id"), F.col("id").alias("chunk_id"))
+
+
+@query("g10_product_facts", sql.query("SELECT DISTINCT product_id, fact_id FROM src JOIN fact USING (document_id)", *sql.FULL))
+def g10(spark, sf):
+    return graph.product_facts(corpus_of(spark, sf).edges)
+
+
+@query("g11_provenance_coverage", sql.query("SELECT count(DISTINCT fact_id) AS facts, count(DISTINCT fact_id) AS supported, 1.0::DOUBLE AS coverage FROM fact", *sql.FULL))
+def g11(spark, sf):
+    c = corpus_of(spark, sf)
+    return graph.provenance_coverage(c.unique_facts, c.edges)
+
+
+def _validated(c: Corpus, **changed: DataFrame) -> DataFrame:
+    frames = {"documents": c.documents, "sources": c.sources, "units": c.units, "chunks": c.chunks, "facts": c.unique_facts, "nodes": c.nodes, "edges": c.edges}
+    return validate.validate_graph(**(frames | changed))
+
+
+@query("x0_valid_graph", sql.query("SELECT 'X0' AS rule, document_id AS id FROM docs WHERE sha256(text) <> sha256", *sql.CORPUS))
+def x0(spark, sf):
+    """No rule finds anything in the graph as built."""
+    return _validated(corpus_of(spark, sf))
+
+
+@query("x1_x3_changed_texts", sql.query("SELECT 'X1' AS rule, document_id AS id FROM docs UNION ALL SELECT 'X2', source_id FROM src WHERE product_name = 'src1' UNION ALL SELECT 'X3', source_id FROM src WHERE product_name <> 'src1'", *sql.CORPUS))
+def x1(spark, sf):
+    """Every recorded hash is replaced, and the sources of one product lose their product."""
+    c = corpus_of(spark, sf)
+    lost = c.sources.where("product_name = 'src1'").select(F.col("source_id").alias("source"), F.lit("ABOUT_PRODUCT").alias("type"))
+    edges = c.edges.join(lost, ["source", "type"], "left_anti").select(*c.edges.columns)
+    return _validated(c, documents=c.documents.withColumn("sha256", F.lit("0")), edges=edges).where("rule in ('X1', 'X2', 'X3')")
+
+
+@query("x5_x6_lost_edges", sql.query("SELECT 'X5' AS rule, entity_id AS id FROM ent GROUP BY 2 UNION ALL SELECT 'X6', fact_id FROM fact GROUP BY 2", *sql.FULL))
+def x5(spark, sf):
+    """Without MENTIONS and SUPPORTED_BY, all entities and facts are found."""
+    c = corpus_of(spark, sf)
+    return _validated(c, edges=c.edges.where("type not in ('MENTIONS', 'SUPPORTED_BY')"))
+
+
+@query("x8_x10_changed_facts", sql.query("SELECT 'X8' AS rule, fact_id AS id FROM fact GROUP BY 2 UNION ALL SELECT 'X10', fact_id FROM fact GROUP BY 2", *sql.FULL))
+def x8(spark, sf):
+    """Statements are changed and facts are said to be of another document."""
+    c = corpus_of(spark, sf)
+    facts = c.unique_facts.withColumn("statement", F.concat("statement", F.lit("!"))).withColumn("document_id", F.lit("d_other"))
+    return _validated(c, facts=facts)
+
+
+@query("x4_x7_x9_x12_lost_units", sql.query("""SELECT DISTINCT rule, id FROM (SELECT 'X4' AS rule, chunk_id AS id FROM placed p JOIN chunks c ON c.document_id = p.document_id AND c.ordinal = p.chunk_no WHERE p.ordinal = 0
+  UNION ALL SELECT 'X7', fact_id FROM fact JOIN placed p USING (unit_id) WHERE p.ordinal = 0)""", *sql.FULL))
+def x4(spark, sf):
+    """The first unit of every document is gone: its chunk and its fact are found."""
+    c = corpus_of(spark, sf)
+    return _validated(c, units=c.units.where("ordinal > 0"))
+
+
+@query("x11_x13_changed_order", sql.query("SELECT 'X11' AS rule, id FROM edges WHERE type = 'NEXT_CHUNK' UNION ALL SELECT 'X13', unit_id FROM units", *sql.FULL))
+def x11(spark, sf):
+    """Chunk ordinals are doubled and raw spans turned round."""
+    c = corpus_of(spark, sf)
+    turned = c.units.withColumn("raw_start", F.col("raw_end"))
+    return _validated(c, units=turned, chunks=c.chunks.withColumn("ordinal", F.col("ordinal") * 2))
+
+
+# Retrieval
+
+CHUNK_TEXTS = "SELECT chunk_id AS id, array_to_string(headings, ' ') || ' ' || text AS text FROM chunks"
+TOP = sql.query("SELECT question_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 10", *sql.CUT, sql.bm25("bm", CHUNK_TEXTS, "SELECT item_id AS question_id, text AS question FROM benchmark"))
+
+
+@query("r4_top_chunks", TOP)
+def r4(spark, sf):
+    """Top ten chunks for each benchmark question, over the whole corpus."""
+    c = corpus_of(spark, sf)
+    texts = c.chunks.select(F.col("chunk_id").alias("id"), F.concat(F.array_join("headings", " "), F.lit(" "), "text").alias("text"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    best = retrieve.rank_candidates(bm25.bm25_scores(texts, asked, top=10)).where("rank <= 10")
+    return best.select("question_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("r0_bm25_index", sql.query(f"SELECT count(*) AS postings, sum(tf)::BIGINT AS total, max(tf) AS most, (SELECT round(avg(len(t)), 6) FROM (SELECT {sql.terms('text')} AS t FROM docs)) AS avg_length FROM (SELECT document_id, term, count(*) AS tf FROM (SELECT document_id, unnest({sql.terms('text')}) AS term FROM docs) GROUP BY ALL)", *sql.CORPUS))
+def r0(spark, sf):
+    postings, _, stats = bm25.bm25_index(corpus_of(spark, sf).documents, "document_id")
+    return postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("total"), F.max("tf").alias("most")).crossJoin(stats.select(F.round("avg_length", 6).alias("avg_length")))
+
+
+ASKED = f"asked AS ({sql.ASKED})"
+MATCH = f"""hit AS (SELECT question_id, product_id, name, ordinal, {sql.KEY.format('name')} AS pk FROM asked JOIN prod ON contains({sql.KEY.format('question')}, {sql.KEY.format('name')})),
+match AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n_matches FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.question_id = h.question_id AND o.product_id <> h.product_id AND contains(o.pk, h.pk))),
+scope AS (SELECT DISTINCT question_id, document_id FROM match JOIN src USING (product_id) UNION SELECT question_id, document_id FROM (SELECT question_id FROM asked WHERE question_id NOT IN (SELECT question_id FROM match)), docs)"""
+
+
+@query("r1_r2_product_matches", sql.query("SELECT question_id, product_id, name, ordinal, n_matches FROM match", *sql.CORPUS, ASKED, MATCH))
+def r1(spark, sf):
+    c = corpus_of(spark, sf)
+    return retrieve.match_products(c.questions, c.products, nfkc=False)
+
+
+@query("r3_question_scope", sql.query("SELECT question_id, document_id FROM scope", *sql.CORPUS, ASKED, MATCH))
+def r3(spark, sf):
+    c = corpus_of(spark, sf)
+    return retrieve.question_scope(c.questions, retrieve.match_products(c.questions, c.products, nfkc=False), c.document_products, c.documents)
+
+
+UFACT = "uf AS (SELECT fact_id, arg_max(name, chunk_id || fact_pos) AS name, any_value(statement) AS statement, any_value(document_id) AS document_id, any_value(type) AS type, max(chunk_id) AS chunk_id FROM fact GROUP BY fact_id)"
+SCORES = (
+    sql.bm25("fs0", "SELECT fact_id AS id, name || ' ' || statement AS text FROM uf", "SELECT * FROM asked"),
+    sql.bm25("cs0", CHUNK_TEXTS, "SELECT * FROM asked"),
+    "fs AS (SELECT s.question_id, s.id, s.score, u.document_id FROM fs0 s JOIN uf u ON u.fact_id = s.id JOIN scope USING (question_id, document_id))",
+    "cs AS (SELECT s.question_id, s.id, s.score, c.document_id FROM cs0 s JOIN chunks c ON c.chunk_id = s.id JOIN scope USING (question_id, document_id))",
+    "rf AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM fs)",
+    "rc AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM cs)",
+)
+
+
+def quota(name: str, ranked: str, least: int, most: int, budget: int) -> str:
+    return f"""{name}_own AS (SELECT r.question_id, r.id, m.ordinal, r.rank, row_number() OVER (PARTITION BY r.question_id, m.product_id ORDER BY r.rank) AS n, greatest({least}, least({most}, {budget} // m.n_matches)) AS quota
+  FROM {ranked} r JOIN (SELECT DISTINCT document_id, product_id FROM src) s USING (document_id) JOIN match m ON m.question_id = r.question_id AND m.product_id = s.product_id),
+{name} AS (SELECT * FROM (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY a, b, c) AS pos FROM (
+  SELECT question_id, id, min(k).a AS a, min(k).b AS b, min(k).c AS c FROM (
+    SELECT question_id, id, {{'a': 0, 'b': ordinal, 'c': rank}} AS k FROM {name}_own WHERE n <= quota UNION ALL SELECT question_id, id, {{'a': 1, 'b': 0, 'c': rank}} FROM {ranked}) GROUP BY ALL)) WHERE pos <= {budget})"""
+
+
+RETRIEVAL = (
+    *SCORES,
+    quota("sf", "rf", 2, 8, 28),
+    """mention AS (SELECT DISTINCT fact_id AS id, entity_id FROM ent), seed AS (SELECT question_id, entity_id, min(pos) AS seed FROM sf JOIN mention USING (id) WHERE pos <= 8 GROUP BY ALL),
+hop AS (SELECT question_id, id, base + n AS pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seed, id) AS n FROM (
+    SELECT s.question_id, s.id, max(s.score) AS score, min(d.seed) AS seed FROM fs s JOIN mention m USING (id) JOIN seed d ON d.question_id = s.question_id AND d.entity_id = m.entity_id GROUP BY ALL)
+  ANTI JOIN sf USING (question_id, id)) JOIN (SELECT question_id, max(pos) AS base FROM sf GROUP BY 1) USING (question_id) WHERE n <= 4),
+hf AS (SELECT question_id, id, pos FROM sf UNION ALL SELECT * FROM hop),
+supp AS (SELECT DISTINCT fact_id AS fact, chunk_id AS chunk FROM uf),
+fused AS (SELECT x.*, c.document_id, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, id) AS rank FROM (SELECT question_id, id, round(sum(x), 9) AS fused FROM (
+  SELECT question_id, chunk AS id, 1 / (19.0::DOUBLE + pos) AS x FROM hf JOIN supp ON supp.fact = hf.id UNION ALL SELECT question_id, id, 0.8::DOUBLE / (19.0::DOUBLE + rank) FROM rc WHERE rank <= 30) GROUP BY ALL) x JOIN chunks c ON c.chunk_id = x.id)""",
+    quota("sc", "fused", 1, 3, 10),
+    """nextc AS (SELECT source, target FROM edges WHERE type = 'NEXT_CHUNK'),
+allc AS (SELECT question_id, id, pos FROM sc UNION ALL SELECT * FROM (SELECT question_id, id, base + row_number() OVER (PARTITION BY question_id ORDER BY k) AS pos FROM (
+    SELECT question_id, other AS id, min({'pos': pos, 'd': d}) AS k FROM (SELECT question_id, target AS other, pos, 0 AS d FROM sc JOIN nextc ON source = id UNION ALL SELECT question_id, source, pos, 1 FROM sc JOIN nextc ON target = id) GROUP BY ALL)
+  ANTI JOIN sc USING (question_id, id) JOIN (SELECT question_id, max(pos) AS base FROM sc GROUP BY 1) USING (question_id)) WHERE pos <= 13),
+bestf AS (SELECT * FROM (SELECT a.question_id, a.pos AS cpos, s.fact AS id, row_number() OVER (PARTITION BY a.question_id, s.chunk ORDER BY coalesce(f.score, 0) DESC, s.fact) AS n
+  FROM allc a JOIN supp s ON s.chunk = a.id LEFT JOIN fs f ON f.question_id = a.question_id AND f.id = s.fact) WHERE n <= 3),
+allf AS (SELECT * FROM (SELECT question_id, id, pos FROM hf UNION ALL SELECT question_id, id, coalesce(base, 0) + row_number() OVER (PARTITION BY question_id ORDER BY k) AS pos FROM (
+    SELECT question_id, id, min({'cpos': cpos, 'n': n}) AS k FROM bestf GROUP BY ALL) ANTI JOIN hf USING (question_id, id) LEFT JOIN (SELECT question_id, max(pos) AS base FROM hf GROUP BY 1) USING (question_id)) WHERE pos <= 40)""",
+)
+
+
+def frames(spark, sf) -> dict[str, DataFrame]:
+    c = corpus_of(spark, sf)
+    return retrieve.retrieval_frames(c.questions, c.documents, c.products, c.document_products, c.chunks, c.unique_facts, nfkc=False)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.select("question_id", "id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("r0b_fact_scores", sql.query("SELECT question_id, id, round(score, 6) AS score FROM fs", *sql.FULL, ASKED, MATCH, UFACT, *SCORES))
+def r0b(spark, sf):
+    return frames(spark, sf)["fact_scores"].select("question_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("r5_r6_selected_facts", sql.query("SELECT question_id, id, pos FROM sf", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
+def r6(spark, sf):
+    return _placed(frames(spark, sf)["first_facts"])
+
+
+@query("r7_entity_hop", sql.query("SELECT question_id, id, pos FROM hop", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
+def r7(spark, sf):
+    return _placed(frames(spark, sf)["hop"])
+
+
+@query("r8_fused_chunks", sql.query("SELECT question_id, id, round(fused, 6) AS fused, rank FROM fused", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
+def r8(spark, sf):
+    return frames(spark, sf)["fused"].select("question_id", "id", F.round("fused", 6).alias("fused"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("r9_selected_chunks", sql.query("SELECT question_id, id, pos FROM sc", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
+def r9(spark, sf):
+    return _placed(frames(spark, sf)["first_chunks"])
+
+
+@query("r10_adjacent_chunks", sql.query("SELECT question_id, id, pos FROM allc", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
+def r10(spark, sf):
+    return _placed(frames(spark, sf)["chunks"])
+
+
+@query("r11_supported_facts", sql.query("SELECT question_id, id, pos FROM allf", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
+def r11(spark, sf):
+    return _placed(frames(spark, sf)["facts"])
+
+
+LABEL = "CASE WHEN count(*) <= 4 THEN string_agg(name, ', ' ORDER BY product_id) ELSE '공통 약관 (' || count(*) || '개 상품 연결)' END"
+PACK = (
+    f"label AS (SELECT document_id, {LABEL} AS scope FROM (SELECT DISTINCT document_id, product_id FROM src) JOIN prod USING (product_id) GROUP BY document_id)",
+    """line AS (SELECT a.question_id, a.id, a.pos, length(u.statement) > 650 AS truncated, '[F:' || a.id || '] ' || u.type || ': ' || u.name || '; 상품 범위: ' || l.scope || '; 근거: ' || p.proof || chr(10) || substr(u.statement, 1, 650)
+    || CASE WHEN length(u.statement) > 650 THEN ' [이하 생략: 연결된 원문 청크에서 전체 조건 확인]' ELSE '' END AS line
+  FROM allf a JOIN uf u ON u.fact_id = a.id JOIN label l USING (document_id) JOIN (SELECT fact, string_agg('C:' || chunk, ',' ORDER BY chunk) AS proof FROM supp GROUP BY fact) p ON p.fact = a.id),
+keptf AS (SELECT * FROM (SELECT *, 13 + sum(length(line)) OVER (PARTITION BY question_id ORDER BY pos) AS total FROM line) WHERE total <= 27000 * 0.32)""",
+    """blk AS (SELECT a.question_id, a.id, a.pos, c.document_id, length('[C:' || a.id || '] 문서: ' || d.title || '; 상품: ' || l.scope || '; 페이지: [1]' || chr(10) || c.text) AS n
+  FROM allc a JOIN chunks c ON c.chunk_id = a.id JOIN docs d USING (document_id) JOIN label l USING (document_id)),
+seqb AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS k FROM blk),
+spent AS (SELECT question_id, coalesce(max(total), 13) AS used FROM asked LEFT JOIN keptf USING (question_id) GROUP BY question_id),
+walk AS (SELECT question_id, 0::BIGINT AS k, used::BIGINT AS used, false AS taken FROM spent UNION ALL SELECT w.question_id, s.k, CASE WHEN w.used + s.n <= 27000 THEN w.used + s.n ELSE w.used END, w.used + s.n <= 27000 FROM walk w JOIN seqb s ON s.question_id = w.question_id AND s.k = w.k + 1),
+keptc AS (SELECT s.* FROM walk w JOIN seqb s USING (question_id, k) WHERE taken)""",
+)
+
+
+@query("r12_scope_labels", sql.query("SELECT document_id, scope FROM label", *sql.CORPUS, PACK[0]))
+def r12(spark, sf):
+    c = corpus_of(spark, sf)
+    return retrieve.scope_label(c.document_products, c.products)
+
+
+@query("r13_r14_fact_budget", sql.query("SELECT question_id, id, pos, truncated, sha256(line) AS line_hash, total::BIGINT AS total FROM keptf", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL, *PACK))
+def r14(spark, sf):
+    c = corpus_of(spark, sf)
+    fr = frames(spark, sf)
+    lines = retrieve.fact_lines(fr["facts"], c.unique_facts, fr["support"], retrieve.scope_label(c.document_products, c.products))
+    kept = retrieve.pack_prefix(lines, 27_000 * 0.32, len(retrieve.FACTS_HEAD))
+    return kept.select("question_id", "id", F.col("pos").cast("long").alias("pos"), "truncated", F.sha2("line", 256).alias("line_hash"), "total")
+
+
+@query("r15_r17_traces", sql.query("""SELECT a.question_id, coalesce(f.fact_ids, []) AS fact_ids, coalesce(c.chunk_ids, []) AS chunk_ids, coalesce(c.document_ids, []) AS document_ids, coalesce(b.before_budget, []) AS before_budget
+  FROM asked a LEFT JOIN (SELECT question_id, list(id ORDER BY pos) AS fact_ids FROM keptf GROUP BY 1) f USING (question_id)
+  LEFT JOIN (SELECT question_id, list(id ORDER BY pos) AS chunk_ids, list_sort(list(DISTINCT document_id)) AS document_ids FROM keptc GROUP BY 1) c USING (question_id)
+  LEFT JOIN (SELECT question_id, list(id ORDER BY pos) AS before_budget FROM allc GROUP BY 1) b USING (question_id)""", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL, *PACK))
+def r17(spark, sf):
+    return traces(spark, sf).select("question_id", "fact_ids", "chunk_ids", "document_ids", F.col("selected_chunk_ids_before_budget").alias("before_budget"))
+
+
+def traces(spark, sf) -> DataFrame:
+    c = corpus_of(spark, sf)
+    return retrieve.retrieve(c.questions, c.documents, c.products, c.document_products, c.chunks, c.unique_facts, nfkc=False)
+
+
+@query("r16_contexts")
+def r16(spark, sf):
+    """Context texts and citation maps of all questions."""
+    return traces(spark, sf).select("question_id", "context_chars", F.sha2("context", 256).alias("context_hash"), F.size("citation_map").alias("citations"))
+
+
+# Answers
+
+
+@query("q1_questions", "SELECT item_id AS id, text AS question FROM benchmark")
+def q1(spark, sf):
+    gold = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("secret").alias("answer"))
+    q = answers.project_questions(gold)
+    answers.assert_question_schema(q)
+    return q
+
+
+REPLY = """reply AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 7 = 6 THEN ' ' ELSE text END AS answer,
+  CASE WHEN turn % 5 = 0 THEN [] WHEN turn % 5 = 1 THEN ['[C:1]', ' F:1 ', 'C:1'] ELSE ['C:' || (turn % 4 + 1)] END AS citations, CASE WHEN turn % 3 = 0 THEN true WHEN turn % 3 = 1 THEN false END AS flag FROM conversations),
+judged AS (SELECT *, list_transform(citations, lambda x: trim(regexp_replace(trim(x), '^\\[|\\]$', '', 'g'))) AS cleaned FROM reply),
+verdict AS (SELECT *, CASE WHEN trim(answer) = '' THEN 'blank answer' WHEN list_contains(cleaned, 'C:4') THEN 'unknown citation' WHEN len(cleaned) = 0 AND NOT coalesce(flag, false) THEN 'no citation' END AS problem,
+  list_transform(list_filter(cleaned, lambda x, i: list_position(cleaned, x) = i), lambda x: CASE x WHEN 'F:1' THEN 'F:f_1' WHEN 'C:1' THEN 'C:c_1' WHEN 'C:2' THEN 'C:c_2' WHEN 'C:3' THEN 'C:c_3' END) AS canonical FROM judged)"""
+
+
+def replies(spark, sf):
+    """Turns as answers, with citations by the turn's number; every question has the same citation map."""
+    c = table(spark, sf, "conversations")
+    t = F.col("turn")
+    cited = F.when(t % 5 == 0, F.array().cast("array<string>")).when(t % 5 == 1, F.array(F.lit("[C:1]"), F.lit(" F:1 "), F.lit("C:1"))).otherwise(F.array(F.concat(F.lit("C:"), t % 4 + 1)))
+    r = c.select((F.col("conv_id") * 1000 + t).alias("id"), F.when(t % 7 == 6, " ").otherwise(F.col("text")).alias("answer"), cited.alias("citations"), F.when(t % 3 == 0, True).when(t % 3 == 1, False).alias("insufficient_evidence"))
+    maps = r.select("id", F.create_map(*[F.lit(x) for x in ("F:1", "F:f_1", "C:1", "C:c_1", "C:2", "C:c_2", "C:3", "C:c_3")]).alias("citation_map"))
+    return r, maps
+
+
+@query("q2_answer_errors", sql.query("SELECT id, problem FROM verdict WHERE problem IS NOT NULL", REPLY))
+def q2(spark, sf):
+    return answers.validate_answers(*replies(spark, sf))[1]
+
+
+@query("q3_q4_answer_table", sql.query("SELECT id, CASE WHEN problem IS NULL THEN trim(answer) ELSE '' END AS answer, CASE WHEN problem IS NULL THEN canonical ELSE [] END AS citations, CASE WHEN problem IS NULL THEN flag ELSE true END AS insufficient_evidence, problem AS generation_error, 1 AS graph_fact_count, 3 AS source_chunk_count FROM verdict", REPLY))
+def q4(spark, sf):
+    r, maps = replies(spark, sf)
+    good, errors = answers.validate_answers(r, maps)
+    counts = r.select("id", F.lit(1).alias("graph_fact_count"), F.lit(3).alias("source_chunk_count"))
+    return answers.answer_table(r.select("id", F.lit("q").alias("question")), good, errors, counts).drop("question")
+
+
+# Evaluation
+
+
+@query("v1_alignment", "SELECT doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'missing answer' ELSE 'question differs' END AS problem FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.toxic = 1")
+def v1(spark, sf):
+    """Labels as answers to documents; the toxic ones have another question."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("q").alias("question"))
+    a = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "other").otherwise("q").alias("question"))
+    return evaluate.check_alignment(a, d)
+
+
+RESULTS = "res AS (SELECT doc_id AS id, quality = 1 AS correct, lang AS qa_type, source AS difficulty, toxic::VARCHAR AS reasoning_type FROM labels JOIN documents USING (doc_id))"
+
+
+@query("v2_results", sql.query("SELECT id, qa_type, difficulty, reasoning_type, correct FROM res", RESULTS))
+def v2(spark, sf):
+    r = corpus_of(spark, sf).results
+    return evaluate.build_results(r.select("id"), r.drop("correct"), r.select("id", "correct"))
+
+
+def wilson(side: str) -> str:
+    return f"(p + 1.96::DOUBLE * 1.96::DOUBLE / (2 * n) {side} 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE * 1.96::DOUBLE / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96::DOUBLE / n)"
+
+
+@query("v3_v4_accuracy", sql.query(f"""SELECT field, value, correct, total, round(p, 9) AS accuracy, round({wilson('-')}, 9) AS low, round({wilson('+')}, 9) AS high FROM (SELECT field, value, correct, total, correct / total AS p, total::DOUBLE AS n FROM (
+  SELECT 'overall' AS field, 'all' AS value, sum(correct::INT)::BIGINT AS correct, count(*) AS total FROM res
+  UNION ALL SELECT 'qa_type', coalesce(qa_type, 'None'), sum(correct::INT)::BIGINT, count(*) FROM res GROUP BY 2 UNION ALL SELECT 'difficulty', coalesce(difficulty, 'None'), sum(correct::INT)::BIGINT, count(*) FROM res GROUP BY 2
+  UNION ALL SELECT 'reasoning_type', coalesce(reasoning_type, 'None'), sum(correct::INT)::BIGINT, count(*) FROM res GROUP BY 2))""", RESULTS))
+def v3(spark, sf):
+    a = evaluate.accuracy_by_group(corpus_of(spark, sf).results)
+    return a.select("field", "value", "correct", "total", *[F.round(c, 9).alias(c) for c in ("accuracy", "low", "high")])
+
+
+GOLD = """gold AS (SELECT doc_id AS id, sha256(text) AS sha, source || '/' || lang || '-' || doc_id || '/document.md' AS path, doc_id % 5 AS how FROM documents),
+firstd AS (SELECT sha256, min(document_id) AS d FROM src GROUP BY 1),
+res5 AS (SELECT g.id, 0 AS n, CASE WHEN how = 4 THEN NULL ELSE f.d END AS document_id FROM gold g JOIN firstd f ON f.sha256 = g.sha)"""
+
+
+def gold_sources(spark, sf) -> DataFrame:
+    """Each document named as a gold source in another way: by hash, path, relative path, a longer path, or by nothing known."""
+    d = table(spark, sf, "documents")
+    how, path = F.col("doc_id") % 5, F.concat("source", F.lit("/"), "lang", F.lit("-"), "doc_id", F.lit("/document.md"))
+    none = F.lit(None).cast("string")
+    one = F.struct(F.when(how == 1, path).otherwise(none).alias("document_path"), F.when(how == 2, path).when(how == 3, F.concat(F.lit("archive/"), path)).when(how == 4, F.concat(path, F.lit(".old"))).alias("relative_path"), F.when(how == 0, F.sha2("text", 256)).alias("sha256"))
+    return d.select(F.col("doc_id").alias("id"), F.array(one).alias("sources"))
+
+
+@query("v5_gold_sources", sql.query("SELECT id, n, document_id FROM res5", *sql.CORPUS, GOLD))
+def v5(spark, sf):
+    return evaluate.resolve_gold_sources(gold_sources(spark, sf), corpus_of(spark, sf).sources)
+
+
+@query("v6_document_recall", sql.query("SELECT id, CASE WHEN document_id IS NULL THEN 0 ELSE 1 END AS gold_documents, CASE WHEN document_id IS NOT NULL AND l.doc_id IS NOT NULL THEN 1 ELSE 0 END AS found, CASE WHEN document_id IS NULL THEN 1 ELSE 0 END::BIGINT AS unresolved, CASE WHEN document_id IS NOT NULL THEN CASE WHEN l.doc_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS recall, CASE WHEN document_id IS NOT NULL THEN l.doc_id IS NOT NULL END AS all_retrieved FROM res5 LEFT JOIN labels l ON l.doc_id = res5.id", *sql.CORPUS, GOLD))
+def v6(spark, sf):
+    """Labelled documents retrieve themselves."""
+    c = corpus_of(spark, sf)
+    got = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), ids.document_id(F.sha2("text", 256)).alias("document_id"))
+    return evaluate.gold_document_recall(got, evaluate.resolve_gold_sources(gold_sources(spark, sf), c.sources))
+
+
+def grams(x: str, n: int) -> str:
+    return f"list_transform(range(1, length({x}) - {n - 2}), lambda i: substr({x}, i, {n}))"
+
+
+ENDS = f"""ev AS (SELECT item_id AS id, {sql.KEY.format('text')} AS k FROM benchmark), tx AS (SELECT doc_id % 40 AS id, {sql.KEY.format('text')} AS k FROM documents),
+eg AS (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM ev WHERE length(k) >= 2), tg AS (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM tx WHERE length(k) >= 2)"""
+
+
+@query("v7_evidence_coverage", sql.query("SELECT id, round(count(tg.g) / count(*), 6) AS coverage FROM eg LEFT JOIN tg USING (id, g) GROUP BY id", ENDS))
+def v7(spark, sf):
+    e = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit(0).alias("n"), F.col("text").alias("evidence"))
+    t = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("id"), "text")
+    return evaluate.evidence_coverage(e, t, nfkc=False).select("id", F.round("coverage", 6).alias("coverage"))
+
+
+@query("v8_related_facts", sql.query(f"""SELECT id, fact_id, overlap, rank FROM (SELECT id, fact_id, count(*) AS overlap, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, fact_id) AS rank
+  FROM (SELECT DISTINCT question_id AS id, unnest({grams('k', 3)}) AS g FROM (SELECT question_id, {sql.KEY.format('question')} AS k FROM asked))
+  JOIN (SELECT DISTINCT q.question_id AS id, f.fact_id, unnest({grams('f.k', 3)}) AS g FROM scope q JOIN (SELECT fact_id, document_id, {sql.KEY.format('statement')} AS k FROM uf) f USING (document_id) WHERE length(f.k) >= 3) USING (id, g) GROUP BY ALL) WHERE rank <= 10""", *sql.FULL, ASKED, MATCH, UFACT))
+def v8(spark, sf):
+    c = corpus_of(spark, sf)
+    matches = retrieve.match_products(c.questions, c.products, nfkc=False)
+    scope = retrieve.question_scope(c.questions, matches, c.document_products, c.documents).withColumnRenamed("question_id", "id")
+    found = evaluate.related_facts(c.questions.select(F.col("question_id").alias("id"), F.col("question").alias("evidence")), c.unique_facts.select("fact_id", "document_id", "statement"), scope, nfkc=False)
+    return found.select("id", "fact_id", "overlap", F.col("rank").cast("long").alias("rank"))
+
+
+DIAG = """diag AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'retrieval_failure' WHEN 1 THEN 'reasoning_error' WHEN 2 THEN 'nonsense' END AS c, doc_id % 3 AS k FROM labels WHERE quality = 0),
+dt AS (SELECT id, CASE WHEN c IN ('retrieval_failure', 'reasoning_error') AND k < 2 THEN c ELSE 'unknown' END AS primary_category, CASE WHEN c IN ('retrieval_failure', 'reasoning_error') AND k < 2 THEN CASE k WHEN 0 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence FROM diag)"""
+
+
+def diagnoses(spark, sf) -> DataFrame:
+    """Low-quality labels as wrong answers, diagnosed by their number; some diagnoses aren't valid."""
+    l = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    i = F.col("id")
+    given = l.select("id", F.when(i % 4 == 0, "retrieval_failure").when(i % 4 == 1, "reasoning_error").when(i % 4 == 2, "nonsense").alias("primary_category"), F.when(i % 3 == 0, "high").when(i % 3 == 1, "medium").otherwise("sure").alias("confidence"), F.array(F.lit("extraction_omission"), F.lit("other")).alias("secondary_categories"), F.lit("r").alias("reason"))
+    return evaluate.diagnosis_table(l, given)
+
+
+@query("v9_diagnoses", sql.query("SELECT id, primary_category, confidence, CASE WHEN primary_category = 'unknown' THEN [] ELSE ['extraction_omission'] END AS secondary_categories FROM dt", DIAG))
+def v9(spark, sf):
+    return diagnoses(spark, sf).drop("reason")
+
+
+@query("v9_error_categories", sql.query("SELECT primary_category, count(*) AS n FROM dt GROUP BY 1", DIAG))
+def v9b(spark, sf):
+    return evaluate.error_categories(diagnoses(spark, sf))
+
+
+@query("v10_report_summary", sql.query("""SELECT count(*) AS questions, count_if(correct) AS correct, printf('%.1f', avg(correct::INT) * 100) || '%' AS accuracy, printf('%.1f', avg(r) * 100) || '%' AS mean_recall, count_if(r = 1) AS all_retrieved, count_if(r IS NULL) AS unresolved, '0.0%' AS mean_coverage
+  FROM (SELECT correct, CASE WHEN id % 5 < 4 THEN (id % 5 <= 1)::INT::DOUBLE END AS r FROM res)""", RESULTS))
+def v10(spark, sf):
+    r = corpus_of(spark, sf).results
+    recall = F.when(F.col("id") % 5 < 4, (F.col("id") % 5 <= 1).cast("double"))
+    m = r.select("correct", recall.alias("recall"), (recall == 1).alias("all_retrieved"), recall.isNull().cast("int").alias("unresolved"), F.lit(None).cast("double").alias("coverage"))
+    return report.report_summary(m)
+
+
+@query("v11_representatives", sql.query("SELECT difficulty, id FROM (SELECT difficulty, min(id) AS id FROM res WHERE correct GROUP BY 1) ORDER BY id LIMIT 5", RESULTS))
+def v11(spark, sf):
+    return report.representatives(corpus_of(spark, sf).results.where("correct"), "difficulty", "id", 5).select("difficulty", "id")
+
+
+@query("v12_attempts", sql.query("SELECT pass, coalesce(n, 0) AS n FROM (VALUES ('first'), ('repair 1'), ('repair 2'), ('alternate')) AS p(pass) LEFT JOIN (SELECT CASE right(chunk_id, 1) WHEN '0' THEN 'repair 1' WHEN '1' THEN 'alternate' WHEN '2' THEN 'alternate' ELSE 'first' END AS pass, count(*) AS n FROM chunks GROUP BY 1) USING (pass)", *sql.CUT))
+def v12(spark, sf):
+    mark = F.substring("chunk_id", -1, 1)
+    attempt = F.when(mark == "0", 1).when(mark == "1", 3).when(mark == "2", 4).otherwise(0)
+    return report.attempt_histogram(corpus_of(spark, sf).chunks.select(attempt.alias("attempt")))
+
+
+# Audit
+
+
+@query("a1_quote_coverage", sql.query(f"""SELECT id, round(count(b.g) / count(*), 6) AS coverage FROM (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) a
+  LEFT JOIN (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) b USING (id, g) GROUP BY id"""))
+def a1(spark, sf):
+    p = table(spark, sf, "pages")
+    e = p.select(F.col("page_id").alias("id"), F.lit(0).alias("n"), F.col("html").alias("evidence"))
+    t = p.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    return report.quote_coverage(e, t, unescape=False, nfkc=False).select("id", F.round("coverage", 6).alias("coverage"))
+
+
+@query("a2_duplicate_statements", sql.query("SELECT count(*) AS statements, count(DISTINCT statement) AS distinct_statements, count(*) - count(DISTINCT statement) AS repeated FROM fact", *sql.FULL))
+def a2(spark, sf):
+    return report.duplicate_statements(corpus_of(spark, sf).facts)
+
+
+@query("a3_literal_checks", f"SELECT id, term, contains(ck, {sql.KEY.format('term')}) AS hit FROM (SELECT DISTINCT item_id AS id, unnest(string_split(text, ' ')[1:4]) AS term FROM benchmark) JOIN (SELECT doc_id AS id, {sql.KEY.format('text')} AS ck FROM documents) USING (id)")
+def a3(spark, sf):
+    """The first words of a benchmark item, looked for in the document of the same number."""
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.slice(F.split("text", " "), 1, 4).alias("evidence_terms"))
+    contexts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
+    return report.literal_checks(cases, contexts, nfkc=False).select("id", F.explode("checks").alias("term", "hit"))
+
+
+@query("a4_generation_stats", """SELECT stage, calls, tokens, seconds, peak_memory FROM (SELECT l_shipmode AS stage, count(*) AS calls, sum(l_linenumber)::BIGINT AS tokens FROM lineitem GROUP BY 1)
+  JOIN (SELECT stage, round(sum(s), 6) AS seconds, max(m) AS peak_memory FROM (SELECT DISTINCT l_shipmode AS stage, (l_orderkey % 100)::DOUBLE AS s, (l_suppkey % 7)::DOUBLE AS m FROM lineitem) GROUP BY 1) USING (stage)""")
+def a4(spark, sf):
+    """Order lines as calls; a ship mode is a stage."""
+    seconds, memory = (F.col("l_orderkey") % 100).cast("double"), (F.col("l_suppkey") % 7).cast("double")
+    r = table(spark, sf, "lineitem").select(F.col("l_shipmode").alias("stage"), F.col("l_linenumber").cast("long").alias("generated_tokens"), seconds.alias("batch_seconds"), F.struct(memory.alias("peak_memory")).alias("batch_stats"))
+    return report.generation_stats(r)
+
+
+@query("a5_artifact_fingerprints")
+def a5(spark, sf):
+    """Order-free fingerprints of the tables before and after a turn of their rows: they agree."""
+    out = None
+    for name in ("documents", "pages", "orders", "lineitem"):
+        t = table(spark, sf, name)
+        a = corpus.artifact_fingerprint(t).select(F.lit(name).alias("name"), "n", "total", "mixed")
+        b = corpus.artifact_fingerprint(t.orderBy(F.desc(t.columns[0]))).select(F.col("total").alias("t2"), F.col("mixed").alias("m2"))
+        one = a.crossJoin(b).select("name", "n", ((F.col("total") == F.col("t2")) & (F.col("mixed") == F.col("m2"))).alias("agree"))
+        out = one if out is None else out.unionByName(one)
+    return out
