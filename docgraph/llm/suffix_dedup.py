@@ -230,7 +230,8 @@ def shard_starts(sets: DataFrame, length: int, shard_rows: int) -> DataFrame:
         rows = rows.sort_values(["fp", "s"])
         found = repeated_starts(rows["fp"].to_numpy(), rows["at"].to_numpy().astype(np.int64), rows["n"].to_numpy(), rows["snip"].to_list(), length)
         keep = [i for i, (f, n) in enumerate(zip(found, rows["n"], strict=True)) if f and n < 2]
-        return pd.DataFrame({"fp": rows["fp"].to_numpy()[keep], "s": [rows["s"].iloc[i] for i in keep], "starts": [[{"a": a, "b": b} for a, b in found[i]] for i in keep]})
+        starts = [[{"a": a, "b": b} for a, b in found[i]] for i in keep]
+        return pd.DataFrame({"fp": rows["fp"].to_numpy()[keep], "s": rows["s"].iloc[keep].to_numpy(dtype=object), "starts": pd.Series(starts, dtype=object)})
 
     dealt = sets.withColumn("shard", F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, "fp long, s binary, starts array<struct<a:int,b:int>>")
