@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions import ids, text
+from docgraph.sources.tables import materialized
 
 FACT_TYPES = ("Rule", "Condition", "Requirement", "Benefit", "Restriction")
 ENTITY_TYPES = ("Organization", "Concept")
@@ -151,11 +152,12 @@ def retry_requests(errors: DataFrame, requests: DataFrame, attempt: int, max_ret
 def run_with_retries(requests: DataFrame, fn: Callable[[list[str]], list[str]], chunks: DataFrame, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:
     """(good, errors) after at most max_retries + 1 rounds; good rows carry their attempt, and are never asked again.
 
-    Each round's responses are cached, as a generator may answer otherwise when asked twice.
+    Each round's responses are written, as a generator may answer otherwise when asked twice.
     """
     asked, good = requests.withColumn("attempt", F.lit(0)), None
     for attempt in range(max_retries + 1):
-        answers = generate(asked.withColumnRenamed("chunk_id", "request_id"), fn).withColumnRenamed("request_id", "chunk_id").withColumn("possibly_truncated", F.lit(False)).cache()
+        answers = generate(asked.withColumnRenamed("chunk_id", "request_id"), fn).withColumnRenamed("request_id", "chunk_id").withColumn("possibly_truncated", F.lit(False))
+        answers = materialized(answers)
         fine, errors = validate_extractions(answers, chunks)
         fine = fine.withColumn("attempt", F.lit(attempt))
         good = fine if good is None else good.unionByName(fine)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as tx
+from docgraph.sources.tables import materialized
 
 from .bm25 import bm25_scores
 
@@ -191,25 +192,25 @@ def assemble_context(questions: DataFrame, lines: DataFrame, blocks: DataFrame)
 
 
 def retrieval_frames(questions: DataFrame, documents: DataFrame, products: DataFrame, document_products: DataFrame, chunks: DataFrame, facts: DataFrame, cfg: Config = Config(), nfkc: bool = True) -> dict[str, DataFrame]:
-    """All steps of retrieval by name; facts are unique per fact_id. Score tables are cached: later steps read them again."""
-    matches = match_products(questions, products, nfkc).cache()
+    """All steps of retrieval by name; facts are unique per fact_id. Tables that later steps read again are written."""
+    matches = materialized(match_products(questions, products, nfkc))
     gate = gates(documents, matches, document_products, questions)
     fact_texts = facts.select(F.col("fact_id").alias("id"), "document_id", F.concat_ws(" ", "name", "statement").alias("text"))
     chunk_texts = chunks.select(F.col("chunk_id").alias("id"), "document_id", F.concat(F.array_join("headings", " "), F.lit(" "), "text").alias("text"))
     asked = questions.select("question_id", "question")
-    fact_scores = bm25_scores(fact_texts.join(gate, "document_id"), asked, "gate").cache()
-    chunk_scores = bm25_scores(chunk_texts.join(gate, "document_id"), asked, "gate").cache()
+    fact_scores = materialized(bm25_scores(fact_texts.join(gate, "document_id"), asked, "gate"))
+    chunk_scores = materialized(bm25_scores(chunk_texts.join(gate, "document_id"), asked, "gate"))
     support = facts.select(F.col("fact_id").alias("fact"), F.col("chunk_id").alias("chunk")).distinct()
     mentions = facts.select(F.col("fact_id").alias("fact"), F.explode("entities").alias("e")).select("fact", F.to_json("e").alias("entity")).distinct()
     neighbours = chunks.select("document_id", F.col("chunk_id").alias("source"), F.lead("chunk_id").over(Window.partitionBy("document_id").orderBy("ordinal")).alias("target")).where("target is not null")
     ranked_f, ranked_c = rank_candidates(fact_scores), rank_candidates(chunk_scores)
-    first_f = quota_first(ranked_f, fact_texts.select("id", "document_id"), matches, document_products, 2, 8, cfg.retrieval_facts).cache()
+    first_f = materialized(quota_first(ranked_f, fact_texts.select("id", "document_id"), matches, document_products, 2, 8, cfg.retrieval_facts))
     hop = expand_entities(first_f, fact_scores, mentions)
-    with_hop = first_f.unionByName(hop).cache()
+    with_hop = materialized(first_f.unionByName(hop))
     fused = fuse_chunks(with_hop, support, ranked_c)
-    first_c = quota_first(fused, chunk_texts.select("id", "document_id"), matches, document_products, 1, 3, cfg.retrieval_chunks).cache()
-    all_c = expand_adjacent(first_c, neighbours, cfg.retrieval_chunks + 3).cache()
-    all_f = expand_supported_facts(all_c, with_hop, fact_scores, support, cfg.retrieval_facts + 12).cache()
+    first_c = materialized(quota_first(fused, chunk_texts.select("id", "document_id"), matches, document_products, 1, 3, cfg.retrieval_chunks))
+    all_c = materialized(expand_adjacent(first_c, neighbours, cfg.retrieval_chunks + 3))
+    all_f = materialized(expand_supported_facts(all_c, with_hop, fact_scores, support, cfg.retrieval_facts + 12))
     return {"matches": matches, "fact_scores": fact_scores, "chunk_scores": chunk_scores, "ranked_chunks": ranked_c, "first_facts": first_f, "hop": hop, "fused": fused, "first_chunks": first_c, "chunks": all_c, "facts": all_f, "support": support}
 
 
@@ -217,11 +218,11 @@ def retrieve(questions: DataFrame, documents: DataFrame, products: DataFrame, do
     """One trace per question: matches, facts, chunks, documents, routes, scores, context and citations."""
     fr = retrieval_frames(questions, documents, products, document_products, chunks, facts, cfg, nfkc)
     scopes = scope_label(document_products, products)
-    lines = pack_prefix(fact_lines(fr["facts"], facts, fr["support"], scopes, cfg), cfg.context_max_chars * cfg.fact_share, len(FACTS_HEAD)).cache()
+    lines = materialized(pack_prefix(fact_lines(fr["facts"], facts, fr["support"], scopes, cfg), cfg.context_max_chars * cfg.fact_share, len(FACTS_HEAD)))
     spent = questions.select("question_id").join(lines.groupBy("question_id").agg(F.max("total").alias("t")), "question_id", "left").select("question_id", F.coalesce("t", F.lit(len(FACTS_HEAD))).alias("used"))
     blocks = chunk_blocks(fr["chunks"], chunks, documents, scopes)
     kept = pack_greedy(blocks, cfg.context_max_chars, spent).select("question_id", F.posexplode("ids").alias("k", "id"))
-    fitting = blocks.join(kept, ["question_id", "id"]).cache()
+    fitting = materialized(blocks.join(kept, ["question_id", "id"]))
     context = assemble_context(questions, lines, fitting.drop("k"))
     scored = lines.join(fr["fact_scores"], ["question_id", "id"], "left")
     of_facts = scored.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("score", F.lit(0.0)).alias("score"), "truncated"))).alias("f"))

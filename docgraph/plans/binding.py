@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.operators import corpus, extract, graph, units
+from docgraph.sources.tables import materialized
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,8 +20,8 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(path.alias("relative_path"), F.col("text").alias("content"))
 
 
-#: Frames that many others are made of; they are kept in memory and on disk.
-KEPT = ("documents", "units", "chunks", "facts", "unique_facts", "nodes", "edges")
+#: Frames that many others are made of; they are written once.
+KEPT = ("responses", "good", "errors", "sources", "products", "document_products", "documents", "units", "chunks", "facts", "unique_facts", "nodes", "edges")
 _CORPORA: dict[tuple[str, str], Corpus] = {}
 
 
@@ -44,7 +45,7 @@ class Corpus:
             raise AttributeError(name)
         if name not in self._made:
             made = getattr(self, "_" + name)()
-            self._made[name] = made.cache() if name in KEPT else made
+            self._made[name] = materialized(made) if name in KEPT else made
         return self._made[name]
 
     def _raw(self) -> DataFrame:
