@@ -498,11 +498,11 @@ PACK = (
     """line AS (SELECT a.question_id, a.id, a.pos, length(u.statement) > 650 AS truncated, '[F:' || a.id || '] ' || u.type || ': ' || u.name || '; 상품 범위: ' || l.scope || '; 근거: ' || p.proof || chr(10) || substr(u.statement, 1, 650)
     || CASE WHEN length(u.statement) > 650 THEN ' [이하 생략: 연결된 원문 청크에서 전체 조건 확인]' ELSE '' END AS line
   FROM allf a JOIN uf u ON u.fact_id = a.id JOIN label l USING (document_id) JOIN (SELECT fact, string_agg('C:' || chunk, ',' ORDER BY chunk) AS proof FROM supp GROUP BY fact) p ON p.fact = a.id),
-keptf AS (SELECT * FROM (SELECT *, 13 + sum(length(line)) OVER (PARTITION BY question_id ORDER BY pos) AS total FROM line) WHERE total <= 27000 * 0.32)""",
+keptf AS (SELECT * FROM (SELECT *, 12 + sum(length(line)) OVER (PARTITION BY question_id ORDER BY pos) AS total FROM line) WHERE total <= 27000 * 0.32)""",
     """blk AS (SELECT a.question_id, a.id, a.pos, c.document_id, length('[C:' || a.id || '] 문서: ' || d.title || '; 상품: ' || l.scope || '; 페이지: [1]' || chr(10) || c.text) AS n
   FROM allc a JOIN chunks c ON c.chunk_id = a.id JOIN docs d USING (document_id) JOIN label l USING (document_id)),
 seqb AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS k FROM blk),
-spent AS (SELECT question_id, coalesce(max(total), 13) AS used FROM asked LEFT JOIN keptf USING (question_id) GROUP BY question_id),
+spent AS (SELECT question_id, coalesce(max(total), 12) AS used FROM asked LEFT JOIN keptf USING (question_id) GROUP BY question_id),
 walk AS (SELECT question_id, 0::BIGINT AS k, used::BIGINT AS used, false AS taken FROM spent UNION ALL SELECT w.question_id, s.k, CASE WHEN w.used + s.n <= 27000 THEN w.used + s.n ELSE w.used END, w.used + s.n <= 27000 FROM walk w JOIN seqb s ON s.question_id = w.question_id AND s.k = w.k + 1),
 keptc AS (SELECT s.* FROM walk w JOIN seqb s USING (question_id, k) WHERE taken)""",
 )
@@ -658,9 +658,9 @@ def v7(spark, sf):
     return evaluate.evidence_coverage(e, t, nfkc=False).select("id", F.round("coverage", 6).alias("coverage"))
 
 
-@query("v8_related_facts", sql.query(f"""SELECT id, fact_id, overlap, rank FROM (SELECT id, fact_id, count(*) AS overlap, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, fact_id) AS rank
+@query("v8_related_facts", sql.query(f"""SELECT id, fact_id, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, fact_id) AS rank FROM (SELECT id, fact_id, count(*) AS overlap
   FROM (SELECT DISTINCT question_id AS id, unnest({grams('k', 3)}) AS g FROM (SELECT question_id, {sql.KEY.format('question')} AS k FROM asked))
-  JOIN (SELECT DISTINCT q.question_id AS id, f.fact_id, unnest({grams('f.k', 3)}) AS g FROM scope q JOIN (SELECT fact_id, document_id, {sql.KEY.format('statement')} AS k FROM uf) f USING (document_id) WHERE length(f.k) >= 3) USING (id, g) GROUP BY ALL) WHERE rank <= 10""", *sql.FULL, ASKED, MATCH, UFACT))
+  JOIN (SELECT DISTINCT q.question_id AS id, f.fact_id, unnest({grams('f.k', 3)}) AS g FROM scope q JOIN (SELECT fact_id, document_id, {sql.KEY.format('statement')} AS k FROM uf) f USING (document_id) WHERE length(f.k) >= 3) USING (id, g) GROUP BY id, fact_id)) WHERE rank <= 10""", *sql.FULL, ASKED, MATCH, UFACT))
 def v8(spark, sf):
     c = corpus_of(spark, sf)
     matches = retrieve.match_products(c.questions, c.products, nfkc=False)
@@ -715,8 +715,8 @@ def v12(spark, sf):
 # Audit
 
 
-@query("a1_quote_coverage", sql.query(f"""SELECT id, round(count(b.g) / count(*), 6) AS coverage FROM (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) a
-  LEFT JOIN (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) b USING (id, g) GROUP BY id"""))
+@query("a1_quote_coverage", f"""SELECT id, round(count(b.g) / count(*), 6) AS coverage FROM (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) a
+  LEFT JOIN (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) b USING (id, g) GROUP BY id""")
 def a1(spark, sf):
     p = table(spark, sf, "pages")
     e = p.select(F.col("page_id").alias("id"), F.lit(0).alias("n"), F.col("html").alias("evidence"))
@@ -737,12 +737,12 @@ def a3(spark, sf):
     return report.literal_checks(cases, contexts, nfkc=False).select("id", F.explode("checks").alias("term", "hit"))
 
 
-@query("a4_generation_stats", """SELECT stage, calls, tokens, seconds, peak_memory FROM (SELECT l_shipmode AS stage, count(*) AS calls, sum(l_linenumber)::BIGINT AS tokens FROM lineitem GROUP BY 1)
-  JOIN (SELECT stage, round(sum(s), 6) AS seconds, max(m) AS peak_memory FROM (SELECT DISTINCT l_shipmode AS stage, (l_orderkey % 100)::DOUBLE AS s, (l_suppkey % 7)::DOUBLE AS m FROM lineitem) GROUP BY 1) USING (stage)""")
+@query("a4_generation_stats", """SELECT stage, calls, tokens, seconds, peak_memory FROM (SELECT l_returnflag AS stage, count(*) AS calls, sum(l_linenumber)::BIGINT AS tokens FROM lineitem GROUP BY 1)
+  JOIN (SELECT stage, round(sum(s), 6) AS seconds, max(m) AS peak_memory FROM (SELECT DISTINCT l_returnflag AS stage, (l_orderkey % 100)::DOUBLE AS s, (l_suppkey % 7)::DOUBLE AS m FROM lineitem) GROUP BY 1) USING (stage)""")
 def a4(spark, sf):
-    """Order lines as calls; a ship mode is a stage."""
+    """Order lines as calls; a return flag is a stage."""
     seconds, memory = (F.col("l_orderkey") % 100).cast("double"), (F.col("l_suppkey") % 7).cast("double")
-    r = table(spark, sf, "lineitem").select(F.col("l_shipmode").alias("stage"), F.col("l_linenumber").cast("long").alias("generated_tokens"), seconds.alias("batch_seconds"), F.struct(memory.alias("peak_memory")).alias("batch_stats"))
+    r = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("stage"), F.col("l_linenumber").cast("long").alias("generated_tokens"), seconds.alias("batch_seconds"), F.struct(memory.alias("peak_memory")).alias("batch_stats"))
     return report.generation_stats(r)
 
 
