@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, written
+from .common import connected_components, forest, mix, written
 
 SIMILARITY = 0.98
 #: Vectors in a shard and queries in a block, at most about; their numbers grow with the table.
@@ -208,22 +208,6 @@ def linked_pairs(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, simi
         beam *= 2
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) of the edges a-b, for nodes that aren't the least themselves."""
-    nodes, inverse = np.unique(np.r_[a, b], return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, x, label[y])
-        np.minimum.at(label, y, label[x])
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors.
 

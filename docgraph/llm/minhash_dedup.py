@@ -7,11 +7,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, mix, shingle_hashes, with_fields, words_of, written
+from .common import WordHashes, connected_components, forest, mix, shingle_hashes, with_fields, words_of, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -19,6 +20,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Characters of text whose shingles are held at once.
 SLICE_CHARS = 2_000_000
+#: Sets of a group that a task holds of each of two shards, about.
+GROUP_ROWS = 4_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +42,7 @@ def throw_darts(elements: np.ndarray, weights: np.ndarray, most_rank: np.ndarray
     level, low, width = 0, 0.0, 1.0
     while len(weights) and low < weights.max():
         at = np.flatnonzero(weights > low)
-        seed = mix(elements[at] + np.uint64(level + 1) * _GOLD)
+        seed = mix(elements[at] + np.uint64([level + 1]) * _GOLD)
         rank = np.zeros(len(at))
         throw = 0
         while len(at):
@@ -142,15 +145,63 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, with_fields(docs.select("doc_id").schema, "s array<long>"))
 
 
+def similar_sets(index: list[np.ndarray], queries: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(query no, positions) of the index sets with that Jaccard similarity or more, by an inverted index: exact."""
+    size = np.array([len(x) for x in index])
+    values = np.concatenate(index)
+    order = np.argsort(values, kind="stable")
+    owner = np.repeat(np.arange(len(index)), size)[order]
+    known, start, count = np.unique(values[order], return_index=True, return_counts=True)
+    for i, q in enumerate(queries):
+        at = np.searchsorted(known, q)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == q)]
+        n = count[at]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at], n)
+        common = np.bincount(owner[places], minlength=len(index))
+        yield i, np.flatnonzero(common >= similarity * (size + len(q) - common))
+
+
+def group_links(groups: DataFrame, sets: DataFrame, similarity: float, shard_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): links that span, in each group of groups(node, component), what its sets(doc_id, s) link to.
+
+    A group is dealt to shards of about shard_rows sets; a task holds two shards, or one, and searches one in the
+    other. It gives a spanning forest of the links, never the pairs.
+    """
+    sizes = written(groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(shard_rows)), F.lit(1)).cast("int").alias("shards")), "minhash-sizes")
+    dealt = groups.join(sizes, "component").withColumn("shard", F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int"))
+    wide = dealt.select(F.col("component").alias("g"), F.col("node").alias("doc_id"), "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
+    blocks = wide.select("g", "doc_id", "shard", F.least("shard", "other").alias("x"), F.greatest("shard", "other").alias("y"))
+    kind = groups.schema["node"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, s = rows["doc_id"].to_numpy(), rows["s"].to_list()
+        first = np.flatnonzero(rows["shard"].to_numpy() == rows["x"].iloc[0])
+        second = np.flatnonzero(rows["shard"].to_numpy() == rows["y"].iloc[0])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        held = 0
+        if len(first) and len(second):
+            for i, hit in similar_sets([s[k] for k in first], [s[k] for k in second], similarity):
+                a.append(np.full(len(hit), second[i]))
+                b.append(first[hit])
+                held += len(hit)
+                if held > 2_000_000:
+                    u, v = forest(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [u], [v], 0
+        u, v = forest(np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"a": ids[u], "b": ids[v]})
+
+    return blocks.join(sets, "doc_id").groupBy("g", "x", "y").applyInPandas(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, counts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id, kept), one row per row of docs.
 
     Documents are linked whose sets of n-word shingles have a Jaccard similarity of at least similarity; component_id is
     the least doc_id of the linked group, kept is doc_id = component_id. Exact copies form classes first, and only
-    their least doc_id goes on. In a bucket of equal band keys every member is verified against the least one; then,
-    where a bucket still holds several components, against the least member outside that one's component; and
-    last, pair by pair, what is still apart. So no candidate pair of different components stays unverified, and a
-    bucket of copies costs a row per member. counts: shingles weigh as often as they occur when darts are thrown
+    their least doc_id goes on. In a bucket of equal band keys every member is verified against the bucket's leader. Buckets
+    that still hold several components are joined to groups, and the members of a group are searched for each other
+    exactly, in blocks (group_links). So no candidate pair of different components stays unverified, and a bucket of
+    copies costs a row per member. counts: shingles weigh as often as they occur when darts are thrown
     (the verification stays on sets).
 
     Null and empty texts are copies of each other and link with nothing else; texts of fewer than n words are one
@@ -161,8 +212,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SH
     classes = written(keyed.groupBy("h").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     bands_of = keyed.join(classes, "h").where("doc_id = rep").select("rep", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     bands_of = written(bands_of, "minhash-bands")
-    shared = written(bands_of.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1"), "minhash-shared")
-    members = written(bands_of.join(shared, "key").select("key", "rep", "lead", "m"), "minhash-members")
+    shared = written(bands_of.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-shared")
+    members = written(bands_of.join(shared, "key").select("key", "rep", "m"), "minhash-members")
+    # a bucket's leader is the member with the most bucket mates in all, which is near the middle of its group
+    mass = written(members.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("mass")), "minhash-mass")
+    massed = members.join(mass, "rep")
+    leads = written(massed.groupBy("key").agg(F.min(F.struct((-F.col("mass")).alias("x"), "rep")).alias("l")).select("key", F.col("l.rep").alias("lead")), "minhash-leads")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = shingle_sets(texts.join(involved.hint("merge"), "doc_id", "left_semi"), n)
@@ -174,25 +229,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SH
         two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")).hint("merge"), "b")
         return two.where(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select("a", "b")
 
-    checked = written(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "minhash-pairs")
-    links = written(verified(checked), "minhash-links")
+    pairs = members.select("key", "rep").join(leads, "key").where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b"))
+    links = written(verified(written(pairs.distinct(), "minhash-pairs")), "minhash-links")
     components = written(connected_components(links, "a", "b"), "minhash-components")
-    for step in ("second leader", "pair by pair"):
-        labelled = members.where("m > 2").join(components.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        apart = written(labelled.groupBy("key").agg(F.min(F.struct("rep", "c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", F.col("x.c").alias("first_c")), "minhash-apart")
-        if apart.isEmpty():
-            break
-        rest = written(labelled.join(apart, "key"), "minhash-rest")
-        if step == "second leader":
-            second = written(rest.where("c <> first_c").groupBy("key").agg(F.min(F.struct("rep", "c")).alias("x")), "minhash-second")
-            pairs = rest.join(second, "key").where("c <> x.c").select(F.greatest("rep", "x.rep").alias("a"), F.least("rep", "x.rep").alias("b"))
-        else:
-            other = rest.select("key", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-            pairs = rest.join(other, "key").where("c <> c2 and rep > rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        new = written(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "minhash-pairs")
-        checked = checked.unionByName(new)
-        links = links.unionByName(written(verified(new), "minhash-links"))
-        components = written(connected_components(links, "a", "b"), "minhash-components")
+    labelled = members.where("m > 2").join(components.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    apart = written(labelled.groupBy("key").agg(F.min("rep").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "first"), "minhash-apart")
+    if not apart.isEmpty():
+        mates = labelled.join(apart, "key").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+        groups = written(connected_components(mates, "a", "b"), "minhash-groups")
+        more = written(group_links(groups, sets, similarity), "minhash-more")
+        components = written(connected_components(links.unionByName(more), "a", "b"), "minhash-components")
     labels = written(classes.join(components.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id")), "minhash-labels")
     found = keyed.select("doc_id", "h").join(labels.hint("merge"), "h", "left")
     named = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
