@@ -61,10 +61,8 @@ def terms(c: Column | str) -> Column:
 
 
 def char_grams(key: Column | str, n: int = 2) -> Column:
-    """Distinct n-grams of a key; none for shorter keys."""
-    key = col(key)
-    all_ = F.transform(F.sequence(F.lit(1), F.length(key) - (n - 1)), lambda i: F.substring(key, i, F.lit(n)))
-    return F.when(F.length(key) >= n, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams of a key; none for shorter keys. A lookahead walks the key once, however long it is."""
+    return F.array_distinct(F.regexp_extract_all(col(key), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def doc_title(content: Column | str, path: Column | str) -> Column:
