@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import with_fields, words_of, written
 
-#: Bound of the labelled examples (chosen by a hash of their id) and of the terms that tell labels apart.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 4_096
+#: Bound of the labelled examples, chosen by a hash of their id. All their terms are indexed.
+MAX_EXAMPLES = 20_000
 NEIGHBOURS = 15
-BLOCK = 64
-#: A term has to occur in so many examples, and its share of label 1 has to be so many times the base share.
-LEAST_DF, LEAST_LIFT = 6, 3.0
+#: Examples in a block, terms of most examples that are kept as dense rows with block maxima, queries searched in step.
+BLOCK, COMMON, STEP = 64, 256, 64
 #: Lengths of word beginnings that are terms beside the words, so inflected forms meet.
 PREFIXES = (4, 5)
 _EDGE = "\"'`.,;:!?()[]{}<>*_~#&%$|“”‘’«»…-"
@@ -30,19 +31,24 @@ def terms_of(word: str) -> list[str]:
     return ([bare] if bare else []) + ["^" + bare[:n] for n in PREFIXES if len(bare) >= n]
 
 
+def term_hashes(word: str) -> tuple[int, ...]:
+    return tuple(map(xxhash.xxh64_intdigest, terms_of(word)))
+
+
 class Vocabulary(dict):
-    """word -> numbers of its terms in the index; remembered up to a bound."""
+    """word -> numbers of its terms, being their places in the sorted hashes of the index; remembered up to a bound."""
 
     limit = 300_000
 
-    def __init__(self, numbers: dict[str, int]):
+    def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.numbers = numbers
+        self.hashes = memoryview(np.ascontiguousarray(hashes))
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
+        found = [(bisect_left(self.hashes, h), h) for h in term_hashes(word)]
+        value = self[word] = tuple(n for n, h in found if n < len(self.hashes) and self.hashes[n] == h)
         return value
 
     def counts(self, text: str | None) -> Counter:
@@ -53,31 +59,52 @@ class Vocabulary(dict):
         return found
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as postings per term in blocks of examples, with each block's largest weight.
+    """Unit TF-IDF vectors of the examples: postings per term, and for the commonest terms dense rows by blocks of examples.
 
-    search() visits blocks in the order of their upper bounds (query weight times block maximum, summed over the
-    query's terms) and stops when no block can reach the k-th best cosine, so its result is that of a full scan.
+    search_many() adds up the postings of the other terms, which gives each block an upper bound together with the
+    common terms' block maxima; the common terms are then added only in blocks that can reach the k-th best cosine. So
+    the result is that of a full scan.
     """
 
     def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
+        norm = np.array([np.linalg.norm((1 + np.log(tf)) * idf[t]) for t, tf in vectors])
         some = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        # examples with the same leading term share blocks, which makes the bounds tight
-        lead = {i: int(vectors[i][0][np.argmax(self.weigh(idf, *vectors[i]))]) for i in some}
-        some.sort(key=lambda i: (lead[i], ids[i]))
+        # examples of like norms share blocks, which makes the bounds tight
+        some.sort(key=lambda i: (norm[i], ids[i]))
         self.idf, self.labels, self.ids = idf, labels[some], ids[some]
         self.blocks = max(1, -(-len(some) // BLOCK))
-        term = np.concatenate([vectors[i][0] for i in some]) if some else np.empty(0, np.int64)
-        doc = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
-        weight = np.concatenate([self.weigh(idf, *vectors[i]) for i in some]) if some else np.empty(0)
-        order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order].astype(np.int32), weight[order]
-        key = term * self.blocks + self.doc // BLOCK
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        self.block_start = np.r_[start, len(key)].astype(np.int64)
-        self.block_no = (key[start] % self.blocks).astype(np.int32)
-        self.block_max = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.term_start = np.searchsorted(key[start] // self.blocks, np.arange(len(idf) + 1))
+        self.inverse = np.zeros(self.blocks * BLOCK)
+        self.inverse[: len(some)] = 1 / norm[some]
+        term = np.concatenate([vectors[i][0].astype(np.uint32) for i in some]) if some else np.empty(0, np.uint32)
+        order = np.argsort(term, kind="stable")
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))]
+        del term
+        self.doc = narrow(np.repeat(np.arange(len(some), dtype=np.uint32), [len(vectors[i][0]) for i in some]))[order]
+        self.tf = narrow(np.concatenate([vectors[i][1].astype(np.uint32) for i in some]) if some else np.empty(0, np.uint32))[order]
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"ready": False}
+
+    def prepare(self) -> None:
+        """The dense rows, made where they are used and not sent along."""
+        df = np.diff(self.start)
+        common = np.argsort(-df, kind="stable")[: min(COMMON, int((df > len(self.ids) / 16).sum()))]
+        self._log = np.r_[0.0, 1 + np.log(np.arange(1, int(self.tf.max(initial=0)) + 1))]
+        self._row = np.full(len(self.idf), -1)
+        self._row[common] = np.arange(len(common))
+        dense = np.zeros((len(common), self.blocks * BLOCK))
+        for row, t in zip(dense, common, strict=True):
+            at = slice(self.start[t], self.start[t + 1])
+            row[self.doc[at]] = self._log[self.tf[at]] * self.idf[t] * self.inverse[self.doc[at]]
+        cut = dense.reshape(len(common), self.blocks, BLOCK)
+        self._most, self._dense = cut.max(axis=2), np.ascontiguousarray(cut.transpose(1, 0, 2))
+        self.ready = True
 
     @staticmethod
     def weigh(idf: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -86,30 +113,49 @@ class BlockMaxIndex:
 
     def search(self, terms: np.ndarray, tf: np.ndarray, k: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest, ties by example order; only cosines over 0."""
-        q = self.weigh(self.idf, terms, tf)
-        spans = [(x, self.term_start[t], self.term_start[t + 1]) for t, x in zip(terms, q, strict=True)]
-        bound = np.zeros(self.blocks)
-        for x, a, b in spans:
-            bound[self.block_no[a:b]] += x * self.block_max[a:b]
-        parts: dict[int, list[tuple[float, int]]] = {}
-        for x, a, b in spans:
-            for p in range(a, b):
-                parts.setdefault(int(self.block_no[p]), []).append((x, p))
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for x, p in parts[int(block)]:
-                s = slice(self.block_start[p], self.block_start[p + 1])
-                score[self.doc[s] - int(block) * BLOCK] += x * self.weight[s]
-            if leave_out is not None and leave_out // BLOCK == block:
-                score[leave_out % BLOCK] = 0
-            at = np.flatnonzero(score > 0)
-            best_at, best = np.r_[best_at, at + int(block) * BLOCK], np.r_[best, score[at]]
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        return self.search_many([(terms, tf)], k, None if leave_out is None else [leave_out])[0]
+
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() for many queries; leave_out has a position for each."""
+        if not self.ready:
+            self.prepare()
+        out = []
+        for a in range(0, len(queries), STEP):
+            out += self._step(queries[a : a + STEP], k, leave_out[a : a + STEP] if leave_out is not None else None)
+        return out
+
+    def _step(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        count, width = len(queries), self.blocks * BLOCK
+        score, common = np.zeros((count, width)), np.zeros((count, len(self._most)))
+        for i, (terms, tf) in enumerate(queries):
+            q, row = self.weigh(self.idf, terms, tf), self._row[terms]
+            common[i, row[row >= 0]] = q[row >= 0]
+            terms, q = terms[row < 0], q[row < 0] * self.idf[terms[row < 0]]
+            first = self.start[terms]
+            n = self.start[terms + 1] - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score[i] = np.bincount(self.doc[at], weights=np.repeat(q, n) * self._log[self.tf[at]], minlength=width) * self.inverse
+        if leave_out is not None:
+            score[np.arange(count), leave_out] = -np.inf
+        bound = score.reshape(count, self.blocks, BLOCK).max(axis=2) + common @ self._most
+        most = min(4, self.blocks)
+        wanted = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, most - 1, axis=1)[:, :most], True, axis=1)
+        self._visit(score, common, wanted)
+        k = min(k, width)
+        least = np.partition(score, width - k, axis=1)[:, width - k]
+        self._visit(score, common, (bound >= least[:, None] - 1e-12) & ~wanted)
+        out = []
+        for x, least in zip(score, np.partition(score, width - k, axis=1)[:, width - k], strict=True):
+            at = np.flatnonzero((x >= least) & (x > 0))
+            at = at[np.lexsort((at, -x[at]))][:k]
+            out.append((at, x[at]))
+        return out
+
+    def _visit(self, score: np.ndarray, common: np.ndarray, wanted: np.ndarray) -> None:
+        for block in np.flatnonzero(wanted.any(axis=0)):
+            some = np.flatnonzero(wanted[:, block])
+            score[some, block * BLOCK : (block + 1) * BLOCK] += common[some] @ self._dense[block]
 
 
 def votes(index: BlockMaxIndex, at: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
@@ -142,91 +188,55 @@ def sampled_labels(labels: DataFrame, label: str, ok: Column, most: int = MAX_EX
     return one.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
 
 
-def term_counts(examples: DataFrame) -> DataFrame:
-    """examples(text, y) as (term, df, pos)."""
+def all_terms(examples: DataFrame) -> np.ndarray:
+    """Sorted 64-bit hashes of all terms of the examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        df: Counter = Counter()
-        pos: Counter = Counter()
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(known) > 200_000:
-                    known.clear()
-                mine: set[str] = set()
-                for w in set(words_of(text)):
-                    if w not in known:
-                        known[w] = terms_of(w)
-                    mine.update(known[w])
-                df.update(mine)
-                if y:
-                    pos.update(mine)
-            if len(df) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(df)), pa.array(list(df.values())), pa.array([pos[t] for t in df])], names=["term", "df", "pos"])
-                df, pos = Counter(), Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([pos[t] for t in df], pa.int64())], names=["term", "df", "pos"])
-
-    parts = examples.select("text", "y").mapInArrow(run, "term string, df long, pos long")
-    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
-
-
-def telling_terms(examples: DataFrame, most: int = MAX_TERMS) -> list[str]:
-    """Terms whose share of label 1, by the lower end of Wilson's interval, is LEAST_LIFT times the base share (0.5 at most)."""
-    base = examples.agg(F.avg("y").alias("p")).first()["p"] or 0.0
-    n, p, z = F.col("df").cast("double"), F.col("pos") / F.col("df"), 1.96
-    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    chosen = term_counts(examples).where(F.col("df") >= LEAST_DF).withColumn("low", low).where(F.col("low") >= min(0.5, LEAST_LIFT * base))
-    return [r["term"] for r in chosen.orderBy(F.desc("low"), F.desc("df"), "term").limit(most).collect()]
-
-
-def document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tuple[np.ndarray, int]:
+            words = {w for text in batch.column(0).to_pylist() for w in words_of(text)}
+            mine = np.fromiter({h for w in words for h in term_hashes(w)}, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64))], names=["h"])
+
+    found = examples.select("text").mapInArrow(run, "h long").distinct().toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
+def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents; partial counts per partition."""
-    sc = docs.sparkSession.sparkContext
-    numbers = sc.broadcast({t: i for i, t in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(numbers.value)
-        df = np.zeros(len(numbers.value) + 1, dtype=np.int64)
+        vocabulary = Vocabulary(shared.value)
+        df = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = vocabulary.counts(text)
-                df[list(found)] += 1
+                found = {n for w in set(words_of(text)) for n in vocabulary[w]}
+                df[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
                 df[-1] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in rows:
-        out[r["t"]] = r["n"]
+    out[rows.column("t").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
 class Model:
-    """Index, calibration and the score of texts without any telling term; small, so it can be broadcast."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, k: int):
-        self.terms, self.k = terms, k
-        self.index = BlockMaxIndex(idf, vectors, labels, ids)
-        bare = np.array([not len(t) for t, _ in vectors], dtype=bool)
-        self.prior = float((labels[bare].sum() + 0.5) / (bare.sum() + 10))
-        by_id = {int(i): n for n, i in enumerate(self.index.ids)}
-        rows, y = [], []
-        for (t, tf), label, i in zip(vectors, labels, ids, strict=True):
-            if len(t):
-                rows.append(features(*votes(self.index, *self.index.search(t, tf, k, by_id[int(i)]))))
-                y.append(label)
-        self.weights = calibrated(np.array(rows), np.array(y, dtype=float)) if rows else None
-
-    def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
-        """Calibrated probability of label 1 and the neighbours' ids, nearest first."""
-        if not len(terms) or self.weights is None:
-            return self.prior, []
-        at, cosine = self.index.search(terms, tf, self.k)
-        if not len(at):
-            return self.prior, []
-        x = np.r_[1.0, features(*votes(self.index, at, cosine))]
-        return float(1 / (1 + math.exp(-float(np.clip(x @ self.weights, -40, 40))))), [int(i) for i in self.index.ids[at]]
+    """Index, calibration and the score of texts without any term of the examples; of bounded size, so it can be broadcast."""
+
+    def __init__(self, terms: np.ndarray, index: BlockMaxIndex, prior: float, weights: np.ndarray | None, k: int):
+        self.terms, self.index, self.prior, self.weights, self.k = terms, index, prior, weights, k
+
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Calibrated probability of label 1 and the neighbours' ids, nearest first, for every query."""
+        out: list[tuple[float, list[int]]] = [(self.prior, [])] * len(queries)
+        asked = [i for i, (t, _) in enumerate(queries) if len(t)] if self.weights is not None else []
+        for i, (at, cosine) in zip(asked, self.index.search_many([queries[i] for i in asked], self.k), strict=True):
+            if len(at):
+                x = np.r_[1.0, features(*votes(self.index, at, cosine))]
+                out[i] = float(1 / (1 + math.exp(-float(np.clip(x @ self.weights, -40, 40))))), [int(n) for n in self.index.ids[at]]
+        return out
 
 
 def counted(vocabulary: Vocabulary, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -234,11 +244,11 @@ def counted(vocabulary: Vocabulary, text: str | None) -> tuple[np.ndarray, np.nd
     return np.array([t for t, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", most: int = MAX_EXAMPLES, most_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", most: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
     """Learn from at most `most` labelled documents that ok() lets through; document frequencies come from all documents.
 
     Equal texts among the examples count once (the greatest label holds). What comes to the driver is bounded by
-    most and most_terms: telling terms, their document frequencies, and the examples' term counts.
+    most: the examples' terms, their document frequencies, and the examples' term counts.
     """
     sc = docs.sparkSession.sparkContext
     chosen = sampled_labels(labels, label, ok, most).toPandas()
@@ -252,26 +262,49 @@ def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", mo
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pick, "doc_id long, text string, y int")
     examples = written(rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text")), "toxicity-examples")
-    terms = telling_terms(examples, most_terms)
+    terms = all_terms(examples)
     df, n = document_frequencies(docs, "text", terms)
     idf = np.log((n + 1) / (df + 1)) + 1
-    numbers = sc.broadcast({t: i for i, t in enumerate(terms)})
+    shared = sc.broadcast(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(numbers.value)
+        vocabulary = Vocabulary(shared.value)
         for batch in batches:
             found = [counted(vocabulary, t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.float64()))], names=["doc_id", "y", "t", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[j].astype(np.uint32).tobytes() for x in found], pa.binary()) for j in (0, 1)]], names=["doc_id", "y", "t", "c"])
+
+    made = written(examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t binary, c binary"), "toxicity-vectors")
+    got = made.toArrow().sort_by("doc_id")
+    labels, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy()
+    pairs = [tuple(np.frombuffer(x, dtype=np.uint32) for x in pair) for pair in zip(got.column("t").to_pylist(), got.column("c").to_pylist(), strict=True)]
+    del got
+    bare = np.array([not len(t) for t, _ in pairs], dtype=bool)
+    prior = float((labels[bare].sum() + 0.5) / (bare.sum() + 10))
+    index = BlockMaxIndex(idf, pairs, labels, ids)
+    del pairs
+    asked = sc.broadcast(index)
+
+    def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Votes on every example by the others; terms that no other one has are unknown to them."""
+        at, df = {int(i): n for n, i in enumerate(asked.value.ids)}, np.diff(asked.value.start)
+        for batch in batches:
+            rows = [(i, y, np.frombuffer(t, dtype=np.uint32).astype(np.int64), np.frombuffer(c, dtype=np.uint32)) for i, y, t, c in zip(*batch.to_pydict().values(), strict=True) if t]
+            shares = [df[t] > 1 for _, _, t, _ in rows]
+            found = asked.value.search_many([(t[s], c[s]) for (_, _, t, c), s in zip(rows, shares, strict=True)], k, [at[i] for i, *_ in rows])
+            x = [votes(asked.value, *f) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in rows], pa.int64()), pa.array([y for _, y, *_ in rows], pa.int32()), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["doc_id", "y", "share", "nearest"])
 
-    got = examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<long>, c array<double>").toPandas().sort_values("doc_id")
-    pairs = [(np.asarray(t, dtype=np.int64), np.asarray(c, dtype=np.float64)) for t, c in zip(got["t"], got["c"], strict=True)]
-    return Model(terms, idf, pairs, got["y"].to_numpy(dtype=np.int64), got["doc_id"].to_numpy(dtype=np.int64), k)
+    told = made.repartition(sc.defaultParallelism, "doc_id").mapInArrow(itself, "doc_id long, y int, share double, nearest double").toArrow().sort_by("doc_id")
+    rows = np.array([features(a, b) for a, b in zip(told.column("share").to_pylist(), told.column("nearest").to_pylist(), strict=True)])
+    weights = calibrated(rows, told.column("y").to_numpy().astype(float)) if len(rows) else None
+    asked.unpersist()
+    return Model(terms, index, prior, weights, k)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with score, predicted (score >= threshold) and evidence (ids of the nearest examples), each name after prefix.
 
-    Null texts are empty and get the prior, as do texts without telling terms. Repeated rows are scored alike. All other
+    Null texts are empty and get the prior, as do texts without any term of an example. Repeated rows are scored alike. All other
     columns stay; one that has an added name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -281,9 +314,9 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        vocabulary = Vocabulary({t: i for i, t in enumerate(m.terms)})
+        vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            found = [m.score(*counted(vocabulary, t)) for t in batch.column(text_col).to_pylist()]
+            found = m.scores([counted(vocabulary, t) for t in batch.column(text_col).to_pylist()])
             score = [s for s, _ in found]
             extra = [pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])

@@ -109,6 +109,19 @@ def test_toxicity_held_out(labelled, spark):
     assert {r["predicted"] for r in toxicity.scored(d.limit(5), none).collect()} == {0}
 
 
+def test_toxicity_compares_all_words(spark, docs):
+    # the rude words occur in two examples each, too few to tell labels apart by themselves
+    rude = [f"slur{i}x" for i in range(20)]
+    rows = [(i, f"{rude[i // 2]} {rude[i // 2]} was said about n{i} again", "s") for i in range(40)]
+    rows += [(100 + i, f"calm{i // 2} weather calm{i // 2} over m{i} hill", "s") for i in range(60)]
+    rows += [(500 + i, f"q{i} {rude[i]} and {rude[i]} z{i}", "s") for i in range(20)] + [(600, "calm3 calm3", "s"), (601, "unheard", "s")]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _, _ in rows if i < 500], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs(rows), toxicity.fit(docs(rows), labels, F.lit(True))).collect()}
+    assert all(got[500 + i]["evidence"][:2] in ([2 * i, 2 * i + 1], [2 * i + 1, 2 * i]) and got[500 + i]["predicted"] == 1 for i in range(20))
+    assert set(got[600]["evidence"][:2]) == {106, 107} and got[600]["predicted"] == 0
+    assert got[601]["evidence"] == [] and got[601]["predicted"] == 0
+
+
 def test_quality_held_out(labelled):
     d, l = labelled
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
