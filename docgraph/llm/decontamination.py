@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, with_fields, words_of, written
@@ -27,6 +27,8 @@ _GLUED = re.compile(r"[+-]?[$€£]?\d[\d.,]*([^\W\d_]+)\Z")
 _EDGE = "\"'`.,;:!?()[]{}<>*_~“”‘’«»…-"
 _NAME, _NUM, _UNIT, _END = 1, 2, 4, 8
 _FLAGS = np.uint64(15)
+#: Low bits of a slot's value: a number may become any other number, a name or unit stands for one value in a run.
+_FREE, _BOUND = np.uint64(1), np.uint64(2)
 _KINDS = {"name": np.uint64(0xA1), "number": np.uint64(0xB2), "unit": np.uint64(0xC3), "measure": np.uint64(0xD4)}
 
 
@@ -71,7 +73,7 @@ def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
     out = np.where(name, _KINDS["name"], value)
     out = np.where(unit & ~number & after, _KINDS["unit"], out)
     out = np.where(number, np.where(unit, _KINDS["measure"], _KINDS["number"]), out)
-    return out, value, (out != value)
+    return out, value | np.where(number, _FREE, _BOUND), (out != value)
 
 
 def windows(template: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +141,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     """(id, n_windows, items) of the documents that hold a benchmark item's template window.
 
     Both sides become words with typed placeholders for numbers, names and units. Windows of so many words are joined on
-    their hash; an item with fewer words is one window. Hits of one document and item on one diagonal must agree on
-    the slots: an item's value stands for one value in the document, and the other way round. So a question with
-    other numbers or names is found, and a chance mix is not. n_windows counts the windows that agree, items are the
-    items found (sorted).
+    their hash; an item with fewer words is one window. Windows without slots or with equal slot values are hits by
+    themselves. The other windows of a run (overlapping hits of one document and item on one diagonal) must agree on
+    names and units: an item's value stands for one value in the document, and the other way round; numbers are free. So
+    a question with other numbers or names is found, and a chance mix is not. n_windows counts the windows that are
+    hits, items are the items found (sorted).
 
     Documents go through a bit filter of fixed size before the join, so the join sees little but true hits; the join
     is exact whatever the filter lets through. Null and empty texts and items of fewer than five words match nothing;
@@ -155,10 +158,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     found = template_windows(rows, sorted(lengths), False, window_filter(bench))
     found = written(found, "doc-windows").distinct()
     hits = found.join(bench.select("h", "n", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("v").alias("w")), ["h", "n"])
-    pairs = F.expr("filter(arrays_zip(w, v), p -> p.v <> 0)")
-    lines = hits.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
+    hits = hits.withColumn("literal", F.expr("forall(arrays_zip(w, v), p -> p.w = p.v)")).withColumn("diagonal", F.col("at") - F.col("item_at"))
+    line = Window.partitionBy("id", "item", "diagonal", "n").orderBy("at")
+    runs = hits.withColumn("run", F.sum(F.when(F.col("at") - F.lag("at").over(line) < F.col("n"), 0).otherwise(1)).over(line))
+    pairs = F.expr(f"filter(arrays_zip(w, v), p -> p.v & {_BOUND} <> 0)")
+    lines = runs.groupBy("id", "item", "diagonal", "n", "run").agg(F.count("*").alias("all"), F.count_if("literal").alias("literals"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
     agree = (F.size("p") == F.size(F.array_distinct("p.w"))) & (F.size("p") == F.size(F.array_distinct("p.v")))
-    per_item = lines.where(agree).groupBy("id", "item").agg(F.sum("n").alias("n"))
+    per_item = lines.withColumn("n", F.when(agree, F.col("all")).otherwise(F.col("literals"))).where("n > 0").groupBy("id", "item").agg(F.sum("n").alias("n"))
     return per_item.groupBy("id").agg(F.sum("n").cast("long").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("items")).withColumnRenamed("id", id_col)
 
 

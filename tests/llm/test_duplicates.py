@@ -173,3 +173,15 @@ def test_templates(docs, spark):
     assert 3 not in got  # Berta and Carla cannot both be Anna
     assert decontamination.contaminated(docs([]), items).count() == 0
     assert decontamination.contaminated(docs(rows), items.limit(0)).count() == 0
+
+
+def test_template_hits_do_not_fall_with_other_windows(docs, spark):
+    verbatim = "the quiet river runs slowly past the old stone mill while"
+    items = spark.createDataFrame([(1, f"{verbatim} Anna waits for the late train and then Anna goes home with her heavy bag"), (2, "we bought 2 apples for 2 dollars and then walked all the way back"), (3, "we sold 3 melons for 5 dollars and then drove all the way back")], "item_id long, text string")
+    rows = [
+        (1, f"so {verbatim} Berta waits for the late train and then Carla goes home with her heavy bag", "s"),
+        (2, "so we bought 3 apples for 5 dollars and then walked all the way back", "s"),
+        (3, "so we sold 4 melons for 4 dollars and then drove all the way back", "s"),
+    ]
+    got = {r["doc_id"]: (list(r["items"]), r["n_windows"]) for r in decontamination.contaminated(docs(rows), items).collect()}
+    assert got[1] == ([1], 2) and got[2][0] == [2] and got[3][0] == [3]
