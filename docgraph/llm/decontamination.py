@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import mix, with_fields, words_of, written
 
 WINDOW = 10
-#: Items of fewer words are not searched for; shorter windows of that many words and more are whole items.
+#: Items of fewer words have no template windows; shorter windows of that many words and more are whole items. They, and
+#: windows with fewer words that are no placeholders than the second number, are searched for as they are only.
 LEAST_WORDS = 5
-#: A window needs so many words that are no placeholders.
 LEAST_LITERALS = 4
 #: Bits of the filter that documents are held against before the join; its size does not grow with the benchmark.
 FILTER_BITS = 24
@@ -55,8 +55,8 @@ class Tokens(dict):
         return value
 
 
-def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, value, is slot) per word.
+def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, value, is slot, may open as a name, place) per word, and the plain hash of every word, symbols too.
 
     Numbers, numbers with a unit, units after a number and capitalised words that do not begin a sentence become typed
     placeholders (value keeps the word); words without a letter or digit are left out.
@@ -66,63 +66,104 @@ def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
     value = v & ~_FLAGS
     ends = np.r_[True, (v[:-1] & np.uint64(_END)) > 0] if len(v) else np.empty(0, bool)
     real = value != np.uint64(xxhash.xxh64_intdigest("") & ~15)
+    plain = value
+    if not real.all():
+        plain = value.copy()
+        plain[~real] = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(~real)]
     v, value, begins = v[real], value[real], ends[real]
     number, unit = (v & np.uint64(_NUM)) > 0, (v & np.uint64(_UNIT)) > 0
     after = np.r_[False, number[:-1] & ~unit[:-1]] if len(v) else number
+    opens = (v & np.uint64(_NAME) > 0) & begins
     name = (v & np.uint64(_NAME) > 0) & ~begins
     out = np.where(name, _KINDS["name"], value)
     out = np.where(unit & ~number & after, _KINDS["unit"], out)
     out = np.where(number, np.where(unit, _KINDS["measure"], _KINDS["number"]), out)
-    return out, value | np.where(number, _FREE, _BOUND), (out != value)
+    return out, value | np.where(number, _FREE, _BOUND), (out != value), opens & (out == value), np.flatnonzero(real), plain
 
 
-def windows(template: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every run of n words with enough literal words."""
+def windows(template: np.ndarray, slot: np.ndarray, n: int, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, opened) of every run of n words with enough literal words.
+
+    A window whose first word opens a sentence and may be a name comes a second time (opened) with it as a name slot, as
+    the other side may have it in the middle of one.
+    """
     if len(template) < n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
     count = len(template) - n + 1
-    h = np.full(count, n, dtype=np.uint64)
-    for i in range(n):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + template[i : count + i])
+    h = runs(template, n)
     literal = np.r_[0, np.cumsum(~slot)]
-    good = literal[n:] - literal[:-n] >= min(LEAST_LITERALS, n)
-    return np.flatnonzero(good), h[good]
+    literal = literal[n:] - literal[:-n]
+    least = min(LEAST_LITERALS, n)
+    good = np.flatnonzero(literal >= least)
+    again = np.flatnonzero(opens[:count] & (literal > least))
+    if not len(again):
+        return good, h[good], np.zeros(len(good), bool)
+    x = np.full(len(again), n, dtype=np.uint64)
+    for i in range(n):
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + (template[again + i] if i else _KINDS["name"]))
+    return np.r_[good, again], np.r_[h[good], x], np.r_[np.zeros(len(good), bool), np.ones(len(again), bool)]
+
+
+def runs(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of every run of n words."""
+    count = len(words) - n + 1
+    h = np.full(count, n + seed, dtype=np.uint64)
+    for i in range(n):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : count + i])
+    return h
+
 
+def text_windows(rows: DataFrame, lengths: list[int], whole_items: bool, filter_words: np.ndarray | None = None) -> DataFrame:
+    """rows(id, text) as (id, n, at, place, h, v): windows of the given lengths with the values of their slots.
 
-def template_windows(rows: DataFrame, lengths: list[int], whole_items: bool, filter_words: np.ndarray | None = None) -> DataFrame:
-    """rows(id, text) as (id, n, at, h, v): template windows of the given lengths with the values of their slots.
+    n is less than 0 for windows of -n plain lower-case words, symbols included, that have no slots. at counts the words of
+    the kind, place all words.
 
     whole_items: a text shorter than the longest length gives one window of all its words. filter_words: keep windows
     whose bit is set.
     """
-    schema = with_fields(rows.select("id").schema, "n int, at int, h long, v array<long>")
+    schema = with_fields(rows.select("id").schema, "n int, at int, place int, h long, v array<long>")
     n_most, mask = max(lengths), np.uint64(2**FILTER_BITS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
-            ids, ns, ats, hs, vs = [], [], [], [], []
-            texts = batch.column(1).to_pylist()
-            for row, text in enumerate(texts):
-                template, value, slot = canonical(text, tokens)
-                for n in ([min(n_most, len(template))] if whole_items else lengths):
-                    if n < LEAST_WORDS:
+            ids, ns, ats, places, hs, vs = [], [], [], [], [], []
+
+            def batched() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ns, pa.int32()), pa.array(ats, pa.int32()), pa.array(places, pa.int32()), pa.array(hs, pa.int64()), pa.array(vs, pa.list_(pa.int64()))], names=schema.names)
+
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                template, value, slot, opens, real, plain = canonical(text, tokens)
+                for n in ([min(n_most, len(template)), -min(n_most, len(plain))] if whole_items else lengths):
+                    if -len(plain) <= n < 0:
+                        h = runs(plain, -n, 1 << 32)
+                        at, opened, place = np.arange(len(h)), np.zeros(len(h), bool), np.arange(len(h))
+                    elif n >= LEAST_WORDS:
+                        at, h, opened = windows(template, slot, n, opens)
+                        place = real[at]
+                    else:
                         continue
-                    at, h = windows(template, slot, n)
                     if filter_words is not None and len(h):
                         bit = h & mask
                         hit = (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                        at, h = at[hit], h[hit]
-                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        ids.append(row)
-                        ns.append(n)
-                        ats.append(i)
-                        hs.append(x)
-                        vs.append(np.where(slot[i : i + n], value[i : i + n], np.uint64(0)).view(np.int64).tolist() if slot[i : i + n].any() else [])
+                        at, h, opened, place = at[hit], h[hit], opened[hit], place[hit]
+                    for i, x, o in zip(at.tolist(), h.view(np.int64).tolist(), opened.tolist(), strict=True):
+                        v = []
+                        if n > 0 and (o or slot[i : i + n].any()):
+                            v = np.where(slot[i : i + n], value[i : i + n], np.uint64(0))
+                            v[0] = value[i] if o else v[0]
+                            v = v.view(np.int64).tolist()
+                        vs.append(v)
+                    ids += [row] * len(at)
+                    ns += [n] * len(at)
+                    ats += at.tolist()
+                    places += place.tolist()
+                    hs += h.view(np.int64).tolist()
                 if len(ids) > 20_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(ns, pa.int32()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(vs, pa.list_(pa.int64()))], names=schema.names)
-                    ids, ns, ats, hs, vs = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ns, pa.int32()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(vs, pa.list_(pa.int64()))], names=schema.names)
+                    yield batched()
+                    ids, ns, ats, places, hs, vs = [], [], [], [], [], []
+            yield batched()
 
     return rows.select("id", "text").mapInArrow(run, schema)
 
@@ -141,30 +182,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     """(id, n_windows, items) of the documents that hold a benchmark item's template window.
 
     Both sides become words with typed placeholders for numbers, names and units. Windows of so many words are joined on
-    their hash; an item with fewer words is one window. Windows without slots or with equal slot values are hits by
+    their hash; an item with fewer words is one window. Besides, windows of plain lower-case words are joined as they
+    are, so verbatim items are found however short or full of numbers and names. Windows without slots or with equal slot values are hits by
     themselves. The other windows of a run (overlapping hits of one document and item on one diagonal) must agree on
     names and units: an item's value stands for one value in the document, and the other way round; numbers are free. So
-    a question with other numbers or names is found, and a chance mix is not. n_windows counts the windows that are
-    hits, items are the items found (sorted).
+    a question with other numbers or names is found, and a chance mix is not. n_windows counts the places where
+    a window is a hit, by item; items are the items found (sorted).
 
     Documents go through a bit filter of fixed size before the join, so the join sees little but true hits; the join
-    is exact whatever the filter lets through. Null and empty texts and items of fewer than five words match nothing;
-    null ids are left out. Repeated rows of a document count once. Empty tables give no rows.
+    is exact whatever the filter lets through. Null and empty texts match nothing; items of fewer than five
+    words are found verbatim only; null ids are left out. Repeated rows of a document count once. Empty tables give no rows.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    bench = written(template_windows(items, [window], True).distinct(), "bench-windows")
+    bench = written(text_windows(items, [window], True).distinct(), "bench-windows")
     lengths = [r["n"] for r in bench.select("n").distinct().collect()] or [window]
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = template_windows(rows, sorted(lengths), False, window_filter(bench))
+    found = text_windows(rows, sorted(lengths), False, window_filter(bench))
     found = written(found, "doc-windows").distinct()
     hits = found.join(bench.select("h", "n", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("v").alias("w")), ["h", "n"])
     hits = hits.withColumn("literal", F.expr("forall(arrays_zip(w, v), p -> p.w = p.v)")).withColumn("diagonal", F.col("at") - F.col("item_at"))
     line = Window.partitionBy("id", "item", "diagonal", "n").orderBy("at")
     runs = hits.withColumn("run", F.sum(F.when(F.col("at") - F.lag("at").over(line) < F.col("n"), 0).otherwise(1)).over(line))
     pairs = F.expr(f"filter(arrays_zip(w, v), p -> p.v & {_BOUND} <> 0)")
-    lines = runs.groupBy("id", "item", "diagonal", "n", "run").agg(F.count("*").alias("all"), F.count_if("literal").alias("literals"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
+    lines = runs.groupBy("id", "item", "diagonal", "n", "run").agg(F.collect_set("place").alias("all"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("literals"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
     agree = (F.size("p") == F.size(F.array_distinct("p.w"))) & (F.size("p") == F.size(F.array_distinct("p.v")))
-    per_item = lines.withColumn("n", F.when(agree, F.col("all")).otherwise(F.col("literals"))).where("n > 0").groupBy("id", "item").agg(F.sum("n").alias("n"))
+    per_item = lines.select("id", "item", F.explode(F.when(agree, F.col("all")).otherwise(F.col("literals"))).alias("place")).groupBy("id", "item").agg(F.countDistinct("place").alias("n"))
     return per_item.groupBy("id").agg(F.sum("n").cast("long").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("items")).withColumnRenamed("id", id_col)
 
 

@@ -185,3 +185,17 @@ def test_template_hits_do_not_fall_with_other_windows(docs, spark):
     ]
     got = {r["doc_id"]: (list(r["items"]), r["n_windows"]) for r in decontamination.contaminated(docs(rows), items).collect()}
     assert got[1] == ([1], 2) and got[2][0] == [2] and got[3][0] == [3]
+
+
+def test_verbatim_short_and_slot_heavy_items(docs, spark):
+    items = spark.createDataFrame([(1, "What is the capital of France today"), (2, "2 + 2 = 4"), (3, "Anna 3 km Bob 5 km Carla 7 km"), (4, "Anna has 3 red apples and 4 pears"), (5, "Grün ist schön")], "item_id long, text string")
+    rows = [
+        (1, "Question: What is the capital of France today", "s"),
+        (2, "we know that 2 + 2 = 4 holds", "s"),
+        (3, "they ran: Anna 3 km Bob 5 km Carla 7 km in all", "s"),
+        (4, "So, Berta has 5 red apples and 6 pears", "s"),
+        (5, "denn grün ist schön!", "s"),
+        (6, "3 + 2 = 5 and the capital of Spain", "s"),
+    ]
+    got = {r["doc_id"]: list(r["items"]) for r in decontamination.contaminated(docs(rows), items).collect()}
+    assert got == {i: [i] for i in range(1, 6)}
