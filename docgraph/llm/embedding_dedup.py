@@ -17,8 +17,9 @@ SIMILARITY = 0.98
 #: Vectors in a shard and queries in a block, at most about; their numbers grow with the table.
 SHARD_ROWS = 8_192
 LINKS, BUILD_BEAM, BEAM = 12, 48, 24
-#: Queries per task that are also answered by brute force, and the recall that they have to reach.
-AUDITS, RECALL = 64, 1.0
+#: Queries per task, at least, that are also answered by brute force, links besides copies that they have to show
+#: (or all queries are answered so), and the recall that they have to reach.
+AUDITS, AUDIT_LINKS, RECALL = 64, 64, 1.0
 _SLICE = 128
 
 
@@ -173,10 +174,20 @@ def linked_pairs(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, simi
 
     A query whose whole beam is similar is searched again with twice the beam, so no number of partners is a bound. Then
     every audited query is answered by brute force; while their links aren't all found, all beams are doubled. A beam
-    of the whole shard is a full scan.
+    of the whole shard is a full scan. Where links are rare more queries are audited; if all are, their answers stand.
     """
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITS, len(queries))).astype(np.int64))
-    truth = [np.flatnonzero(exact @ queries[i] >= similarity) for i in audit]
+    audit, truth, shown = np.empty(0, np.int64), [], 0
+    while len(audit) < len(queries) and (len(audit) < AUDITS or shown < AUDIT_LINKS):
+        rest = np.setdiff1d(np.arange(len(queries)), audit)
+        more = rest[np.unique(np.linspace(0, len(rest) - 1, min(max(AUDITS, len(audit)), len(rest))).astype(np.int64))]
+        for a in range(0, len(more), _SLICE):
+            cosine = queries[more[a : a + _SLICE]] @ exact.T
+            truth += [np.flatnonzero(c >= similarity) for c in cosine]
+            shown += int(((cosine >= similarity) & (cosine < 1 - 1e-9)).sum())
+        audit = np.r_[audit, more]
+    if len(audit) == len(queries):
+        order = np.argsort(audit)
+        return np.repeat(audit[order], [len(truth[i]) for i in order]), np.concatenate([truth[i] for i in order] or [np.empty(0, np.int64)]), 1.0
     wanted = sum(len(t) for t in truth)
     while True:
         q, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)]

@@ -199,3 +199,30 @@ def test_verbatim_short_and_slot_heavy_items(docs, spark):
     ]
     got = {r["doc_id"]: list(r["items"]) for r in decontamination.contaminated(docs(rows), items).collect()}
     assert got == {i: [i] for i in range(1, 6)}
+
+
+def test_rare_links_between_shards_are_found():
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    shard, queries = unit(rng.normal(size=(3000, 16))), unit(rng.normal(size=(1000, 16)))
+    queries[[5, 501, 777]] = unit(shard[[10, 1500, 2999]] + rng.normal(size=(3, 16)) * 0.01)
+
+    class Blind(embedding_dedup.SmallWorld):
+        def search(self, queries, beam):
+            yield 0, np.full((len(queries), 1), -1), np.full((len(queries), 1), -np.inf)
+
+    graph = Blind.__new__(Blind)  # a graph whose beams miss everything
+    q, s, recall = embedding_dedup.linked_pairs(graph, shard, queries, 0.98)
+    want = np.argwhere(queries @ shard.T >= 0.98)
+    assert recall == 1.0 and len(want) >= 3 and np.array_equal(np.c_[q, s], want)
+
+
+def test_links_of_shards_larger_than_the_beam(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 16))
+    v[600:640] = v[:40] + rng.normal(size=(40, 16)) * 0.02
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_links(df, shard_rows=300).collect()}
+    assert got == {i: int(close[i].sum()) - 1 for i in range(900)}
