@@ -17,11 +17,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-#: Runs of words that hold a digit or an @; candidates are one to MOST_WORDS neighbouring words of a run.
+#: Runs of words that hold a digit or an @; candidates are neighbouring words of a run. A number of any kind has at most
+#: MOST_WORDS digits, so it has no more words.
 RUNS = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
-MOST_WORDS = 4
-#: Rounds of scoring; least confidence of an instance; distinct seeds that a pattern needs; weight of an unknown instance.
-ROUNDS, CONFIDENCE, SUPPORT, UNKNOWN = 3, 0.9, 5, 0.1
+MOST_WORDS = 19
+#: Least confidence of an instance; distinct seeds that a pattern needs; weight of an unknown instance.
+CONFIDENCE, SUPPORT, UNKNOWN = 0.9, 5, 0.1
+#: What a value of each kind that context alone tells has to look like, besides being valid.
+LOOKS = {"email": r"^[^\s@]+@[^\s@]+$", "ip": r"^[0-9]+(\.[0-9]+){3}$", "card": r"^[0-9](?:[ .-]?[0-9])+$", "phone": r"^[+(]{0,2}[0-9][0-9 ()./-]*[0-9]$"}
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -99,7 +102,8 @@ def candidates(found: DataFrame) -> DataFrame:
     grams = []
     for n in range(1, MOST_WORDS + 1):
         parts = ["w"] + [f"w{i}" for i in range(1, n)]
-        grams.append(F.when(F.col(parts[-1]).isNotNull(), F.struct(F.concat_ws(" ", *parts).alias("s"), F.coalesce(f"w{n}", "post").alias("right"))))
+        few = F.length(F.regexp_replace(F.concat(*parts), "[^0-9]", "")) <= MOST_WORDS if n > 1 else F.lit(True)
+        grams.append(F.when(F.col(parts[-1]).isNotNull() & few, F.struct(F.concat_ws(" ", *parts).alias("s"), F.coalesce(f"w{n}", "post").alias("right"))))
     each = ahead.select("doc_id", "h", "at", "left", F.explode(F.array(*grams)).alias("g")).where("g is not null").select("doc_id", "h", "at", "left", "g.s", "g.right")
     lead = F.length(F.regexp_extract("s", r"^[\"'(<\[{]*", 0))
     value = F.regexp_replace(F.regexp_replace("s", r"^[\"'(<\[{]+", ""), r"[\"'.,;:!?)>\]}]+$", "")
@@ -111,11 +115,12 @@ def candidates(found: DataFrame) -> DataFrame:
 def discovered(found: DataFrame) -> DataFrame:
     """(doc_id, h, start, end, k, score): confident spans that overlap no base span.
 
-    Seeds are the base spans' values. Patterns are the shape of a value, the word (or shape) left of it, and the one right
-    of it. Round by round, a pattern's confidence for a kind is the score of its distinct instances of the kind over
+    Seeds are the base spans' values. Patterns are the shape of a value, the word (or shape) left of it, the one right
+    of it, and both together. Round by round until no instance is added, a pattern's confidence for a kind is the score of its distinct instances of the kind over
     that of all kinds plus a small weight for every unknown instance; an instance's score is that at least one of its
-    patterns is right, given that its shape is more likely than not the kind's. Instances over CONFIDENCE join the
-    seeds. A new card or address also has to be valid.
+    patterns is right, given that its shape is more likely than not the kind's; where its shape tells no kind, the
+    surest context alone decides and the value has to look like the kind. Instances over CONFIDENCE join the seeds, so
+    new shapes do too. A new instance also has to be valid.
     """
     spans = F.concat(*[_tagged(k, n) for n, k in enumerate(KINDS)])
     base = written(found.where(F.size(spans) > 0).select("doc_id", "h", spans.alias("base")), "pii-base")
@@ -125,25 +130,32 @@ def discovered(found: DataFrame) -> DataFrame:
     over = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     all_ = written(held.select("doc_id", "h", "start", "end", "value", "left", "right", "shape", F.when(F.size(same) > 0, same[0]["k"]).alias("k"), F.coalesce(over, F.lit(False)).alias("over")), "pii-candidates")
     usable = all_.where("k is not null or not over")
-    patterns = F.array(F.concat(F.lit("s:"), "shape"), F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"))
+    patterns = F.array(F.concat(F.lit("s:"), "shape"), F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"), F.when((F.length("left") > 0) & (F.length("right") > 0), F.concat(F.lit("j:"), "left", F.lit(" "), "right")))
     edges = written(usable.select("value", F.explode(patterns).alias("p")).where("length(p) > 2").distinct(), "pii-edges")
     seeds = usable.where("k is not null").groupBy("value").agg(F.min("k").alias("k")).select("value", "k", F.lit(1.0).alias("score"))
     known = written(seeds, "pii-known")
-    for _ in range(ROUNDS):
+    while True:
         weighed = edges.join(known, "value", "left")
         totals = weighed.groupBy("p").agg(*[F.sum(F.when(F.col("k") == n, F.col("score")).otherwise(0.0)).alias(f"s{n}") for n in range(len(KINDS))], F.count(F.when(F.col("k").isNull(), 1)).alias("u"))
         mass = sum((F.col(f"s{n}") for n in range(1, len(KINDS))), F.col("s0")) + F.col("u") * F.lit(UNKNOWN)
         conf = written(totals.select("p", *[F.when(F.col(f"s{n}") >= SUPPORT, F.col(f"s{n}") / mass).otherwise(F.lit(0.0)).alias(f"c{n}") for n in range(len(KINDS))]).where(" or ".join(f"c{n} > 0" for n in range(len(KINDS)))), "pii-conf")
         open_ = edges.join(known, "value", "left_anti").join(conf, "p")
         shaped = F.col("p").startswith("s:")
-        best = [F.when(F.max(F.when(shaped, F.col(f"c{n}"))) >= 0.5, 1 - (1 - F.max(F.when(shaped, F.col(f"c{n}")))) * (1 - F.coalesce(F.max(F.when(~shaped, F.col(f"c{n}"))), F.lit(0.0)))).otherwise(F.lit(0.0)).alias(f"x{n}") for n in range(len(KINDS))]
+        by_shape = [F.coalesce(F.max(F.when(shaped, F.col(f"c{n}"))), F.lit(0.0)) for n in range(len(KINDS))]
+        by_context = [F.coalesce(F.max(F.when(~shaped, F.col(f"c{n}"))), F.lit(0.0)) for n in range(len(KINDS))]
+        looks = [F.col("value").rlike(LOOKS[k]) for k in KINDS]
+        best = [F.when(by_shape[n] >= 0.5, 1 - (1 - by_shape[n]) * (1 - by_context[n])).when((F.greatest(*by_shape) < 0.5) & looks[n] & valid(k, F.col("value")), by_context[n]).otherwise(F.lit(0.0)).alias(f"x{n}") for n, k in enumerate(KINDS)]
         top = F.array_max(F.array(*[F.struct(F.col(f"x{n}").alias("score"), F.lit(-n).alias("m")) for n in range(len(KINDS))]))
         good = {n: valid(k, F.col("value")) for n, k in enumerate(KINDS)}
         ok = F.when(F.col("k") == 1, good[1]).when(F.col("k") == 2, good[2]).when(F.col("k") == 3, good[3]).otherwise(F.col("value").contains("@"))
         new = open_.groupBy("value").agg(*best).select("value", top.alias("t")).select("value", (-F.col("t.m")).alias("k"), "t.score").where((F.col("score") >= CONFIDENCE) & ok)
-        grown = written(known.unionByName(new), "pii-known")
-        remove(found.sparkSession, known, conf)
+        new = written(new, "pii-new")
+        more = not new.isEmpty()
+        grown = written(known.unionByName(new), "pii-known") if more else known
+        remove(found.sparkSession, new, conf, *([known] if more else []))
         known = grown
+        if not more:
+            break
     told = all_.where("not over").join(known.select("value", F.col("k").alias("kind_no"), "score"), "value").select("doc_id", "h", "start", "end", F.col("kind_no").alias("k"), "score").distinct()
     # of overlapping discoveries the surest stays, then the longest, then the first
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), (F.col("start") - F.col("end")).alias("b"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("k").alias("k"))))

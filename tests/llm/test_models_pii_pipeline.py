@@ -57,6 +57,19 @@ def test_context_discovers_what_the_patterns_miss(docs):
     assert all(not r["extra"] for r in got if r["doc_id"] == 101)
 
 
+def test_context_finds_new_shapes_and_long_runs(docs):
+    phone = lambda i: f"+1 (5{i % 90 + 10}) 555-{1000 + i}"
+    rows = [(i, f"some words phone {phone(i)} today please", "s") for i in range(40)]
+    values = ["030-1234567", "06 12 34 56 78", "+33 6 12 34 56 79 190.137.223.204"]
+    rows += [(100 + i, f"my phone {v} today", "s") for i, v in enumerate(values)]
+    # shapes that context told in the first round tell the next value, and its left word one more
+    rows += [(200 + i, f"my phone 040-{1000000 + i} today", "s") for i in range(8)] + [(300 + i, f"ring 040-{2000000 + i} soon", "s") for i in range(8)]
+    rows += [(400, "ring 06 98 76 54 32 soon", "s"), (401, "sold 123456789 pieces", "s")]
+    got = {r["doc_id"]: [(s["start"], s["k"], s["end"]) for s in r["extra"]] for r in pii.find_pii(docs(rows)).where("doc_id >= 100").collect()}
+    assert got[100] == [(9, 3, 20)] and got[101] == [(9, 3, 23)] and got[102] == [(9, 3, 26)]
+    assert got[200] == [(9, 3, 20)] and got[300] == [(5, 3, 16)] and got[400] == [(5, 3, 19)] and got[401] == []
+
+
 def test_redaction(docs):
     out = corpus_pipeline.redact_pii(None, docs([(1, "mail a@b.co or 10.0.0.1!", "s"), (2, None, "s"), (3, "é clean", "s")]), "")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
