@@ -3,202 +3,242 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_fields, words_of, written
+from .byte_words import Numbers, terms_of
+from .common import with_fields, written
 
 #: Bound of the labelled examples, chosen by a hash of their id. All their terms are indexed.
 MAX_EXAMPLES = 20_000
-NEIGHBOURS = 15
+#: Neighbours that vote: this many times the root of the number of examples; nearest ones that are named as evidence.
+VOTERS, EVIDENCE = 2.5, 15
 #: Examples in a block, terms of most examples that are kept as dense rows with block maxima, queries searched in step.
-BLOCK, COMMON, STEP = 64, 256, 64
-#: Lengths of word beginnings that are terms beside the words, so inflected forms meet.
-PREFIXES = (4, 5)
-_EDGE = "\"'`.,;:!?()[]{}<>*_~#&%$|“”‘’«»…-"
+BLOCK, COMMON, STEP = 64, 512, 256
+#: Groups of examples with like common terms; blocks hold neighbours of one group, which makes their bounds tight.
+GROUPS, ROUNDS = 32, 6
+#: Single precision is used for the sums; examples this near the last voter are compared again in double precision.
+NEAR = 1e-5
 
 
-def terms_of(word: str) -> list[str]:
-    """The bare lower-case word and its beginnings (marked ^)."""
-    bare = word.strip(_EDGE).lower()
-    return ([bare] if bare else []) + ["^" + bare[:n] for n in PREFIXES if len(bare) >= n]
-
-
-def term_hashes(word: str) -> tuple[int, ...]:
-    return tuple(map(xxhash.xxh64_intdigest, terms_of(word)))
-
-
-class Vocabulary(dict):
-    """word -> numbers of its terms, being their places in the sorted hashes of the index; remembered up to a bound."""
-
-    limit = 300_000
-
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.hashes = memoryview(np.ascontiguousarray(hashes))
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        found = [(bisect_left(self.hashes, h), h) for h in term_hashes(word)]
-        value = self[word] = tuple(n for n, h in found if n < len(self.hashes) and self.hashes[n] == h)
-        return value
-
-    def counts(self, text: str | None) -> Counter:
-        found: Counter = Counter()
-        get = self.__getitem__
-        for entry in filter(None, map(get, words_of(text))):
-            found.update(entry)
-        return found
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] of them, then those of first[1], and so on."""
+    out = np.repeat(first - np.cumsum(n) + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples: postings per term, and for the commonest terms dense rows by blocks of examples.
+    """Unit TF-IDF vectors of examples: postings per term, and the commonest terms as dense rows by blocks of examples.
 
-    search_many() adds up the postings of the other terms, which gives each block an upper bound together with the
-    common terms' block maxima; the common terms are then added only in blocks that can reach the k-th best cosine. So
-    the result is that of a full scan.
+    Weights are (1 + ln tf) ln((N + 1) / df). A search adds up the postings of the other terms, which together with the
+    common terms' block maxima bounds every cosine of a block from above. The common terms are added in the blocks of the
+    highest bounds first, then only where the bound reaches the k-th best cosine so far. So the result is that of a full scan.
     """
 
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
-        norm = np.array([np.linalg.norm((1 + np.log(tf)) * idf[t]) for t, tf in vectors])
-        some = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        # examples of like norms share blocks, which makes the bounds tight
-        some.sort(key=lambda i: (norm[i], ids[i]))
-        self.idf, self.labels, self.ids = idf, labels[some], ids[some]
-        self.blocks = max(1, -(-len(some) // BLOCK))
-        self.inverse = np.zeros(self.blocks * BLOCK)
-        self.inverse[: len(some)] = 1 / norm[some]
-        term = np.concatenate([vectors[i][0].astype(np.uint32) for i in some]) if some else np.empty(0, np.uint32)
-        order = np.argsort(term, kind="stable")
-        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))]
-        del term
-        self.doc = narrow(np.repeat(np.arange(len(some), dtype=np.uint32), [len(vectors[i][0]) for i in some]))[order]
-        self.tf = narrow(np.concatenate([vectors[i][1].astype(np.uint32) for i in some]) if some else np.empty(0, np.uint32))[order]
-        self.ready = False
+    def __init__(self, idf: np.ndarray, cut: np.ndarray, term: np.ndarray, tf: np.ndarray, labels: np.ndarray):
+        """The terms of example i are term[cut[i] : cut[i + 1]], sorted; examples without any find nothing and are never found."""
+        self.idf = idf
+        n = len(labels)
+        owner = np.repeat(np.arange(n), np.diff(cut))
+        w = (1 + np.log(tf)) * idf[term]
+        norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=n))
+        df = np.bincount(term, minlength=len(idf))
+        self.common = np.argsort(-df, kind="stable")[: min(COMMON, int((df > n / 64).sum()))]
+        self.place = np.argsort(self._grouped(owner, term, w / np.maximum(norm, 1e-300)[owner], n), kind="stable")  # example no. at a position
+        self.labels = labels[self.place]
+        size = np.diff(cut)[self.place]
+        at = spans(cut[:-1][self.place], size)
+        self.cut, self.term, self.tf = np.r_[0, np.cumsum(size)], term[at].astype(np.int32), tf[at].astype(np.min_scalar_type(int(tf.max(initial=0))))
+        self.inverse = np.where(norm > 0, 1 / np.maximum(norm, 1e-300), 0)[self.place]
+        self.blocks = max(1, -(-n // BLOCK))
+        self._ready = False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"ready": False}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_ready": False}
+
+    def _row_of(self) -> np.ndarray:
+        row = np.full(len(self.idf), -1)
+        row[self.common] = np.arange(len(self.common))
+        return row
+
+    def _grouped(self, owner: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """A sort key: the nearest of some means of the common terms' weights, then how much these terms weigh."""
+        row = self._row_of()[term]
+        some = row >= 0
+        dense = np.zeros((n, len(self.common)), np.float32)
+        dense[owner[some], row[some]] = w[some]
+        if not dense.size:
+            return np.zeros(n)
+        mean = dense[np.unique(np.linspace(0, n - 1, GROUPS).astype(int))]
+        for _ in range(ROUNDS):
+            mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+            group = (dense @ mean.T).argmax(axis=1)
+            mean = np.stack([dense[group == g].sum(axis=0) if (group == g).any() else mean[g] for g in range(len(mean))])
+        return group * 2 + np.linalg.norm(dense, axis=1)
 
     def prepare(self) -> None:
-        """The dense rows, made where they are used and not sent along."""
-        df = np.diff(self.start)
-        common = np.argsort(-df, kind="stable")[: min(COMMON, int((df > len(self.ids) / 16).sum()))]
-        self._log = np.r_[0.0, 1 + np.log(np.arange(1, int(self.tf.max(initial=0)) + 1))]
-        self._row = np.full(len(self.idf), -1)
-        self._row[common] = np.arange(len(common))
-        dense = np.zeros((len(common), self.blocks * BLOCK))
-        for row, t in zip(dense, common, strict=True):
-            at = slice(self.start[t], self.start[t + 1])
-            row[self.doc[at]] = self._log[self.tf[at]] * self.idf[t] * self.inverse[self.doc[at]]
-        cut = dense.reshape(len(common), self.blocks, BLOCK)
-        self._most, self._dense = cut.max(axis=2), np.ascontiguousarray(cut.transpose(1, 0, 2))
-        self.ready = True
-
-    @staticmethod
-    def weigh(idf: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * idf[terms]
-        return w / math.sqrt(float(w @ w)) if len(w) else w
-
-    def search(self, terms: np.ndarray, tf: np.ndarray, k: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of the k nearest, ties by example order; only cosines over 0."""
-        return self.search_many([(terms, tf)], k, None if leave_out is None else [leave_out])[0]
-
-    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """search() for many queries; leave_out has a position for each."""
-        if not self.ready:
+        """Postings and dense rows, made where they are used and not sent along."""
+        n, width = len(self.labels), self.blocks * BLOCK
+        self._row, self._log = self._row_of(), np.r_[0.0, 1 + np.log(np.arange(1, int(self.tf.max(initial=0)) + 1))]
+        doc = np.repeat(np.arange(n), np.diff(self.cut))
+        w = (self._log[self.tf] * self.idf[self.term] * self.inverse[doc]).astype(np.float32)
+        row = self._row[self.term]
+        some = row >= 0
+        dense = np.zeros((width, len(self.common)), np.float32)
+        dense[doc[some], row[some]] = w[some]
+        self._dense = [np.ascontiguousarray(dense[b * BLOCK : (b + 1) * BLOCK].T) for b in range(self.blocks)]
+        self._most = np.stack([d.max(axis=1) for d in self._dense], axis=1)
+        rest = np.flatnonzero(~some)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self._doc, self._w = doc[rest], w[rest]
+        self._start = np.r_[0, np.cumsum(np.bincount(self.term[rest], minlength=len(self.idf)))]
+        self._query = np.zeros(len(self.idf))
+        self._ready = True
+
+    def weigh(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.idf[terms]
+        norm = math.sqrt(float(w @ w))
+        return w / norm if norm else w
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(positions, cosines) of the k nearest of every query (terms, tf), nearest first, ties by position; only cosines over 0.
+
+        leave_out has a position for each query that isn't compared with it.
+        """
+        if not self._ready:
             self.prepare()
         out = []
         for a in range(0, len(queries), STEP):
-            out += self._step(queries[a : a + STEP], k, leave_out[a : a + STEP] if leave_out is not None else None)
+            out += self._step(queries[a : a + STEP], min(k, max(1, len(self.labels))), leave_out[a : a + STEP] if leave_out is not None else None)
         return out
 
     def _step(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
         count, width = len(queries), self.blocks * BLOCK
-        score, common = np.zeros((count, width)), np.zeros((count, len(self._most)))
-        for i, (terms, tf) in enumerate(queries):
-            q, row = self.weigh(self.idf, terms, tf), self._row[terms]
-            common[i, row[row >= 0]] = q[row >= 0]
-            terms, q = terms[row < 0], q[row < 0] * self.idf[terms[row < 0]]
-            first = self.start[terms]
-            n = self.start[terms + 1] - first
-            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score[i] = np.bincount(self.doc[at], weights=np.repeat(q, n) * self._log[self.tf[at]], minlength=width) * self.inverse
+        score, common = np.zeros((count, width), np.float32), np.zeros((count, len(self.common)), np.float32)
+        weights = [self.weigh(*q) for q in queries]
+        for i, ((terms, _), q) in enumerate(zip(queries, weights, strict=True)):
+            row = self._row[terms]
+            some = row >= 0
+            common[i, row[some]] = q[some]
+            terms, q = terms[~some], q[~some].astype(np.float32)
+            n = self._start[terms + 1] - self._start[terms]
+            at = spans(self._start[terms], n)
+            np.add.at(score[i], self._doc[at], self._w[at] * np.repeat(q, n))
         if leave_out is not None:
             score[np.arange(count), leave_out] = -np.inf
-        bound = score.reshape(count, self.blocks, BLOCK).max(axis=2) + common @ self._most
-        most = min(4, self.blocks)
+        cells = score.reshape(count, self.blocks, BLOCK)
+        bound = cells.max(axis=2) + common @ self._most
+        first = min(self.blocks, -(-4 * k // BLOCK))
         wanted = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(wanted, np.argpartition(-bound, most - 1, axis=1)[:, :most], True, axis=1)
+        np.put_along_axis(wanted, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
         self._visit(score, common, wanted)
-        k = min(k, width)
-        least = np.partition(score, width - k, axis=1)[:, width - k]
-        self._visit(score, common, (bound >= least[:, None] - 1e-12) & ~wanted)
-        out = []
-        for x, least in zip(score, np.partition(score, width - k, axis=1)[:, width - k], strict=True):
-            at = np.flatnonzero((x >= least) & (x > 0))
-            at = at[np.lexsort((at, -x[at]))][:k]
-            out.append((at, x[at]))
-        return out
+        seen = cells[wanted].reshape(count, -1)
+        least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+        self._visit(score, common, (bound >= least[:, None] - NEAR) & ~wanted)
+        return [self._best(score[i], least[i], k, queries[i][0], weights[i]) for i in range(count)]
 
     def _visit(self, score: np.ndarray, common: np.ndarray, wanted: np.ndarray) -> None:
         for block in np.flatnonzero(wanted.any(axis=0)):
             some = np.flatnonzero(wanted[:, block])
             score[some, block * BLOCK : (block + 1) * BLOCK] += common[some] @ self._dense[block]
 
-
-def votes(index: BlockMaxIndex, at: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
-    """Share of label 1 among the neighbours, weighted by 1 / (distance + 0.05), and the nearest cosine."""
-    if not len(at):
-        return 0.0, 0.0
-    w = 1 / (1 - np.minimum(cosine, 1) + 0.05)
-    return float(w @ index.labels[at] / w.sum()), float(cosine[0])
-
-
-def calibrated(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
+    def _best(self, score: np.ndarray, least: float, k: int, terms: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(score >= max(least - NEAR, 1e-12))
+        x = score[at]
+        if len(at) > k:
+            last = float(np.partition(x, len(x) - k)[len(x) - k])
+            some = x >= last - NEAR
+            at, x = at[some], x[some].astype(np.float64)
+            if len(at) > k:
+                edge = x <= last + NEAR
+                x[edge] = self._cosines(at[edge], terms, q)
+        order = np.lexsort((at, -x))[:k]
+        return at[order], x[order].astype(np.float64)
+
+    def _cosines(self, at: np.ndarray, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """In double precision."""
+        self._query[terms] = q
+        n = self.cut[at + 1] - self.cut[at]
+        where = spans(self.cut[at], n)
+        parts = self._log[self.tf[where]] * self.idf[self.term[where]] * self._query[self.term[where]]
+        self._query[terms] = 0
+        return np.add.reduceat(parts, np.cumsum(n) - n) * self.inverse[at]
+
+
+def votes(labels: np.ndarray, cosine: np.ndarray, size: float) -> list[float]:
+    """What the calibration sees: log odds of the share of label 1, each vote weighed by 1 / (distance + 0.05); nearest cosine; log of the terms."""
+    share, nearest = 0.0, 0.0
+    if len(labels):
+        w = 1 / (1 - np.minimum(cosine, 1) + 0.05)
+        share, nearest = float(w @ labels / w.sum()), float(cosine[0])
+    return [math.log((share + 0.005) / (1.005 - share)), nearest, math.log1p(size)]
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     """Logistic weights for features x, fitted by Newton steps with a small ridge."""
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (p - y) + 0.1 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (p - y) + 0.05 * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
         w = w - np.linalg.solve(h, g)
     return w
 
 
-def features(share: float, nearest: float) -> list[float]:
-    return [share, nearest, share * nearest]
-
-
 def sampled_labels(labels: DataFrame, label: str, ok: Column, most: int = MAX_EXAMPLES) -> DataFrame:
     """(doc_id, y) of at most so many labelled documents, by a hash of the id; of several labels of one id the greatest holds."""
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ok).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     return one.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
 
 
-def all_terms(examples: DataFrame) -> np.ndarray:
-    """Sorted 64-bit hashes of all terms of the examples."""
+def counted(texts: list[str | None], numbers: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text number, term numbers, their counts) of every text that has a known term; the terms are sorted."""
+    late: list[np.ndarray] = []
+    for owner, h in terms_of(texts):
+        term = numbers.of(h)
+        late.append((owner[term >= 0] << 32) | term[term >= 0])
+        if not len(owner):
+            continue
+        # the last text of a slice may go on in the next one
+        keys = np.concatenate(late)
+        ends = keys >> 32 < owner[-1]
+        yield from _texts(keys[ends])
+        late = [keys[~ends]]
+    yield from _texts(np.concatenate([np.empty(0, np.int64), *late]))
+
+
+def _texts(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    keys, n = np.unique(keys, return_counts=True)
+    owner, term = keys >> 32, keys & 0xFFFFFFFF
+    if not len(keys):
+        return
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    for a, b in zip(first, np.r_[first[1:], len(keys)], strict=True):
+        yield int(owner[a]), term[a:b], n[a:b]
+
+
+def hashed_terms(examples: DataFrame) -> DataFrame:
+    """examples(doc_id, y, text) as (doc_id, y, h, c): distinct terms as sorted hashes and their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = {w for text in batch.column(0).to_pylist() for w in words_of(text)}
-            mine = np.fromiter({h for w in words for h in term_hashes(w)}, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64))], names=["h"])
+            texts = batch.column(2).to_pylist()
+            mine = [np.empty(0, np.uint64) for _ in texts]
+            for owner, h in terms_of(texts):
+                cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+                for i in np.unique(owner):
+                    mine[i] = np.r_[mine[i], h[cut[i] : cut[i + 1]]]
+            found = [np.unique(h, return_counts=True) for h in mine]
+            packed = [pa.array([x[j].astype(kind).tobytes() for x in found], pa.binary()) for j, kind in ((0, np.uint64), (1, np.uint32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["doc_id", "y", "h", "c"])
 
-    found = examples.select("text").mapInArrow(run, "h long").distinct().toArrow()
-    return np.sort(found.column("h").to_numpy().view(np.uint64))
+    return examples.select("doc_id", "y", "text").mapInArrow(run, with_fields(examples.select("doc_id", "y").schema, "h binary, c binary"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -206,13 +246,12 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> t
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        numbers = Numbers(shared.value)
         df = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = {n for w in set(words_of(text)) for n in vocabulary[w]}
-                df[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
-                df[-1] += 1
+            df[-1] += batch.num_rows
+            for _, term, _ in counted(batch.column(0).to_pylist(), numbers):
+                df[term] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
 
@@ -225,100 +264,103 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> t
 class Model:
     """Index, calibration and the score of texts without any term of the examples; of bounded size, so it can be broadcast."""
 
-    def __init__(self, terms: np.ndarray, index: BlockMaxIndex, prior: float, weights: np.ndarray | None, k: int):
-        self.terms, self.index, self.prior, self.weights, self.k = terms, index, prior, weights, k
-
-    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
-        """Calibrated probability of label 1 and the neighbours' ids, nearest first, for every query."""
-        out: list[tuple[float, list[int]]] = [(self.prior, [])] * len(queries)
-        asked = [i for i, (t, _) in enumerate(queries) if len(t)] if self.weights is not None else []
-        for i, (at, cosine) in zip(asked, self.index.search_many([queries[i] for i in asked], self.k), strict=True):
-            if len(at):
-                x = np.r_[1.0, features(*votes(self.index, at, cosine))]
-                out[i] = float(1 / (1 + math.exp(-float(np.clip(x @ self.weights, -40, 40))))), [int(n) for n in self.index.ids[at]]
-        return out
+    def __init__(self, terms: np.ndarray, index: BlockMaxIndex, ids: np.ndarray, prior: float, weights: np.ndarray | None, k: int):
+        self.terms, self.index, self.ids, self.prior, self.weights, self.k = terms, index, ids, prior, weights, k
 
-
-def counted(vocabulary: Vocabulary, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    found = sorted(vocabulary.counts(text).items())
-    return np.array([t for t, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.float64)
-
-
-def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", most: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[list]]:
+        """Calibrated probability of label 1 and the nearest neighbours' ids, nearest first, for every text."""
+        score, evidence = np.full(len(texts), self.prior), [[] for _ in texts]
+        if self.weights is None:
+            return score, evidence
+        if "_numbers" not in self.__dict__:
+            self._numbers = Numbers(self.terms)
+        asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def answer() -> None:
+            for (i, terms, n), (at, cosine) in zip(asked, self.index.search([q[1:] for q in asked], self.k), strict=True):
+                if len(at):
+                    x = np.r_[1.0, votes(self.index.labels[at], cosine, n.sum())]
+                    score[i] = round(float(1 / (1 + math.exp(-float(np.clip(x @ self.weights, -40, 40))))), 6)
+                    evidence[i] = self.ids[self.index.place[at[:EVIDENCE]]].tolist()
+            asked.clear()
+
+        for query in counted(texts, self._numbers):
+            asked.append(query)
+            if len(asked) == STEP:
+                answer()
+        answer()
+        return score, evidence
+
+
+def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
     """Learn from at most `most` labelled documents that ok() lets through; document frequencies come from all documents.
 
-    Equal texts among the examples count once (the greatest label holds). What comes to the driver is bounded by
-    most: the examples' terms, their document frequencies, and the examples' term counts.
+    Every term (run of letters and digits, lower case) of the examples counts. Equal texts among the examples count once (the greatest label
+    holds). What comes to the driver is bounded by most: the examples' terms, their counts and document frequencies. The
+    calibration is fitted on the votes about every example by all others. Null and empty texts have no terms; examples
+    like that set the prior. No usable labels, or an empty table: the prior is all there is. Extra columns are not read.
     """
     sc = docs.sparkSession.sparkContext
-    chosen = sampled_labels(labels, label, ok, most).toPandas()
-    told = sc.broadcast(dict(zip(chosen["doc_id"].tolist(), chosen["y"].tolist(), strict=True)))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ys = [told.value.get(i) for i in batch.column(0).to_pylist()]
-            at = [n for n, y in enumerate(ys) if y is not None]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array([ys[n] for n in at], pa.int32())], names=["doc_id", "text", "y"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pick, "doc_id long, text string, y int")
-    examples = written(rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text")), "toxicity-examples")
-    terms = all_terms(examples)
-    df, n = document_frequencies(docs, "text", terms)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    shared = sc.broadcast(terms)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        for batch in batches:
-            found = [counted(vocabulary, t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[j].astype(np.uint32).tobytes() for x in found], pa.binary()) for j in (0, 1)]], names=["doc_id", "y", "t", "c"])
-
-    made = written(examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t binary, c binary"), "toxicity-vectors")
+    chosen = F.broadcast(sampled_labels(labels, label, ok, most))  # at most `most` rows of two numbers
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    one = hashed_terms(rows).groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
+    made = written(one.select("doc_id", "y", "h", "c"), "toxicity-examples")
     got = made.toArrow().sort_by("doc_id")
-    labels, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy()
-    pairs = [tuple(np.frombuffer(x, dtype=np.uint32) for x in pair) for pair in zip(got.column("t").to_pylist(), got.column("c").to_pylist(), strict=True)]
+    y, ids = got.column("y").to_numpy(), np.array(got.column("doc_id").to_pylist())
+    hashes = [np.frombuffer(b"".join(got.column(name).to_pylist()), dtype=kind) for name, kind in (("h", np.uint64), ("c", np.uint32))]
+    cut = np.r_[0, np.cumsum([len(x) // 8 for x in got.column("h").to_pylist()])].astype(np.int64)
     del got
-    bare = np.array([not len(t) for t, _ in pairs], dtype=bool)
-    prior = float((labels[bare].sum() + 0.5) / (bare.sum() + 10))
-    index = BlockMaxIndex(idf, pairs, labels, ids)
-    del pairs
-    asked = sc.broadcast(index)
+    terms = np.unique(hashes[0])
+    df, n = document_frequencies(docs, "text", terms)
+    idf = np.log((n + 1) / np.maximum(df, 1))
+    bare = np.diff(cut) == 0
+    prior = float((y[bare].sum() + 0.5) / (bare.sum() + 10))
+    index = BlockMaxIndex(idf, cut, np.searchsorted(terms, hashes[0]), hashes[1].astype(np.int64), y.astype(np.float64))
+    del hashes
+    k = max(1, math.ceil(VOTERS * math.sqrt(len(y))))
+    asked = sc.broadcast((index, terms, {d: p for p, d in enumerate(ids[index.place].tolist())}))
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Votes on every example by the others; terms that no other one has are unknown to them."""
-        at, df = {int(i): n for n, i in enumerate(asked.value.ids)}, np.diff(asked.value.start)
+        index, terms, at = asked.value
+        df = np.bincount(index.term, minlength=len(terms))
         for batch in batches:
-            rows = [(i, y, np.frombuffer(t, dtype=np.uint32).astype(np.int64), np.frombuffer(c, dtype=np.uint32)) for i, y, t, c in zip(*batch.to_pydict().values(), strict=True) if t]
-            shares = [df[t] > 1 for _, _, t, _ in rows]
-            found = asked.value.search_many([(t[s], c[s]) for (_, _, t, c), s in zip(rows, shares, strict=True)], k, [at[i] for i, *_ in rows])
-            x = [votes(asked.value, *f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in rows], pa.int64()), pa.array([y for _, y, *_ in rows], pa.int32()), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["doc_id", "y", "share", "nearest"])
-
-    told = made.repartition(sc.defaultParallelism, "doc_id").mapInArrow(itself, "doc_id long, y int, share double, nearest double").toArrow().sort_by("doc_id")
-    rows = np.array([features(a, b) for a, b in zip(told.column("share").to_pylist(), told.column("nearest").to_pylist(), strict=True)])
-    weights = calibrated(rows, told.column("y").to_numpy().astype(float)) if len(rows) else None
+            rows = [(i, y, np.searchsorted(terms, np.frombuffer(h, dtype=np.uint64)), np.frombuffer(c, dtype=np.uint32)) for i, y, h, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "y", "h", "c")), strict=True) if h]
+            queries = [(t[df[t] > 1], c[df[t] > 1].astype(np.int64)) for *_, t, c in rows]
+            found = index.search(queries, k, [at[i] for i, *_ in rows])
+            x = [votes(index.labels[p], cosine, c.sum()) for (p, cosine), (_, c) in zip(found, queries, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for _, y, *_ in rows], pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    told = made.repartition(sc.defaultParallelism, F.xxhash64("h")).mapInArrow(itself, "y int, x array<double>").toPandas()
+    weights = None
+    if len(told):
+        x = np.array(told["x"].to_list())
+        order = np.lexsort((*x.T, told["y"].to_numpy()))  # the sums of the fit don't depend on the order of the tasks
+        weights = calibrated(x[order], told["y"].to_numpy()[order].astype(float))
     asked.unpersist()
-    return Model(terms, index, prior, weights, k)
+    return Model(terms, index, ids, prior, weights, k)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with score, predicted (score >= threshold) and evidence (ids of the nearest examples), each name after prefix.
 
-    Null texts are empty and get the prior, as do texts without any term of an example. Repeated rows are scored alike. All other
-    columns stay; one that has an added name is replaced.
+    Null texts are empty and get the prior, as do texts without any term of an example. Texts of any length are read whole, by
+    slices. Repeated rows are scored alike; an empty table gives no rows. All other columns stay; one that has an added
+    name is replaced, so choose a prefix that no column has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [prefix + x for x in ("score", "predicted", "evidence")]
-    schema = with_fields(docs.drop(*added).schema, "`{}` double, `{}` int, `{}` array<long>".format(*added))
+    kind = "bigint" if model.ids.dtype.kind in "iu" or not len(model.ids) else "double" if model.ids.dtype.kind == "f" else "string"
+    schema = with_fields(docs.drop(*added).schema, f"`{{}}` double, `{{}}` int, `{{}}` array<{kind}>".format(*added))
     kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            found = m.scores([counted(vocabulary, t) for t in batch.column(text_col).to_pylist()])
-            score = [s for s, _ in found]
-            extra = [pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
+            score, evidence = shared.value.scores(batch.column(text_col).to_pylist())
+            extra = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.list_({"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
 
     return kept.mapInArrow(run, schema)

@@ -1,13 +1,16 @@
 """Toxicity, quality, personal data and the pipeline on small rows."""
 
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docgraph.llm import pii, quality, toxicity
+from docgraph.llm import byte_words, pii, quality, toxicity
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -76,20 +79,115 @@ def test_redaction(docs):
     assert got == {1: ("mail <EMAIL> or <IP>!", 21), 2: (None, None), 3: ("é clean", 7)} and out.columns == docs([]).columns
 
 
-def test_block_max_search_is_exact():
+def sparse_rows(rng, n, terms, most):
+    found = [np.sort(rng.choice(terms, rng.integers(0, most), replace=False)) for _ in range(n)]
+    return [(t, rng.integers(1, 6, len(t))) for t in found]
+
+
+@pytest.mark.parametrize(("terms", "most", "k"), [(60, 9, 10), (5000, 200, 40), (3, 3, 7)])
+def test_block_max_search_is_exact(terms, most, k):
     rng = np.random.default_rng(3)
-    vectors = [(np.sort(rng.choice(60, rng.integers(1, 9), replace=False)), rng.integers(1, 5, 8).astype(float)) for _ in range(500)]
-    vectors = [(t, c[: len(t)]) for t, c in vectors] + [(np.empty(0, np.int64), np.empty(0))]
-    index = toxicity.BlockMaxIndex(rng.random(60) + 0.5, vectors, np.zeros(501), np.arange(501))
-    dense = np.zeros((501, 60))
-    for i, (t, c) in enumerate(vectors):
-        dense[i, t] = index.weigh(index.idf, t, c)
-    for t, c in vectors[:50]:
-        q = np.zeros(60)
-        q[t] = index.weigh(index.idf, t, c)
-        at, cosine = index.search(t, c, 10)
-        want = np.sort((dense @ q)[(dense @ q) > 0])[::-1][:10]
-        assert np.allclose(cosine, want) and np.allclose((dense @ q)[index.ids[at]], cosine)
+    rows = [*sparse_rows(rng, 700, terms, most), (np.empty(0, np.int64), np.empty(0, np.int64))]
+    idf = rng.random(terms) + 0.5
+    cut = np.r_[0, np.cumsum([len(t) for t, _ in rows])]
+    index = toxicity.BlockMaxIndex(idf, cut, np.concatenate([t for t, _ in rows]), np.concatenate([c for _, c in rows]), np.zeros(len(rows)))
+    dense = np.zeros((len(rows), terms))
+    for i, (t, c) in enumerate(rows):
+        dense[i, t] = (1 + np.log(c)) * idf[t]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    dense = dense[index.place]
+    queries = rows[:300]
+    at_of = np.argsort(index.place)
+    for out, found in ((False, index.search(queries, k)), (True, index.search(queries, k, [int(at_of[i]) for i in range(300)]))):
+        for i, (at, cosine) in enumerate(found):
+            want = dense @ dense[at_of[i]]
+            if out:
+                want[at_of[i]] = 0
+            best = np.sort(want[want > 1e-9])[::-1][:k]
+            assert np.allclose(cosine, best, atol=1e-5) and np.allclose(want[at], cosine, atol=1e-5) and len(set(at.tolist())) == len(at)
+            assert np.allclose(np.sort(want[at])[::-1], best, atol=1e-9)  # no farther one stands in for a nearer one
+
+
+def test_hash_numbers():
+    rng = np.random.default_rng(1)
+    known = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    known = np.r_[np.uint64(0), known]
+    got = byte_words.Numbers(known).of(np.r_[known, known + np.uint64(1)])
+    assert got[: len(known)].tolist() == list(range(len(known))) and (got[len(known) :] == -1).sum() >= len(known) - 2
+    assert byte_words.Numbers(np.empty(0, np.uint64)).of(known).max() == -1
+
+
+def plain_terms(text):
+    """Lower-case runs of letters and digits; what lies in U+0080-U+00BF and U+2000-U+207F is no letter."""
+    letter = lambda c: (c.isalnum() if c.isascii() else not (0x80 <= ord(c) < 0xC0 or 0x2000 <= ord(c) < 0x2080))
+    return "".join(c if letter(c) else " " for c in (text or "").lower()).split(" ")
+
+
+def test_terms_of_slices_equal_plain_ones(monkeypatch):
+    texts = ["Über «die» Brücke\u2026 don't", "", None, "x" * 500 + " yé", "a b\tc\nD " * 90, "\U0001f600 ok"]
+    one = {}
+    for text in texts:
+        for term in plain_terms(text):
+            one.setdefault(term, len(one))
+    seen = {}
+    for size in (1_500_000, 200):
+        monkeypatch.setattr(byte_words.slices, "__defaults__", (size,))
+        got = [[] for _ in texts]
+        for owner, h in byte_words.terms_of(texts):
+            for i, x in zip(owner.tolist(), h.tolist(), strict=True):
+                got[i].append(x)
+        for i, text in enumerate(texts):
+            if size > 1000 or len(text or "") != 503:  # a run longer than a slice is cut
+                want = [x for x in plain_terms(text) if x]
+                assert len(got[i]) == len(want) and all(seen.setdefault(a, b) == b for a, b in zip(want, got[i], strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_toxicity_equals_brute_force(labelled, spark, docs):
+    d, l = labelled
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(d.select("doc_id", "text"), l, ~held)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    bags = {i: Counter(x for x in plain_terms(t) if x) for i, t in texts.items()}
+    told = {}
+    for i, _, y in l.collect():
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            told[i] = max(y, told.get(i, 0))
+    first = {}
+    for i in sorted(told):
+        first.setdefault(tuple(sorted(bags[i].items())), i)
+    df = Counter(x for b in bags.values() for x in b)
+    known = {x for i in first.values() for x in bags[i]}
+
+    def unit(b):
+        w = {x: (1 + math.log(c)) * math.log((len(texts) + 1) / df[x]) for x, c in b.items() if x in known}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / norm for x, v in w.items()}
+
+    vectors = {i: unit(bags[i]) for i in first.values()}
+    k = math.ceil(2.5 * math.sqrt(len(vectors)))
+    rows = {r["doc_id"]: r for r in toxicity.scored(d, model).collect()}
+    for i in range(0, 600, 7):
+        q = unit(bags[i])
+        near = sorted(((sum(v * w.get(x, 0) for x, v in q.items()), j) for j, w in vectors.items()), reverse=True)[:k]
+        weight = [1 / (1 - min(c, 1) + 0.05) for c, _ in near]
+        share = sum(w * told[j] for w, (_, j) in zip(weight, near, strict=True)) / sum(weight)
+        x = [1.0, math.log((share + 0.005) / (1.005 - share)), near[0][0], math.log1p(sum(c for t, c in bags[i].items() if t in known))]
+        want = 1 / (1 + math.exp(-float(np.clip(np.dot(x, model.weights), -40, 40))))
+        assert abs(rows[i]["score"] - want) < 2e-4, i
+        cosines = dict((j, c) for c, j in near)
+        assert all(e in cosines for e in rows[i]["evidence"]) and np.allclose([cosines[e] for e in rows[i]["evidence"]], [c for c, _ in near[:15]], atol=1e-5)
+    assert toxicity.scored(d.limit(0), model).count() == 0
+    empty = toxicity.fit(docs([]).select("doc_id", "text"), l, ~held)
+    assert {r["predicted"] for r in toxicity.scored(d, empty).collect()} == {0}
+
+
+def test_toxicity_takes_text_ids(spark):
+    rows = [(f"id{i}", f"calm words {i}" if i % 2 else f"nasty nasty {i}") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    l = spark.createDataFrame([(f"id{i}", 1 - i % 2) for i in range(30)], "doc_id string, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(d, toxicity.fit(d, l, F.lit(True))).collect()}
+    assert all(got[f"id{i}"]["predicted"] == 1 - i % 2 and got[f"id{i}"]["evidence"][0].startswith("id") for i in range(40))
 
 
 @pytest.fixture(scope="module")
