@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, with_fields, words_of, written
+from .byte_words import BASE, INVERSE, powers, running_sums, slices, span_hashes, word_spans
+from .common import mix, with_fields, written
 
 WINDOW = 10
-#: Items of fewer words have no template windows; shorter windows of that many words and more are whole items. They, and
-#: windows with fewer words that are no placeholders than the second number, are searched for as they are only.
-LEAST_WORDS = 5
+#: A template window is searched for if at least half of its words, or so many, are no placeholders; windows of mere
+#: placeholders would fit any list of names or numbers. Verbatim windows have no such condition.
 LEAST_LITERALS = 4
 #: Bits of the filter that documents are held against before the join; its size does not grow with the benchmark.
 FILTER_BITS = 24
@@ -25,145 +25,214 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h h
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?\Z")
 _GLUED = re.compile(r"[+-]?[$€£]?\d[\d.,]*([^\W\d_]+)\Z")
 _EDGE = "\"'`.,;:!?()[]{}<>*_~“”‘’«»…-"
-_NAME, _NUM, _UNIT, _END = 1, 2, 4, 8
-_FLAGS = np.uint64(15)
+#: What a word may be, in the low bits of its value: a name, a number, a unit, the end of a sentence, mere punctuation.
+_NAME, _NUM, _UNIT, _END, _MARK = (np.uint64(1 << i) for i in range(5))
+_FLAGS = np.uint64(31)
 #: Low bits of a slot's value: a number may become any other number, a name or unit stands for one value in a run.
 _FREE, _BOUND = np.uint64(1), np.uint64(2)
-_KINDS = {"name": np.uint64(0xA1), "number": np.uint64(0xB2), "unit": np.uint64(0xC3), "measure": np.uint64(0xD4)}
+_KINDS = dict(zip(("name", "number", "unit", "measure"), mix(np.arange(1, 5, dtype=np.uint64)), strict=True))
 
 
-class Tokens(dict):
-    """word -> hash of its bare lower-case form, the low four bits being what it may be; memory bounded as in WordHashes."""
+def form_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, as span_hashes() has them."""
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    end = np.cumsum([len(x) for x in words], dtype=np.int64)
+    return span_hashes(running_sums(data), end - [len(x) for x in words], end)
+
+
+_UNIT_HASHES = np.sort(form_hashes([x.encode() for x in UNITS]) & ~_FLAGS)
+_ASCII_UPPER, _ASCII_LOWER = np.zeros(256, bool), np.zeros(256, bool)
+_ASCII_UPPER[65:91] = _ASCII_LOWER[97:123] = True
+_STOP, _TAIL = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".!?")] = _TAIL[list(b".!?,;:")] = True
+
+
+class Values(dict):
+    """Words as values: the hash of the bare lower-case form, the low five bits being what the word may be.
+
+    Words of ASCII and Latin-1 letters with one punctuation mark behind them at most are valued by array operations. All
+    others go through value(), each distinct one once: hash of the word's bytes -> value; emptied when it is full.
+    """
 
     limit = 400_000
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Values of the words data[start:end]."""
+        upper, lower = _ASCII_UPPER[data], _ASCII_LOWER[data]
+        low = data + upper.astype(np.uint8) * np.uint8(32)
+        letter = upper | lower
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        capital = data[lead + 1] <= 0x9E
+        letter[lead] = letter[lead + 1] = True
+        upper[lead[capital]] = lower[lead[~capital]] = True
+        low[lead[capital] + 1] += np.uint8(32)
+        count = lambda m: (lambda c: c[end] - c[start])(np.r_[np.int32(0), np.cumsum(m, dtype=np.int32)])
+        tail = _TAIL[data[end - 1]]
+        stop = end - tail
+        plain = (count(~letter) == tail) & (stop > start)
+        h = span_hashes(running_sums(low), start, stop) & ~_FLAGS
+        out = h | np.where(upper[start] & (count(lower) > 0), _NAME, np.uint64(0))
+        out |= np.where(_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h, _UNIT, np.uint64(0))
+        out |= np.where(_STOP[data[end - 1]], _END, np.uint64(0))
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            out[odd] = self._odd(data, start[odd], end[odd])
+        return out
+
+    def _odd(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        raw, first, back = np.unique(span_hashes(running_sums(data), start, end), return_index=True, return_inverse=True)
+        keys = raw.tolist()
+        out = list(map(self.get, keys))
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self) + len(new) > self.limit:
             self.clear()
+        text = data.tobytes()
+        forms = [self.value(text[a:b].decode()) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+        if forms:
+            hashes = form_hashes([low.encode() for low, _ in forms]) & ~_FLAGS
+            for i, h, (_, flags) in zip(new, hashes.tolist(), forms, strict=True):
+                out[i] = self[keys[i]] = h | flags
+        return np.array(out, dtype=np.uint64)[back]
+
+    @staticmethod
+    def value(word: str) -> tuple[str, int]:
+        """(bare lower-case form, flags); mere punctuation is its own form."""
         bare = word.strip(_EDGE)
         low = bare.lower()
         flags = 0
-        if _NUMBER.match(bare):
-            flags |= _NUM
-        elif (m := _GLUED.match(bare)) and m[1].lower() in UNITS:
-            flags |= _NUM | _UNIT
+        if not bare:
+            low, flags = word, int(_MARK)
+        elif bare[0].isdigit() or bare[0] in "+-$€£":
+            glued = _GLUED.match(bare)
+            if _NUMBER.match(bare):
+                flags = int(_NUM)
+            elif glued and glued[1].lower() in UNITS:
+                flags = int(_NUM | _UNIT)
         else:
-            flags |= (_NAME if bare[:1].isupper() and not bare.isupper() else 0) | (_UNIT if low in UNITS else 0)
+            flags = (int(_NAME) if bare[0].isupper() and not bare.isupper() else 0) | (int(_UNIT) if low in UNITS else 0)
         if word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?"):
-            flags |= _END
-        value = self[word] = xxhash.xxh64_intdigest(low) & ~15 | flags
-        return value
+            flags |= int(_END)
+        return low, flags
+
+
+def values_of(texts: list[str | None], values: Values) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, value) of the words of whole texts, several texts at a time."""
+    owners, found = [], []
+    for data, begin, number in slices([(t or "").encode(errors="replace") for t in texts]):
+        start, end = word_spans(data)
+        owners.append(number[np.searchsorted(begin, start, side="right") - 1])
+        found.append(values.of(data, start, end))
+        # the last text of a slice may go on in the next one
+        owner, v = np.concatenate(owners), np.concatenate(found)
+        whole = np.searchsorted(owner, number[-1])
+        yield owner[:whole], v[:whole]
+        owners, found = [owner[whole:]], [v[whole:]]
+    if owners:
+        yield owners[0], found[0]
 
 
-def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template, value, is slot, may open as a name, place) per word, and the plain hash of every word, symbols too.
+def canonical(owner: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, value, may open as a name, place) of the words that aren't mere punctuation; place counts all words of the text.
 
     Numbers, numbers with a unit, units after a number and capitalised words that do not begin a sentence become typed
-    placeholders (value keeps the word); words without a letter or digit are left out.
+    placeholders (value keeps the word, and whether it is bound).
     """
-    words = words_of(text)
-    v = np.fromiter(map(tokens.__getitem__, words), dtype=np.uint64, count=len(words))
+    fresh = np.r_[True, owner[1:] != owner[:-1]]
+    begins = fresh | np.r_[True, v[:-1] & _END > 0]
+    place = np.arange(len(v)) - np.maximum.accumulate(np.where(fresh, np.arange(len(v)), 0))
+    real = v & _MARK == 0
+    owner, v, begins, place = owner[real], v[real], begins[real], place[real]
     value = v & ~_FLAGS
-    ends = np.r_[True, (v[:-1] & np.uint64(_END)) > 0] if len(v) else np.empty(0, bool)
-    real = value != np.uint64(xxhash.xxh64_intdigest("") & ~15)
-    plain = value
-    if not real.all():
-        plain = value.copy()
-        plain[~real] = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(~real)]
-    v, value, begins = v[real], value[real], ends[real]
-    number, unit = (v & np.uint64(_NUM)) > 0, (v & np.uint64(_UNIT)) > 0
-    after = np.r_[False, number[:-1] & ~unit[:-1]] if len(v) else number
-    opens = (v & np.uint64(_NAME) > 0) & begins
-    name = (v & np.uint64(_NAME) > 0) & ~begins
-    out = np.where(name, _KINDS["name"], value)
+    number, unit, name = v & _NUM > 0, v & _UNIT > 0, v & _NAME > 0
+    after = np.zeros(len(v), bool)
+    after[1:] = number[:-1] & ~unit[:-1] & (owner[1:] == owner[:-1])
+    out = np.where(name & ~begins, _KINDS["name"], value)
     out = np.where(unit & ~number & after, _KINDS["unit"], out)
     out = np.where(number, np.where(unit, _KINDS["measure"], _KINDS["number"]), out)
-    return out, value | np.where(number, _FREE, _BOUND), (out != value), opens & (out == value), np.flatnonzero(real), plain
+    return out, value | np.where(number, _FREE, _BOUND), name & begins & (out == value), place
+
+
+def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of every run of n words, before the last mixing: differences of one running sum."""
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=total[1:])
+    return (total[n:] - total[:-n]) * powers(INVERSE, len(total) - n) + np.uint64(n + seed)
 
 
-def windows(template: np.ndarray, slot: np.ndarray, n: int, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, opened) of every run of n words with enough literal words.
+def windows(owner: np.ndarray, v: np.ndarray, lengths: list[int], whole_items: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable | None]]:
+    """(n, text number, at, place, hash, slots) of the windows of texts; -n for windows of n plain words, without slots.
 
-    A window whose first word opens a sentence and may be a name comes a second time (opened) with it as a name slot, as
-    the other side may have it in the middle of one.
+    at counts the words of the kind, place all words; slots() gives the values of the slots of chosen windows. Template windows come in up to three forms: as canonical() has the
+    words, with the first word as a name slot where it opens a sentence and may be a name, and with all such words as
+    name slots; as the other side may have them in the middle of a sentence.
     """
-    if len(template) < n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
-    count = len(template) - n + 1
-    h = runs(template, n)
-    literal = np.r_[0, np.cumsum(~slot)]
-    literal = literal[n:] - literal[:-n]
-    least = min(LEAST_LITERALS, n)
-    good = np.flatnonzero(literal >= least)
-    again = np.flatnonzero(opens[:count] & (literal > least))
-    if not len(again):
-        return good, h[good], np.zeros(len(good), bool)
-    x = np.full(len(again), n, dtype=np.uint64)
-    for i in range(n):
-        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + (template[again + i] if i else _KINDS["name"]))
-    return np.r_[good, again], np.r_[h[good], x], np.r_[np.zeros(len(good), bool), np.ones(len(again), bool)]
-
-
-def runs(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of n words."""
-    count = len(words) - n + 1
-    h = np.full(count, n + seed, dtype=np.uint64)
-    for i in range(n):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : count + i])
-    return h
+    template, value, opens, place = canonical(owner, v)
+    plain, mine = v & ~_FLAGS, owner[v & _MARK == 0]
+    for words, who, sign in ((template, mine, 1), (plain, owner, -1)):
+        size = np.bincount(who, minlength=int(owner[-1]) + 1 if len(owner) else 1)
+        begin = np.cumsum(size) - size
+        for n in sorted({abs(x) for x in lengths if x * sign > 0}):
+            if len(words) < n:
+                continue
+            count = len(words) - n + 1
+            inside = who[:count] == who[n - 1 :]
+            if whole_items:
+                inside &= np.minimum(size[who[:count]], max(map(abs, lengths))) == n
+            if sign < 0:
+                first = np.flatnonzero(inside)
+                at = first - begin[who[first]]
+                yield -n, who[first], at, at, mix(run_hashes(words, n, 1 << 32)[first]), None
+                continue
+            least = min(LEAST_LITERALS, (n + 1) // 2)
+            forms = [(words, inside)]
+            if opens.any():
+                whole = np.where(opens, _KINDS["name"], words)
+                opened = np.r_[0, np.cumsum(opens)]
+                forms += [(None, inside & opens[:count]), (whole, inside & (opened[n:] - opened[:-n] > opens[:count]))]
+            plainest = run_hashes(words, n)
+            for form, good in forms:
+                h = plainest + (_KINDS["name"] - words[:count]) if form is None else plainest if form is words else run_hashes(form, n)
+                slot = (words if form is None else form) != value & ~_FLAGS
+                literal = np.r_[0, np.cumsum(~slot)]
+                first = np.flatnonzero(good & (literal[n:] - literal[:-n] - (form is None) >= least))
+
+                def slots(hit: np.ndarray | slice, first=first, slot=slot, n=n, opened=form is None) -> np.ndarray:
+                    at = first[hit][:, None] + np.arange(n)
+                    kept = np.where(slot[at], value[at], np.uint64(0))
+                    if opened:
+                        kept[:, 0] = value[first[hit]]
+                    return kept
+
+                yield n, who[first], first - begin[who[first]], place[first], mix(h[first]), slots
 
 
 def text_windows(rows: DataFrame, lengths: list[int], whole_items: bool, filter_words: np.ndarray | None = None) -> DataFrame:
     """rows(id, text) as (id, n, at, place, h, v): windows of the given lengths with the values of their slots.
 
-    n is less than 0 for windows of -n plain lower-case words, symbols included, that have no slots. at counts the words of
-    the kind, place all words.
+    n is less than 0 for windows of -n plain lower-case words, symbols included, that have no slots.
 
     whole_items: a text shorter than the longest length gives one window of all its words. filter_words: keep windows
     whose bit is set.
     """
     schema = with_fields(rows.select("id").schema, "n int, at int, place int, h long, v array<long>")
-    n_most, mask = max(lengths), np.uint64(2**FILTER_BITS - 1)
+    mask = np.uint64(2**FILTER_BITS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        values = Values()
         for batch in batches:
-            ids, ns, ats, places, hs, vs = [], [], [], [], [], []
-
-            def batched() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ns, pa.int32()), pa.array(ats, pa.int32()), pa.array(places, pa.int32()), pa.array(hs, pa.int64()), pa.array(vs, pa.list_(pa.int64()))], names=schema.names)
-
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                template, value, slot, opens, real, plain = canonical(text, tokens)
-                for n in ([min(n_most, len(template)), -min(n_most, len(plain))] if whole_items else lengths):
-                    if -len(plain) <= n < 0:
-                        h = runs(plain, -n, 1 << 32)
-                        at, opened, place = np.arange(len(h)), np.zeros(len(h), bool), np.arange(len(h))
-                    elif n >= LEAST_WORDS:
-                        at, h, opened = windows(template, slot, n, opens)
-                        place = real[at]
-                    else:
-                        continue
-                    if filter_words is not None and len(h):
+            for owner, v in values_of(batch.column(1).to_pylist(), values):
+                if not len(owner):
+                    continue
+                for n, who, at, place, h, slots in windows(owner, v, lengths, whole_items):
+                    hit = slice(None)
+                    if filter_words is not None:
                         bit = h & mask
-                        hit = (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                        at, h, opened, place = at[hit], h[hit], opened[hit], place[hit]
-                    for i, x, o in zip(at.tolist(), h.view(np.int64).tolist(), opened.tolist(), strict=True):
-                        v = []
-                        if n > 0 and (o or slot[i : i + n].any()):
-                            v = np.where(slot[i : i + n], value[i : i + n], np.uint64(0))
-                            v[0] = value[i] if o else v[0]
-                            v = v.view(np.int64).tolist()
-                        vs.append(v)
-                    ids += [row] * len(at)
-                    ns += [n] * len(at)
-                    ats += at.tolist()
-                    places += place.tolist()
-                    hs += h.view(np.int64).tolist()
-                if len(ids) > 20_000:
-                    yield batched()
-                    ids, ns, ats, places, hs, vs = [], [], [], [], [], []
-            yield batched()
+                        hit = np.flatnonzero((filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                    ids = batch.column(0).take(pa.array(who[hit]))
+                    held = [x if any(x) else [] for x in slots(hit).view(np.int64).tolist()] if slots else [[]] * len(ids)
+                    numbers = [pa.array(x, pa.int32()) for x in (np.full(len(ids), n), at[hit], place[hit])]
+                    yield pa.RecordBatch.from_arrays([ids, *numbers, pa.array(h[hit].view(np.int64)), pa.array(held, pa.list_(pa.int64()))], names=schema.names)
 
     return rows.select("id", "text").mapInArrow(run, schema)
 
@@ -190,11 +259,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     a window is a hit, by item; items are the items found (sorted).
 
     Documents go through a bit filter of fixed size before the join, so the join sees little but true hits; the join
-    is exact whatever the filter lets through. Null and empty texts match nothing; items of fewer than five
-    words are found verbatim only; null ids are left out. Repeated rows of a document count once. Empty tables give no rows.
+    is exact whatever the filter lets through. Null and empty texts match nothing; null ids are left out. Texts of any length
+    are read whole, by slices. Repeated rows of a document count once; equal items are all named. Empty tables give no rows.
+    Only the named columns are read.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    bench = written(text_windows(items, [window], True).distinct(), "bench-windows")
+    bench = written(text_windows(items, [s * n for n in range(1, window + 1) for s in (1, -1)], True).distinct(), "bench-windows")
     lengths = [r["n"] for r in bench.select("n").distinct().collect()] or [window]
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = text_windows(rows, sorted(lengths), False, window_filter(bench))
