@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .byte_words import Numbers, terms_of
 from .common import with_fields, written
@@ -21,6 +23,8 @@ VOTERS, EVIDENCE = 2.5, 15
 BLOCK, COMMON, STEP = 64, 512, 256
 #: Groups of examples with like common terms; blocks hold neighbours of one group, which makes their bounds tight.
 GROUPS, ROUNDS = 32, 6
+#: Examples that are looked at together where the index is made.
+CHUNK = 2_000
 #: Single precision is used for the sums; examples this near the last voter are compared again in double precision.
 NEAR = 1e-5
 
@@ -41,19 +45,32 @@ class BlockMaxIndex:
     """
 
     def __init__(self, idf: np.ndarray, cut: np.ndarray, term: np.ndarray, tf: np.ndarray, labels: np.ndarray):
-        """The terms of example i are term[cut[i] : cut[i + 1]], sorted; examples without any find nothing and are never found."""
-        self.idf = idf
+        """The terms of example i are term[cut[i] : cut[i + 1]]; examples without any find nothing and are never found.
+
+        Large arrays are worked on by chunks of examples, as the driver's memory is small.
+        """
         n = len(labels)
-        owner = np.repeat(np.arange(n), np.diff(cut))
-        w = (1 + np.log(tf)) * idf[term]
-        norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=n))
+        self.idf = idf
         df = np.bincount(term, minlength=len(idf))
         self.common = np.argsort(-df, kind="stable")[: min(COMMON, int((df > n / 64).sum()))]
-        self.place = np.argsort(self._grouped(owner, term, w / np.maximum(norm, 1e-300)[owner], n), kind="stable")  # example no. at a position
+        row = self._row_of()
+        norm, dense = np.zeros(n), np.zeros((n, len(self.common)), np.float32)
+        for a in range(0, n, CHUNK):
+            at = slice(cut[a], cut[min(n, a + CHUNK)])
+            owner = np.repeat(np.arange(a, min(n, a + CHUNK)), np.diff(cut[a : a + CHUNK + 1]))
+            w = (1 + np.log(tf[at])) * idf[term[at]]
+            norm[a : a + CHUNK] = np.sqrt(np.bincount(owner - a, weights=w * w, minlength=min(n - a, CHUNK)))
+            column = row[term[at]]
+            some = column >= 0
+            dense[owner[some], column[some]] = (w / np.maximum(norm, 1e-300)[owner])[some]
+        self.place = np.argsort(self._grouped(dense), kind="stable").astype(np.int32)  # example no. at a position
+        del dense
         self.labels = labels[self.place]
-        size = np.diff(cut)[self.place]
-        at = spans(cut[:-1][self.place], size)
-        self.cut, self.term, self.tf = np.r_[0, np.cumsum(size)], term[at].astype(np.int32), tf[at].astype(np.min_scalar_type(int(tf.max(initial=0))))
+        self.cut = np.r_[0, np.cumsum(np.diff(cut)[self.place])]
+        self.term, self.tf = np.empty(len(term), np.int32), np.empty(len(term), np.min_scalar_type(int(tf.max(initial=0))))
+        for i, p in enumerate(self.place.tolist()):
+            mine, theirs = slice(self.cut[i], self.cut[i + 1]), slice(cut[p], cut[p + 1])
+            self.term[mine], self.tf[mine] = term[theirs], tf[theirs]
         self.inverse = np.where(norm > 0, 1 / np.maximum(norm, 1e-300), 0)[self.place]
         self.blocks = max(1, -(-n // BLOCK))
         self._ready = False
@@ -66,12 +83,9 @@ class BlockMaxIndex:
         row[self.common] = np.arange(len(self.common))
         return row
 
-    def _grouped(self, owner: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    def _grouped(self, dense: np.ndarray) -> np.ndarray:
         """A sort key: the nearest of some means of the common terms' weights, then how much these terms weigh."""
-        row = self._row_of()[term]
-        some = row >= 0
-        dense = np.zeros((n, len(self.common)), np.float32)
-        dense[owner[some], row[some]] = w[some]
+        n = len(dense)
         if not dense.size:
             return np.zeros(n)
         mean = dense[np.unique(np.linspace(0, n - 1, GROUPS).astype(int))]
@@ -79,23 +93,27 @@ class BlockMaxIndex:
             mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
             group = (dense @ mean.T).argmax(axis=1)
             mean = np.stack([dense[group == g].sum(axis=0) if (group == g).any() else mean[g] for g in range(len(mean))])
-        return group * 2 + np.linalg.norm(dense, axis=1)
+        return group * 2 + np.sqrt(np.einsum("ij,ij->i", dense, dense))
 
     def prepare(self) -> None:
         """Postings and dense rows, made where they are used and not sent along."""
         n, width = len(self.labels), self.blocks * BLOCK
         self._row, self._log = self._row_of(), np.r_[0.0, 1 + np.log(np.arange(1, int(self.tf.max(initial=0)) + 1))]
-        doc = np.repeat(np.arange(n), np.diff(self.cut))
-        w = (self._log[self.tf] * self.idf[self.term] * self.inverse[doc]).astype(np.float32)
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.cut))
+        w = np.empty(len(doc), np.float32)
+        for a in range(0, len(doc), 1 << 20):
+            at = slice(a, a + (1 << 20))
+            w[at] = self._log[self.tf[at]] * self.idf[self.term[at]] * self.inverse[doc[at]]
         row = self._row[self.term]
         some = row >= 0
         dense = np.zeros((width, len(self.common)), np.float32)
         dense[doc[some], row[some]] = w[some]
-        self._dense = [np.ascontiguousarray(dense[b * BLOCK : (b + 1) * BLOCK].T) for b in range(self.blocks)]
-        self._most = np.stack([d.max(axis=1) for d in self._dense], axis=1)
+        self._dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))
+        del dense, row
+        self._most = np.ascontiguousarray(self._dense.max(axis=2).T)
         rest = np.flatnonzero(~some)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self._doc, self._w = doc[rest], w[rest]
+        self._doc, self._w = doc[rest].astype(np.int64), w[rest]
         self._start = np.r_[0, np.cumsum(np.bincount(self.term[rest], minlength=len(self.idf)))]
         self._query = np.zeros(len(self.idf))
         self._ready = True
@@ -261,38 +279,70 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> t
     return out[:-1], int(out[-1])
 
 
-class Model:
-    """Index, calibration and the score of texts without any term of the examples; of bounded size, so it can be broadcast."""
+class Examples:
+    """Index of the examples, their terms' hashes and their ids; of bounded size, so it can be broadcast."""
 
-    def __init__(self, terms: np.ndarray, index: BlockMaxIndex, ids: np.ndarray, prior: float, weights: np.ndarray | None, k: int):
-        self.terms, self.index, self.ids, self.prior, self.weights, self.k = terms, index, ids, prior, weights, k
+    def __init__(self, terms: np.ndarray, index: BlockMaxIndex, ids: np.ndarray):
+        self.terms, self.index, self.ids = terms, index, ids
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[list]]:
-        """Calibrated probability of label 1 and the nearest neighbours' ids, nearest first, for every text."""
-        score, evidence = np.full(len(texts), self.prior), [[] for _ in texts]
-        if self.weights is None:
-            return score, evidence
+    def numbers(self) -> Numbers:
         if "_numbers" not in self.__dict__:
             self._numbers = Numbers(self.terms)
-        asked: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-        def answer() -> None:
-            for (i, terms, n), (at, cosine) in zip(asked, self.index.search([q[1:] for q in asked], self.k), strict=True):
-                if len(at):
-                    x = np.r_[1.0, votes(self.index.labels[at], cosine, n.sum())]
-                    score[i] = round(float(1 / (1 + math.exp(-float(np.clip(x @ self.weights, -40, 40))))), 6)
-                    evidence[i] = self.ids[self.index.place[at[:EVIDENCE]]].tolist()
-            asked.clear()
-
-        for query in counted(texts, self._numbers):
-            asked.append(query)
-            if len(asked) == STEP:
-                answer()
-        answer()
+        return self._numbers
+
+
+class Model:
+    """Broadcast examples, number of voters, the calibration, and the score of texts without any term of the examples."""
+
+    def __init__(self, shared: Broadcast, id_type: str, k: int, prior: float, weights: np.ndarray | None):
+        self.shared, self.id_type, self.k, self.prior, self.weights = shared, id_type, k, prior, weights
+
+
+def scores(texts: list[str | None], examples: Examples, k: int, prior: float, weights: np.ndarray | None) -> tuple[np.ndarray, list[list]]:
+    """Calibrated probability of label 1 and the nearest neighbours' ids, nearest first, for every text."""
+    score, evidence = np.full(len(texts), prior), [[] for _ in texts]
+    if weights is None:
         return score, evidence
+    index, asked = examples.index, []
+
+    def answer() -> None:
+        for (i, terms, n), (at, cosine) in zip(asked, index.search([q[1:] for q in asked], k), strict=True):
+            if len(at):
+                x = np.r_[1.0, votes(index.labels[at], cosine, n.sum())]
+                score[i] = round(float(1 / (1 + math.exp(-float(np.clip(x @ weights, -40, 40))))), 6)
+                evidence[i] = examples.ids[index.place[at[:EVIDENCE]]].tolist()
+        asked.clear()
+
+    for query in counted(texts, examples.numbers()):
+        asked.append(query)
+        if len(asked) == STEP:
+            answer()
+    answer()
+    return score, evidence
+
+
+def collected(made: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, y, cut, terms, term, tf) of hashed_terms(): examples by id, distinct term hashes, term numbers and counts by example."""
+    got = made.toArrow()
+    ids, y = np.array(got.column("doc_id").to_pylist()), got.column("y").to_numpy()
+    flat = [np.frombuffer(b"".join(got.column(name).to_pylist()), dtype=kind) for name, kind in (("h", np.uint64), ("c", np.uint32))]
+    size = np.array([len(x) // 4 for x in got.column("c").to_pylist()], dtype=np.int64)
+    del got
+    terms = np.unique(flat[0])
+    term = np.empty(len(flat[0]), np.int32)
+    for a in range(0, len(term), 1 << 20):
+        term[a : a + (1 << 20)] = np.searchsorted(terms, flat[0][a : a + (1 << 20)])
+    flat[0] = None
+    tf = flat[1].astype(np.min_scalar_type(int(flat[1].max(initial=0))))
+    # the order of the rows is that of the ids, whichever task came first
+    order, begin = np.argsort(ids, kind="stable"), np.cumsum(size) - size
+    cut = np.r_[0, np.cumsum(size[order])]
+    where = [slice(begin[i], begin[i] + size[i]) for i in order.tolist()]
+    empty = [term[:0]], [tf[:0]]
+    return ids[order], y[order], cut, terms, np.concatenate(empty[0] + [term[x] for x in where]), np.concatenate(empty[1] + [tf[x] for x in where])
 
 
 def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
@@ -308,24 +358,21 @@ def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", mo
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
     one = hashed_terms(rows).groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
     made = written(one.select("doc_id", "y", "h", "c"), "toxicity-examples")
-    got = made.toArrow().sort_by("doc_id")
-    y, ids = got.column("y").to_numpy(), np.array(got.column("doc_id").to_pylist())
-    hashes = [np.frombuffer(b"".join(got.column(name).to_pylist()), dtype=kind) for name, kind in (("h", np.uint64), ("c", np.uint32))]
-    cut = np.r_[0, np.cumsum([len(x) // 8 for x in got.column("h").to_pylist()])].astype(np.int64)
-    del got
-    terms = np.unique(hashes[0])
+    id_type = made.schema["doc_id"].dataType.simpleString()
+    ids, y, cut, terms, term, tf = collected(made)
     df, n = document_frequencies(docs, "text", terms)
-    idf = np.log((n + 1) / np.maximum(df, 1))
     bare = np.diff(cut) == 0
     prior = float((y[bare].sum() + 0.5) / (bare.sum() + 10))
-    index = BlockMaxIndex(idf, cut, np.searchsorted(terms, hashes[0]), hashes[1].astype(np.int64), y.astype(np.float64))
-    del hashes
+    index = BlockMaxIndex(np.log((n + 1) / np.maximum(df, 1)), cut, term, tf, y.astype(np.float64))
+    del term, tf
     k = max(1, math.ceil(VOTERS * math.sqrt(len(y))))
-    asked = sc.broadcast((index, terms, {d: p for p, d in enumerate(ids[index.place].tolist())}))
+    shared = sc.broadcast(Examples(terms, index, ids))
+    del index
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Votes on every example by the others; terms that no other one has are unknown to them."""
-        index, terms, at = asked.value
+        index, terms = shared.value.index, shared.value.terms
+        at = {d: p for p, d in enumerate(shared.value.ids[index.place].tolist())}
         df = np.bincount(index.term, minlength=len(terms))
         for batch in batches:
             rows = [(i, y, np.searchsorted(terms, np.frombuffer(h, dtype=np.uint64)), np.frombuffer(c, dtype=np.uint32)) for i, y, h, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "y", "h", "c")), strict=True) if h]
@@ -340,8 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", mo
         x = np.array(told["x"].to_list())
         order = np.lexsort((*x.T, told["y"].to_numpy()))  # the sums of the fit don't depend on the order of the tasks
         weights = calibrated(x[order], told["y"].to_numpy()[order].astype(float))
-    asked.unpersist()
-    return Model(terms, index, ids, prior, weights, k)
+    return Model(shared, id_type, k, prior, weights)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -351,16 +397,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
     slices. Repeated rows are scored alike; an empty table gives no rows. All other columns stay; one that has an added
     name is replaced, so choose a prefix that no column has.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [prefix + x for x in ("score", "predicted", "evidence")]
-    kind = "bigint" if model.ids.dtype.kind in "iu" or not len(model.ids) else "double" if model.ids.dtype.kind == "f" else "string"
-    schema = with_fields(docs.drop(*added).schema, f"`{{}}` double, `{{}}` int, `{{}}` array<{kind}>".format(*added))
+    schema = with_fields(docs.drop(*added).schema, f"`{{}}` double, `{{}}` int, `{{}}` array<{model.id_type}>".format(*added))
     kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
+    shared, rest, evidence_type = model.shared, (model.k, model.prior, model.weights), to_arrow_type(schema[added[2]].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, evidence = shared.value.scores(batch.column(text_col).to_pylist())
-            extra = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.list_({"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]))]
+            score, evidence = scores(batch.column(text_col).to_pylist(), shared.value, *rest)
+            extra = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, evidence_type)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
 
     return kept.mapInArrow(run, schema)
