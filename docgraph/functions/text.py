@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import html
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,15 +79,22 @@ def date_mentions(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(col(c), F.lit(f"({DATE_MENTION})"), F.lit(0))))
 
 
+#: A separator, the last one there is in what is searched.
+_LAST_MARK = re.compile(r"(?s).*([\n。 ]|[.;] )")
+_INK = re.compile(r"\S")
+
+
 def cut_text(text: str, limit: int) -> list[str]:
     """Parts of at most limit characters, cut after the last separator of the second half where there is one."""
-    out = []
-    while len(text) > limit:
-        place = max(text.rfind(mark, limit // 2, limit) for mark in ("\n", "。", ". ", "; ", " "))
-        end = place + 1 if place > 0 else limit
-        out.append(text[:end].strip())
-        text = text[end:].strip()
-    return [x for x in (*out, text.strip()) if x]
+    out, begin, end = [], 0, len(text)
+    while end - begin > limit:
+        mark = _LAST_MARK.match(text, begin + limit // 2, begin + limit)
+        cut = mark.start(1) + 1 if mark and mark.start(1) > begin else begin + limit
+        out.append(text[begin:cut].strip())
+        end = len(text.rstrip()) if begin == 0 else end
+        ink = _INK.search(text, cut, end)
+        begin = ink.start() if ink else end
+    return [x for x in (*out, text[begin:end].strip()) if x]
 
 
 def split_long(c: Column | str, limit: int = 1700) -> Column:
@@ -106,27 +116,24 @@ def extract_json_object(c: Column | str) -> Column:
     return F.when(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), body)
 
 
+def json_objects(text: str) -> Iterator[tuple[dict, str]]:
+    """The complete JSON objects of a text that lie in no other one, with their source, from left to right."""
+    decode, end = json.JSONDecoder().raw_decode, 0
+    for brace in re.finditer(r"\{", text):
+        if brace.start() >= end:
+            with contextlib.suppress(ValueError):
+                value, end = decode(text, brace.start())
+                yield value, text[brace.start() : end]
+
+
 def last_answer_object(c: Column | str) -> Column:
     """The last complete JSON object with a string answer and a list of citations; else what extract_json_object finds."""
+    kinds = {"answer": str, "citations": list}
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        decoder = json.JSONDecoder()
-
-        def last(x: str | None) -> str | None:
-            found, at = None, 0
-            while x and (at := x.find("{", at)) >= 0:
-                try:
-                    value, end = decoder.raw_decode(x, at)
-                except ValueError:
-                    at += 1
-                    continue
-                if isinstance(value, dict) and isinstance(value.get("answer"), str) and isinstance(value.get("citations"), list):
-                    found = x[at:end]
-                at = end
-            return found
-
-        return s.map(last)
+        answers = lambda x: [source for value, source in json_objects(x or "") if all(isinstance(value.get(k), t) for k, t in kinds.items())]
+        return s.map(lambda x: next(reversed(answers(x)), None))
 
     return F.coalesce(run(col(c)), extract_json_object(c))
 
