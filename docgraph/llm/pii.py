@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,24 +23,57 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone"
 #: MOST_WORDS digits, so it has no more words.
 RUNS = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 MOST_WORDS = 19
+#: Characters of the shortest value that looks like any kind.
+SHORTEST = 3
 #: Least confidence of an instance; distinct seeds that a pattern needs; weight of an unknown instance.
 CONFIDENCE, SUPPORT, UNKNOWN = 0.9, 5, 0.1
 #: What a value of each kind that context alone tells has to look like, besides being valid.
 LOOKS = {"email": r"^[^\s@]+@[^\s@]+$", "ip": r"^[0-9]+(\.[0-9]+){3}$", "card": r"^[0-9](?:[ .-]?[0-9])+$", "phone": r"^[+(]{0,2}[0-9][0-9 ()./-]*[0-9]$"}
 SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN_AROUND = "array<struct<start:int,end:int,value:string,pre:string,post:string>>"
+
+
+#: Entries of an array that one fold appends to; arrays of any length are folded by groups of these, so the work is linear.
+FOLD = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; inside a lambda an expression is computed anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def groups(items: Column) -> Column:
+    """An array cut into arrays of FOLD entries."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / FOLD).cast("int")), lambda i: F.slice(x, i * FOLD + 1, FOLD)))
+
+
+def matches(text: Column, pattern: str, around: bool = False) -> Column:
+    """Leftmost non-overlapping matches with code-point spans. The text is cut once by the pattern and matched once.
 
+    around: with the word before each match (pre) and the one behind it (post), whatever their length.
+    """
+    kind = SPAN_AROUND if around else SPAN
+    before = lambda p: F.reverse(F.regexp_extract(F.reverse(p), r"^\s*(\S+)", 1)).alias("pre")
+    behind = lambda p: F.coalesce(F.regexp_extract(p, r"^\s*(\S+)", 1), F.lit("")).alias("post")
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with code-point spans. The text is cut once by the pattern and matched once."""
-    cut = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    def pieces(parts: Column) -> Column:
+        words = lambda p, i: [before(p), behind(F.get(parts, i + 1))] if around else []
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.transform(parts, lambda p, i: F.struct(F.length(p).alias("p"), F.get(found, i).alias("m"), *words(p, i))))
 
-    def step(acc: Column, x: Column) -> Column:
+    def placed(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["p"]
         b = a + F.length(x["m"])
-        return F.struct(F.coalesce(b, a).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["m"].alias("value"))))).alias("out"))
+        span = F.struct(a.alias("start"), b.alias("end"), x["m"].alias("value"), *([x["pre"], x["post"]] if around else []))
+        return F.struct(F.coalesce(b, a).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+
+    def begun(acc: Column, group: Column) -> Column:
+        size = F.aggregate(group, F.lit(0), lambda n, x: n + x["p"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), group.alias("group")))).alias("out"))
 
-    return F.aggregate(cut, start, step, lambda acc: acc["out"])
+    inner = "struct<p:int,m:string,pre:string,post:string>" if around else "struct<p:int,m:string>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,group:array<{inner}>>>").alias("out"))
+    begins = F.aggregate(groups(let(F.split(text, pattern, -1), pieces)), start, begun, lambda acc: acc["out"])
+    return F.flatten(F.transform(begins, lambda g: F.aggregate(g["group"], F.struct(g["at"].alias("at"), F.array().cast(kind).alias("out")), placed, lambda acc: acc["out"])))
 
 
 def luhn(digits: Column) -> Column:
@@ -85,15 +120,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) as (doc_id, h, email, ip, card, phone, runs): base spans and runs with the words around."""
     t = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.xxhash64(t).alias("h"), t.alias("t"))
-    spans = base.select("doc_id", "h", "t", *[base_spans(F.col("t"), k).alias(k) for k in KINDS], F.when(F.col("t").rlike("[0-9@]"), matches(F.col("t"), RUNS)).otherwise(F.array().cast(SPAN)).alias("r"))
-    before = lambda s: F.regexp_extract(F.substring(F.col("t"), F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))), r"(\S{1,40})\s*$", 1)
-    after = lambda s: F.regexp_extract(F.substring(F.col("t"), s["end"] + 1, F.lit(40)), r"^\s*(\S{1,40})", 1)
-    return spans.select("doc_id", "h", *KINDS, F.transform("r", lambda s: F.struct(s["start"].alias("start"), s["value"].alias("value"), before(s).alias("pre"), after(s).alias("post"))).alias("runs"))
+    runs = F.when(F.col("t").rlike("[0-9@]"), matches(F.col("t"), RUNS, around=True)).otherwise(F.array().cast(SPAN_AROUND))
+    return base.select("doc_id", "h", *[base_spans(F.col("t"), k).alias(k) for k in KINDS], runs.alias("runs"))
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """(doc_id, h, start, end, value, left, right, shape): neighbouring words of a run, edge punctuation taken off."""
-    runs = found.where(F.size("runs") > 0).select("doc_id", "h", F.explode(F.array_distinct("runs")).alias("r"))
+    runs = found.where(F.size("runs") > 0).select("doc_id", "h", F.explode("runs").alias("r"))
     words = runs.select("doc_id", "h", F.col("r.start").alias("run"), "r.pre", "r.post", F.posexplode(F.split("r.value", " ", -1)).alias("i", "w"))
     words = words.dropDuplicates(["doc_id", "h", "run", "i"])
     w = Window.partitionBy("doc_id", "h", "run").orderBy("i")
@@ -107,11 +140,26 @@ def candidates(found: DataFrame) -> DataFrame:
     each = ahead.select("doc_id", "h", "at", "left", F.explode(F.array(*grams)).alias("g")).where("g is not null").select("doc_id", "h", "at", "left", "g.s", "g.right")
     lead = F.length(F.regexp_extract("s", r"^[\"'(<\[{]*", 0))
     value = F.regexp_replace(F.regexp_replace("s", r"^[\"'(<\[{]+", ""), r"[\"'.,;:!?)>\]}]+$", "")
-    out = each.select("doc_id", "h", (F.col("at") + lead).alias("start"), value.alias("value"), "left", "right").where("length(value) between 6 and 80")
+    out = each.select("doc_id", "h", (F.col("at") + lead).alias("start"), value.alias("value"), "left", "right").where(f"length(value) >= {SHORTEST}")
     bare = lambda c: F.when(F.col(c).rlike("[0-9@]"), shape(F.regexp_replace(c, r"^[\"'(<\[{]+|[\"'.,;:!?)>\]}]+$", ""))).otherwise(F.lower(F.regexp_replace(c, r"[^\p{L}]", "")))
     return out.select("doc_id", "h", "start", (F.col("start") + F.length("value")).alias("end"), "value", bare("left").alias("left"), bare("right").alias("right"), shape(F.col("value")).alias("shape"))
 
 
+def beside(occurrences: DataFrame, base: DataFrame) -> DataFrame:
+    """candidates() with k, the kind of the base span in the same place, and over, whether any base span overlaps.
+
+    A span overlaps if, of the base spans that start before its end, the one that reaches farthest ends behind its start; that is
+    one running maximum along the text.
+    """
+    one = F.struct(*occurrences.columns)
+    ends = occurrences.select("doc_id", "h", F.col("end").alias("pos"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("reach"), one.alias("o"))
+    begins = base.select("doc_id", "h", F.col("start").alias("pos"), F.lit(1).alias("side"), F.col("end").alias("reach"), F.lit(None).cast(ends.schema["o"].dataType).alias("o"))
+    along = Window.partitionBy("doc_id", "h").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = ends.unionAll(begins).withColumn("reach", F.max("reach").over(along)).where("o is not null")
+    kinds = base.groupBy("doc_id", "h", "start", "end").agg(F.min("k").alias("k"))
+    return seen.select("o.*", F.coalesce(F.col("reach") > F.col("o.start"), F.lit(False)).alias("over")).join(kinds, ["doc_id", "h", "start", "end"], "left")
+
+
 def discovered(found: DataFrame) -> DataFrame:
     """(doc_id, h, start, end, k, score): confident spans that overlap no base span.
 
@@ -123,12 +171,8 @@ def discovered(found: DataFrame) -> DataFrame:
     new shapes do too. A new instance also has to be valid.
     """
     spans = F.concat(*[_tagged(k, n) for n, k in enumerate(KINDS)])
-    base = written(found.where(F.size(spans) > 0).select("doc_id", "h", spans.alias("base")), "pii-base")
-    occurrences = candidates(found)
-    held = occurrences.join(base, ["doc_id", "h"], "left")
-    same = F.filter("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")))
-    over = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    all_ = written(held.select("doc_id", "h", "start", "end", "value", "left", "right", "shape", F.when(F.size(same) > 0, same[0]["k"]).alias("k"), F.coalesce(over, F.lit(False)).alias("over")), "pii-candidates")
+    base = written(found.select("doc_id", "h", F.explode(spans).alias("b")).select("doc_id", "h", "b.*"), "pii-base")
+    all_ = written(beside(candidates(found), base), "pii-candidates")
     usable = all_.where("k is not null or not over")
     patterns = F.array(F.concat(F.lit("s:"), "shape"), F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"), F.when((F.length("left") > 0) & (F.length("right") > 0), F.concat(F.lit("j:"), "left", F.lit(" "), "right")))
     edges = written(usable.select("value", F.explode(patterns).alias("p")).where("length(p) > 2").distinct(), "pii-edges")
@@ -172,7 +216,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, h, email, ip, card, phone, extra): spans of the base patterns and of the contextual extraction, a row per row.
 
     Spans count code points, the end exclusive; h is a hash of the text. Null and empty texts have no spans. Repeated rows
-    are found alike, each giving a row. Tables without seeds discover nothing. An empty table gives no rows.
+    are found alike, each giving a row. Tables without seeds discover nothing. An empty table gives no rows. The work grows
+    with a text's length and its matches, not with their product.
     Only the id and text columns are read.
     """
     found = written(scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "pii-scan")
@@ -189,14 +234,23 @@ def all_spans() -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in angle brackets; of overlapping spans the first by start is named, all bytes go."""
     name = lambda s: F.concat(F.lit("<"), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["k"] + 1)), F.lit(">"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, name(s))).otherwise(acc["out"]).alias("out"))
+    def cut(acc: Column, group: Column) -> Column:
+        """The text up to the group's last end, from where the last group ended."""
+        end = F.greatest(acc["at"], F.array_max(F.transform(group, lambda s: s["end"])))
+
+        def inside(piece: Column) -> Column:
+            def step(mine: Column, s: Column) -> Column:
+                between = F.substring(piece, mine["at"] - acc["at"] + 1, s["start"] - mine["at"])
+                return F.struct(F.greatest(mine["at"], s["end"]).alias("at"), F.when(s["start"] >= mine["at"], F.concat(mine["out"], between, name(s))).otherwise(mine["out"]).alias("out"))
+
+            return F.aggregate(group, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), step, lambda mine: mine["out"])
+
+        some = F.struct(end.alias("at"), F.concat(acc["out"], F.array(let(F.substring(text, acc["at"] + 1, end - acc["at"]), inside))).alias("out"))
+        return F.when(F.size(group) > 0, some).otherwise(acc)
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(groups(F.array_sort(spans)), start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

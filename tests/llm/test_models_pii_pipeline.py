@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -73,6 +74,45 @@ def test_context_finds_new_shapes_and_long_runs(docs):
     assert got[200] == [(9, 3, 20)] and got[300] == [(5, 3, 16)] and got[400] == [(5, 3, 19)] and got[401] == []
 
 
+def test_long_texts_of_many_matches(docs):
+    one = "1.2.3.4 a a@b.co, "
+    text = one * 30_000  # half a megabyte
+    start = time.time()
+    got = pii.find_pii(docs([(1, text, "s")])).select(F.size("ip").alias("n"), F.col("ip")[29_999].alias("ip"), F.size("email").alias("m"), F.col("email")[29_999].alias("email")).first()
+    at = len(one) * 29_999
+    assert (got["n"], got["m"]) == (30_000, 30_000) and got["ip"]["start"] == at and (got["email"]["start"], got["email"]["end"]) == (at + 10, at + 16)
+    out = corpus_pipeline.redact_pii(None, docs([(1, text, "s")]), "").first()
+    assert out["text"] == "<IP> a <EMAIL>, " * 30_000 and time.time() - start < 120
+
+
+def test_spans_beside_base_spans(spark):
+    rng = np.random.default_rng(2)
+    base = [(1, 5, s, 0, s + int(rng.integers(1, 9))) for s in range(0, 300, 10)] + [(2, 5, 3, 1, 9)]
+    rows = [(d, 5, int(s), int(s) + int(n)) for d in (1, 2, 3) for s, n in zip(rng.integers(0, 300, 80), rng.integers(1, 15, 80), strict=True)] + [(2, 5, 3, 9)]
+    got = pii.beside(spark.createDataFrame(rows, "doc_id long, h long, start int, end int").distinct(), spark.createDataFrame(base, "doc_id long, h long, start int, k int, end int")).collect()
+    assert len(got) == len(set(rows))
+    for r in got:
+        mine = [(s, k, e) for d, _, s, k, e in base if d == r["doc_id"]]
+        assert r["over"] == any(s < r["end"] and e > r["start"] for s, _, e in mine)
+        assert r["k"] == next((k for s, k, e in mine if (s, e) == (r["start"], r["end"])), None)
+
+
+def test_stages_with_clashing_names_and_no_rows(labelled, spark, docs, tmp_path):
+    names = "_gone _gone_id _again_id _toxicity_score _toxicity_predicted _toxicity_evidence _pii_id _pii_h _pii_extra _pii_before item h v taken target".split()
+    d, l = labelled
+    d = d.limit(60).unionByName(docs([(2000, "mail a@b.co or 10.0.0.1!", "s"), (2000, "mail a@b.co or 10.0.0.1!", "s"), (None, None, None)]))
+    d = d.select(*[c for c in d.columns if c not in names], *[F.lit("x").alias(n) for n in names])
+    l.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some other text that no document of these holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (d, d.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            if name != "mixing":
+                assert out.columns == table.columns
+                assert all(r[n] == "x" for r in out.select(*names).collect() for n in names)
+            assert (out.count() > 0) == (table is d), name
+
+
 def test_redaction(docs):
     out = corpus_pipeline.redact_pii(None, docs([(1, "mail a@b.co or 10.0.0.1!", "s"), (2, None, "s"), (3, "é clean", "s")]), "")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
