@@ -17,9 +17,9 @@ SIMILARITY = 0.98
 #: Vectors in a shard and queries in a block, at most about; their numbers grow with the table.
 SHARD_ROWS = 8_192
 LINKS, BUILD_BEAM, BEAM = 12, 48, 24
-#: Queries per task, at least, that are also answered by brute force, links besides copies that they have to show
-#: (or all queries are answered so), and the recall that they have to reach.
-AUDITS, AUDIT_LINKS, RECALL = 64, 64, 1.0
+#: Queries per task that are also answered by brute force, their nearest neighbours that are looked for (whatever their
+#: cosine, so recall is measured where nothing links too), the share of these and of their links that beams have to find.
+AUDITS, AUDIT_NEAR, NEAR_RECALL, RECALL = 64, 8, 0.95, 1.0
 _SLICE = 128
 
 
@@ -169,62 +169,57 @@ def normed(rows: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def linked_pairs(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, similarity: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, position, recall) of pairs with cosine >= similarity, verified in double precision.
+def audited_beam(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, similarity: float, beam: int = BEAM) -> tuple[int, float]:
+    """(beam, recall): the least doubling of the beam that finds the audited queries' neighbours, and the share it finds.
 
-    A query whose whole beam is similar is searched again with twice the beam, so no number of partners is a bound. Then
-    every audited query is answered by brute force; while their links aren't all found, all beams are doubled. A beam
-    of the whole shard is a full scan. Where links are rare more queries are audited; if all are, their answers stand.
+    A beam of the whole shard stands for a full scan, of recall 1.
     """
-    audit, truth, shown = np.empty(0, np.int64), [], 0
-    while len(audit) < len(queries) and (len(audit) < AUDITS or shown < AUDIT_LINKS):
-        rest = np.setdiff1d(np.arange(len(queries)), audit)
-        more = rest[np.unique(np.linspace(0, len(rest) - 1, min(max(AUDITS, len(audit)), len(rest))).astype(np.int64))]
-        for a in range(0, len(more), _SLICE):
-            cosine = queries[more[a : a + _SLICE]] @ exact.T
-            truth += [np.flatnonzero(c >= similarity) for c in cosine]
-            shown += int(((cosine >= similarity) & (cosine < 1 - 1e-9)).sum())
-        audit = np.r_[audit, more]
-    if len(audit) == len(queries):
-        order = np.argsort(audit)
-        return np.repeat(audit[order], [len(truth[i]) for i in order]), np.concatenate([truth[i] for i in order] or [np.empty(0, np.int64)]), 1.0
-    wanted = sum(len(t) for t in truth)
-    while True:
-        q, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        todo, width = np.arange(len(queries)), beam
-        while len(todo):
-            again = []
-            if width >= len(exact):
-                for i in todo:
-                    hit = np.flatnonzero(exact @ queries[i] >= similarity)
-                    q.append(np.full(len(hit), i))
-                    s.append(hit)
-                break
-            for a, at, cosine in graph.search(queries[todo], width):
-                full = cosine[:, -1] >= similarity - 1e-3
-                again.append(todo[a : a + len(at)][full])
-                row, column = np.nonzero((cosine >= similarity - 1e-3) & ~full[:, None] & (at >= 0))
-                mine, place = todo[a + row], at[row, column]
-                good = np.einsum("ij,ij->i", exact[place], queries[mine]) >= similarity
-                q.append(mine[good])
-                s.append(place[good])
-            todo, width = np.concatenate(again), 2 * width
-        q_all, s_all = np.concatenate(q), np.concatenate(s)
-        order = np.argsort(q_all, kind="stable")
-        q_all, s_all = q_all[order], s_all[order]
-        found = sum(len(np.intersect1d(s_all[np.searchsorted(q_all, i) : np.searchsorted(q_all, i, side="right")], t)) for i, t in zip(audit, truth, strict=True))
-        recall = found / wanted if wanted else 1.0
-        if recall >= RECALL or beam >= len(exact):
-            return q_all, s_all, recall
+    some = np.unique(np.linspace(0, len(queries) - 1, min(AUDITS, len(queries))).astype(np.int64))
+    cosine = queries[some] @ exact.T
+    k = min(AUDIT_NEAR, len(exact))
+    # a neighbour as near as the k-th counts, whichever of equals it is; the graph works in single precision
+    least = np.partition(cosine, len(exact) - k, axis=1)[:, len(exact) - k] - 1e-5
+    while beam < len(exact):
+        hits = links = wanted = 0
+        for a, at, _ in graph.search(queries[some], max(beam, k)):
+            for row, found in enumerate(at):
+                mine = cosine[a + row, found[found >= 0]]
+                hits += min(k, int((mine >= least[a + row]).sum()))
+                links += min(int((mine >= similarity).sum()), beam - 1)
+                wanted += min(int((cosine[a + row] >= similarity).sum()), beam - 1)
+        if hits >= NEAR_RECALL * k * len(some) and links >= RECALL * wanted:
+            return beam, hits / (k * len(some))
         beam *= 2
+    return beam, 1.0
+
+
+def linked_pairs(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, similarity: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, position) of pairs with cosine >= similarity, verified in double precision, by slices of queries.
+
+    A query whose whole beam is similar may have more partners than the beam holds, so it is compared with all of the shard.
+    """
+    full = np.arange(len(queries)) if beam >= len(exact) else np.empty(0, np.int64)
+    if not len(full):
+        for a, at, cosine in graph.search(queries, beam):
+            saturated = cosine[:, -1] >= similarity - 1e-3
+            full = np.r_[full, a + np.flatnonzero(saturated)]
+            row, column = np.nonzero((cosine >= similarity - 1e-3) & ~saturated[:, None] & (at >= 0))
+            place = at[row, column]
+            good = np.einsum("ij,ij->i", exact[place], queries[a + row]) >= similarity
+            yield a + row[good], place[good]
+    for a in range(0, len(full), _SLICE):
+        row, place = np.nonzero(queries[full[a : a + _SLICE]] @ exact.T >= similarity)
+        yield full[a + row], place
 
 
 def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of vectors.
+    """(vec_id, n_links, component_id, kept, audited_recall), one row per row of vectors.
 
     Vectors of one label (and length) are compared by cosine. Equal vectors form a class; a class is indexed and asked once.
     Classes of a label are dealt to shards by a hash; each shard has its graph, and every block of classes asks every
-    shard of its label. A task gives the number of links per class and a spanning forest of its links, never the pairs.
+    shard of its label, with a beam that audits against brute force have shown to be wide enough. A task gives the number of
+    links per class and a spanning forest of its links, never the pairs. audited_recall is the least share of the audited
+    queries' nearest neighbours that a task of the label found.
     n_links counts all other vectors of cosine >= similarity, copies too.
 
     Null, zero, or not wholly finite vectors and null labels link with nothing. A null id links with nothing
@@ -252,35 +247,39 @@ def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY, shard_ro
     graphs = written(graphs, "vec-graphs")
 
     def ask(graph: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rep": [], "links": [], "parent": []})
+        empty = pd.DataFrame({"label": [], "dim": [], "rep": [], "links": [], "parent": [], "recall": []})
         if not len(graph) or not len(block):
             return empty
         g = graph.iloc[0]
         exact = np.frombuffer(g["exact"]).reshape(-1, int(g["dim"]))
         mine, reps, copies = block["rep"].to_numpy(), np.asarray(g["reps"]), np.asarray(g["copies"])
-        q, s, recall = linked_pairs(SmallWorld.unpacked(g["graph"]), exact, normed(block["v"]), similarity)
-        if recall < RECALL:
-            raise RuntimeError(f"audited recall {recall}")
-        other = mine[q] != reps[s]
-        q, s = q[other], s[other]
-        links = np.bincount(q, weights=copies[s], minlength=len(mine)).astype(np.int64)
+        graph_, unit = SmallWorld.unpacked(g["graph"]), normed(block["v"])
+        beam, recall = audited_beam(graph_, exact, unit, similarity)
+        links, edges = np.zeros(len(mine), np.int64), [(mine[:0], reps[:0])]
+        for q, s in linked_pairs(graph_, exact, unit, similarity, beam):
+            other = mine[q] != reps[s]
+            q, s = q[other], s[other]
+            links += np.bincount(q, weights=copies[s], minlength=len(mine)).astype(np.int64)
+            edges.append(forest(mine[q], reps[s]))
+        node, parent = forest(*map(np.concatenate, zip(*edges, strict=True)))
         some = np.flatnonzero(links)
-        node, parent = forest(mine[q], reps[s])
-        return pd.DataFrame({"rep": np.r_[mine[some], node], "links": np.r_[links[some], np.zeros(len(node), np.int64)], "parent": pd.array([None] * len(some) + parent.tolist(), dtype="Int64")})
+        none, rest = [None] * len(some), [None] * len(node)
+        return pd.DataFrame({"label": g["label"], "dim": g["dim"], "rep": [*mine[some].tolist(), *node.tolist(), None], "links": pd.array([*links[some].tolist(), *rest, None], dtype="Int64"), "parent": [*none, *parent.tolist(), None], "recall": [*none, *rest, recall]})
 
     blocks = dealt.select("label", "dim", "rep", "v", F.col("shard").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     asked = graphs.select("label", "dim", "shard", "graph", "exact", "reps", "copies", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("block"))
     keys = ["label", "dim", "shard", "block"]
-    found = written(asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(ask, f"rep {id_type}, links long, parent {id_type}"), "vec-found")
+    found = written(asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(ask, f"label {label_type}, dim int, rep {id_type}, links long, parent {id_type}, recall double"), "vec-found")
     components = connected_components(found.where("parent is not null"), "rep", "parent").select(F.col("node").alias("rep"), "component")
-    counts = found.where("parent is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    told = classes.join(counts, "rep", "left").join(components, "rep", "left").select(F.xxhash64("label", "v").alias("h"), F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    counts = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
+    recalls = found.where("recall is not null").groupBy("label", "dim").agg(F.min("recall").alias("recall"))
+    told = classes.join(counts, "rep", "left").join(components, "rep", "left").join(recalls, ["label", "dim"], "left").select("recall", F.xxhash64("label", "v").alias("h"), F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     told = written(told, "vec-told")
     out = good.join(told, (good["h"] == told["h"]) & (good["label"] == told["l"]) & (good["v"] == told["w"]), "left")
-    linked = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = out.select("vec_id", "recall", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    alone = rows.where(~fit).select("vec_id", F.lit(None).cast("double").alias("recall"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = linked.unionByName(alone)
-    return both.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return both.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("recall").alias("audited_recall"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

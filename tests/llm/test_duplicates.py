@@ -211,10 +211,31 @@ def test_rare_links_between_shards_are_found():
         def search(self, queries, beam):
             yield 0, np.full((len(queries), 1), -1), np.full((len(queries), 1), -np.inf)
 
-    graph = Blind.__new__(Blind)  # a graph whose beams miss everything
-    q, s, recall = embedding_dedup.linked_pairs(graph, shard, queries, 0.98)
     want = np.argwhere(queries @ shard.T >= 0.98)
-    assert recall == 1.0 and len(want) >= 3 and np.array_equal(np.c_[q, s], want)
+    assert len(want) >= 3
+    for graph in (Blind.__new__(Blind), embedding_dedup.SmallWorld(shard)):  # the first one's beams miss everything
+        beam, recall = embedding_dedup.audited_beam(graph, shard, queries, 0.98)
+        assert recall >= 0.95 and (beam >= len(shard)) == isinstance(graph, Blind)
+        q, s = map(np.concatenate, zip(*embedding_dedup.linked_pairs(graph, shard, queries, 0.98, beam), strict=True))
+        order = np.lexsort((s, q))
+        assert np.array_equal(np.c_[q, s][order], want)
+
+
+def test_recall_is_measured_without_links(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, [float(x) for x in r], i % 2) for i, r in enumerate(rng.normal(size=(1200, 24)))], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.embedding_links(df).selectExpr("max(n_links) n", "min(audited_recall) r", "count(audited_recall) c").first()
+    assert got["n"] == 0 and 0.9 <= got["r"] <= 1 and got["c"] == 1200
+
+
+def test_large_clusters_are_compared_whole():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=16) + rng.normal(size=(1500, 16)) * 0.01
+    v = np.r_[v, rng.normal(size=(500, 16))]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = embedding_dedup.SmallWorld(v)
+    beam, _ = embedding_dedup.audited_beam(graph, v, v, 0.98)
+    assert beam < 2000 and sum(len(q) for q, _ in embedding_dedup.linked_pairs(graph, v, v, 0.98, beam)) == (v @ v.T >= 0.98).sum()
 
 
 def test_links_of_shards_larger_than_the_beam(spark):
