@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -96,6 +96,29 @@ def slices(coded: list[bytes], size: int = SLICE_BYTES) -> Iterator[tuple[np.nda
         yield packed()
 
 
+def whole_texts(coded: list[bytes], value: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, value) of the words of whole texts, several texts at a time; value(data, start, end) gives the words' values."""
+    owners, found = [], []
+    for data, begin, number in slices(coded):
+        start, end = word_spans(data)
+        owners.append(number[np.searchsorted(begin, start, side="right") - 1])
+        found.append(value(data, start, end))
+        # the last text of a slice may go on in the next one
+        owner, v = np.concatenate(owners), np.concatenate(found)
+        whole = np.searchsorted(owner, number[-1])
+        yield owner[:whole], v[:whole]
+        owners, found = [owner[whole:]], [v[whole:]]
+    if owners:
+        yield owners[0], found[0]
+
+
+def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of every run of n words, before the last mixing: differences of one running sum."""
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=total[1:])
+    return (total[n:] - total[:-n]) * powers(INVERSE, len(total) - n) + np.uint64(n + seed)
+
+
 def terms_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, term hash) of all terms, in slices; terms are lower-case runs of letters and digits."""
     for data, begin, number in slices([(t or "").lower().encode(errors="replace") for t in texts]):

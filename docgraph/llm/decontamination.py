@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_words import BASE, INVERSE, powers, running_sums, slices, span_hashes, word_spans
+from .byte_words import run_hashes, running_sums, span_hashes, whole_texts
 from .common import mix, with_fields, written
 
 WINDOW = 10
@@ -118,18 +118,7 @@ class Values(dict):
 
 def values_of(texts: list[str | None], values: Values) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, value) of the words of whole texts, several texts at a time."""
-    owners, found = [], []
-    for data, begin, number in slices([(t or "").encode(errors="replace") for t in texts]):
-        start, end = word_spans(data)
-        owners.append(number[np.searchsorted(begin, start, side="right") - 1])
-        found.append(values.of(data, start, end))
-        # the last text of a slice may go on in the next one
-        owner, v = np.concatenate(owners), np.concatenate(found)
-        whole = np.searchsorted(owner, number[-1])
-        yield owner[:whole], v[:whole]
-        owners, found = [owner[whole:]], [v[whole:]]
-    if owners:
-        yield owners[0], found[0]
+    return whole_texts([(t or "").encode(errors="replace") for t in texts], values.of)
 
 
 def canonical(owner: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,13 +142,6 @@ def canonical(owner: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, value | np.where(number, _FREE, _BOUND), name & begins & (out == value), place
 
 
-def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of n words, before the last mixing: differences of one running sum."""
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * powers(BASE, len(words)), out=total[1:])
-    return (total[n:] - total[:-n]) * powers(INVERSE, len(total) - n) + np.uint64(n + seed)
-
-
 def windows(owner: np.ndarray, v: np.ndarray, lengths: list[int], whole_items: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable | None]]:
     """(n, text number, at, place, hash, slots) of the windows of texts; -n for windows of n plain words, without slots.
 

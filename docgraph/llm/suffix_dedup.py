@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_words import INVERSE, powers, run_hashes, running_sums, span_hashes, whole_texts
 from .common import mix, with_fields, written
 from .suffix_groups import common_prefixes, suffix_array
 
@@ -20,30 +21,15 @@ LENGTH, GRAM, BLOCK = 400, 64, 16
 SHARD_ROWS, MOST_OF_ANCHOR = 3_000, 8_000
 _SLICE = 1_000_000
 _PLACE = np.uint64(2**24 - 1)
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of base; the longest run so far is kept, which the slice bounds."""
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS[base][:n]
+#: Words of a passage that is reported beside, and the hash bits that keep its anchors apart from those of bytes.
+PASSAGE = 51
+_APART = np.uint64(0x5BD1E995A3C59AC3)
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the bytes at every place, `gram` long, by differences of one running sum."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, n), out=total[1:])
-    return mix((total[gram:] - total[:-gram]) * powers(_INVERSE, n - gram + 1))
+    total = running_sums(data)
+    return mix((total[gram:] - total[:-gram]) * powers(INVERSE, len(total) - gram))
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -88,9 +74,31 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int
         k = m
 
 
+def passages_of(texts: list[bytes], words: int = PASSAGE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text no, anchor, its place, hash) of the runs of so many words of each text that has any, one entry a run.
+
+    The anchor of a run is the half of it, and one word, with the least hash; so equal runs have equal anchors.
+    """
+    half = words // 2 + 1
+    hashes = lambda data, start, end: span_hashes(running_sums(data), start, end)
+    for owner, h in whole_texts(texts, hashes):
+        if len(h) < words:
+            continue
+        g, runs = mix(run_hashes(h, half)), mix(run_hashes(h, words))
+        place = least_places(g, words - half + 1)
+        inside = np.flatnonzero(owner[: len(runs)] == owner[words - 1 :])
+        mine, place, runs = owner[inside], place[inside], runs[inside]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else []
+        for a, b in zip(first, [*first[1:], len(mine)], strict=True):
+            yield int(mine[a]), g[place[a:b]] ^ _APART, place[a:b], runs[a:b]
+
+
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs(doc_id, text) as (doc_id, c, n_bytes, fps, times): c names the text (half of its SHA-256). One pass, no shuffle."""
-    schema = with_fields(docs.select("doc_id").schema, "c binary, n_bytes long, fps array<long>, times array<int>")
+    """docs(doc_id, text) as (doc_id, c, n_bytes, worded, fps, times): c names the text (half of its SHA-256). One pass, no shuffle.
+
+    fps are the anchors of windows of bytes and of runs of words, worded whether there are any of the latter.
+    """
+    schema = with_fields(docs.select("doc_id").schema, "c binary, n_bytes long, worded boolean, fps array<long>, times array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,21 +106,26 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
             found: list[list[np.ndarray]] = [[] for _ in texts]
             for i, h, *_ in anchors_of(texts, length, gram):
                 found[i].append(h)
+            worded = np.zeros(len(texts), bool)
+            for i, h, place, _ in passages_of(texts):
+                found[i].append(h[np.r_[True, place[1:] != place[:-1]]])
+                worded[i] = True
             pairs = [np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, np.uint64), np.empty(0, np.int64)) for x in found]
             fps, times = [a.view(np.int64) for a, _ in pairs], [b.astype(np.int32) for _, b in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(worded), pa.array(fps, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-_NEAR = "c binary, fp long, at int, s binary, n long, spots array<struct<a:int,b:int>>, snip binary"
+_NEAR = "c binary, fp long, at int, s binary, n long, spots array<struct<a:int,b:int>>, snip binary, runs array<long>, times array<int>"
 
 
 def neighbourhoods(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """rows(c, text, fps, twice) as (c, fp, at, s, n, spots, snip) for the anchors in fps.
 
     snip holds the bytes of the windows that chose the anchor, at is the anchor's place in it, s names both. Equal ones of
-    a text are one row with all their runs of windows in spots; n is their number, doubled if the text has copies.
+    a text are one row with all their runs of windows in spots; n is their number, doubled if the text has copies. Beside, a
+    text with an anchor of words in fps gives a row that has only c, runs and times: the hashes of the runs of words with such anchors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +149,21 @@ def neighbourhoods(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     yield packed(batch, list(found.values()))
                     found, size = {}, 0
             yield packed(batch, list(found.values()))
+            some, held = [], []
+            for i, h, _, runs in passages_of(texts):
+                wanted = np.isin(h.view(np.int64), batch.column(2)[i].values.to_numpy())
+                if wanted.any():
+                    some.append(i)
+                    held.append(np.unique(runs[wanted].view(np.int64), return_counts=True))
+            c, bare = batch.column(0).take(pa.array(some, pa.int64())), packed(batch, [])
+            nulls = [pa.nulls(len(some), bare.schema.field(j).type) for j in range(1, 7)]
+            yield pa.RecordBatch.from_arrays([c, *nulls, pa.array([x for x, _ in held], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in held], pa.list_(pa.int32()))], names=bare.schema.names)
 
     def packed(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         n = [a * len(b) for a, b in zip(columns[4], columns[5], strict=True)]
         spots = pa.array(columns[5], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(n, pa.int64()), spots, pa.array(columns[6], pa.binary())], names=["c", "fp", "at", "s", "n", "spots", "snip"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(n, pa.int64()), spots, pa.array(columns[6], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int32()))], names=["c", "fp", "at", "s", "n", "spots", "snip", "runs", "times"])
 
     return rows.select("c", "text", "fps", "twice").mapInArrow(run, _NEAR)
 
@@ -277,16 +299,16 @@ def text_name(text: str) -> Column:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_rows: int = SHARD_ROWS, most_of_anchor: int = MOST_OF_ANCHOR) -> DataFrame:
-    """(c, twice, starts) per text of docs(doc_id, text) that holds a repeated string of `length` bytes.
+    """(c, twice, starts, passage) per text of docs(doc_id, text) that holds a repeated string of `length` bytes or of PASSAGE words.
 
     c names the text; twice: the text occurs more than once, so all its windows repeat (starts null); else starts are
-    runs (a, b) of the places where repeated strings start, in no order.
+    runs (a, b) of the places where repeated strings start, in no order. passage: a run of PASSAGE words occurs anywhere else.
 
     Only texts whose anchors occur again go on, and of them the windows around these anchors. Equal neighbourhoods of an
     anchor are counted; where an anchor has different ones, shards of whole anchors go through repeated_starts().
     """
     keyed = written(anchored(docs, length, gram), "suffix-anchors")
-    classes = written(keyed.groupBy("c").agg(F.min("doc_id").alias("rep"), (F.count("*") > 1).alias("twice"), F.first("n_bytes").alias("n_bytes")), "suffix-classes")
+    classes = written(keyed.groupBy("c").agg(F.min("doc_id").alias("rep"), (F.count("*") > 1).alias("twice"), F.first("n_bytes").alias("n_bytes"), F.first("worded").alias("worded")), "suffix-classes")
     one = keyed.join(classes.select("c", "rep", "twice").hint("merge"), "c").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     one = one.select("c", "twice", F.explode(F.arrays_zip("fps", "times")).alias("x")).select("c", "twice", F.col("x.fps").alias("fp"), F.col("x.times").alias("times"))
     places = written(one.dropDuplicates(["c", "fp"]), "suffix-places")
@@ -295,7 +317,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     named = docs.select("doc_id", "text", text_name("text").alias("c"))
     reps = classes.select("c", "rep").join(wanted, "c")
     near = named.join(reps.hint("merge"), "c").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    near = written(neighbourhoods(near, length, gram), "suffix-near")
+    every = written(neighbourhoods(near, length, gram), "suffix-near")
+    near, runs_of = every.where("fp is not null").drop("runs", "times"), every.where("runs is not null")
+    runs_of = runs_of.select("c", F.explode(F.arrays_zip("runs", "times")).alias("x")).select("c", F.col("x.runs").alias("run"), F.col("x.times").alias("times"))
+    again = written(runs_of.groupBy("run").agg(F.sum("times").alias("m")).where("m > 1").select("run"), "suffix-again")
+    passages = runs_of.join(again.hint("merge"), "run").select("c").distinct()
     counts = written(near.groupBy("fp", "s").agg(F.sum("n").alias("n")), "suffix-counts")
     mixed = written(counts.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least < 2").select("fp", "m"), "suffix-mixed")
     sets = near.select("fp", "s", "at", "n", "snip").join(mixed.hint("merge"), "fp").groupBy("fp", "m", "s").agg(F.first("at").alias("at"), F.sum("n").alias("n"), F.first("snip").alias("snip"))
@@ -309,8 +335,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     moved = F.transform("starts", lambda r: F.struct((r["a"] + F.col("spots")[0]["a"]).alias("a"), (r["b"] + F.col("spots")[0]["a"]).alias("b")))
     hit = slim.select("c", F.when(F.col("n") > 1, F.col("spots")).otherwise(moved).alias("r")).where("r is not null")
     per_text = hit.groupBy("c").agg(F.flatten(F.collect_list("r")).alias("starts"))
-    copies = classes.where(F.col("twice") & (F.col("n_bytes") >= length)).select("c", F.lit(True).alias("twice"))
-    return written(copies.join(per_text, "c", "full").select("c", F.coalesce("twice", F.lit(False)).alias("twice"), F.when(F.col("twice").isNull(), F.col("starts")).alias("starts")), "suffix-hits")
+    copies = classes.where(F.col("twice") & ((F.col("n_bytes") >= length) | F.col("worded"))).select("c", (F.col("n_bytes") >= length).alias("twice"), F.col("worded").alias("p"))
+    both = copies.join(per_text, "c", "full").join(passages.withColumn("q", F.lit(True)), "c", "full")
+    twice = F.coalesce("twice", F.lit(False))
+    return written(both.select("c", twice.alias("twice"), F.when(~twice, F.col("starts")).alias("starts"), F.coalesce("p", "q", F.lit(False)).alias("passage")), "suffix-hits")
 
 
 def kept_bytes(text: str | None, twice: bool | None, starts: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -332,16 +360,17 @@ def kept_bytes(text: str | None, twice: bool | None, starts: list[dict] | None,
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept, spans, n_bytes) per row: the bytes outside every string of `length` bytes that also starts elsewhere.
+    """(id, kept, spans, n_bytes, passage) per row: the bytes outside every string of `length` bytes that also starts elsewhere.
 
     Texts are UTF-8 bytes, null being empty; matches never cross texts; a string may repeat in its own text, overlaps
     count, and strings are judged on the input. So all of a text that has a copy goes (from `length` bytes on), the
-    first copy too. kept may cut a character. Null ids are ids like any other; repeated rows are copies. An empty
+    first copy too. passage tells whether a run of PASSAGE words (apart by ASCII blanks) occurs anywhere else, however many bytes
+    it has; it removes nothing. kept may cut a character. Null ids are ids like any other; repeated rows are copies. An empty
     table gives no rows. Only the id and text columns are read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = repeated_windows(rows, length)
-    joined = rows.select("doc_id", "text", text_name("text").alias("c")).join(hits.hint("merge"), "c", "left").select("doc_id", "text", "twice", "starts")
+    joined = rows.select("doc_id", "text", text_name("text").alias("c")).join(hits.hint("merge"), "c", "left").select("doc_id", "text", "twice", "starts", F.coalesce("passage", F.lit(False)).alias("passage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,13 +378,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             found = [kept_bytes(*x, length) for x in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             size = [len(k) + sum(b - a for a, b in s) for k, s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.binary()), spans, pa.array(size, pa.int64())], names=["doc_id", "kept", "spans", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.binary()), spans, pa.array(size, pa.int64()), batch.column(4)], names=["doc_id", "kept", "spans", "n_bytes", "passage"])
 
-    out = joined.mapInArrow(run, with_fields(rows.select("doc_id").schema, "kept binary, spans array<struct<start:int,end:int>>, n_bytes long"))
+    out = joined.mapInArrow(run, with_fields(rows.select("doc_id").schema, "kept binary, spans array<struct<start:int,end:int>>, n_bytes long, passage boolean"))
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passage").alias("repeats_passage"))

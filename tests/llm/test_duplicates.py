@@ -146,6 +146,24 @@ def test_repeats_equal_brute_force(docs, monkeypatch):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
+def test_repeated_passages_equal_brute_force(docs):
+    rng = random.Random(16)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopq")
+    passage = [word() for _ in range(90)]
+    rows = []
+    for i in range(60):
+        k = rng.choice([0, 40, 50, 51, 52, 70])
+        a = rng.randrange(90 - k)
+        rows.append((i, "\n".join([" ".join(word() for _ in range(rng.randrange(80))), "\t".join(passage[a : a + k]), " ".join(word() for _ in range(30))]), "s"))
+    own = " ".join(word() for _ in range(51))
+    rows += [(100, f"{own} x {own}", "s"), (101, " ".join(passage[:51]), "s"), (102, "a " * 60, "s"), (103, "b " * 51, "s"), (104, "copy " + own[5:70], "s"), (105, "copy " + own[5:70], "s"), (106, "z " * 51, "s"), (106, "z " * 51, "s"), (107, None, "s"), (108, "", "s")]
+    runs = [[tuple(w[j : j + 51]) for j in range(len(w) - 50)] for w in ((t or "").split() for _, t, _ in rows)]
+    n = Counter(x for r in runs for x in r)
+    want = Counter((i, any(n[x] > 1 for x in r)) for (i, _, _), r in zip(rows, runs, strict=True))
+    got = Counter((r["doc_id"], r["passage"]) for r in suffix_dedup.remove_repeats(docs(rows)).collect())
+    assert got == want and 0 < sum(p for _, p in got) < len(rows)
+
+
 def test_long_texts_go_by_pieces(monkeypatch):
     rng = random.Random(8)
     t = "".join(rng.choice("abcdef") for _ in range(5000)).encode()
