@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -328,8 +329,10 @@ def collected(made: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """(ids, y, cut, terms, term, tf) of hashed_terms(): examples by id, distinct term hashes, term numbers and counts by example."""
     got = made.toArrow()
     ids, y = np.array(got.column("doc_id").to_pylist()), got.column("y").to_numpy()
-    flat = [np.frombuffer(b"".join(got.column(name).to_pylist()), dtype=kind) for name, kind in (("h", np.uint64), ("c", np.uint32))]
-    size = np.array([len(x) // 4 for x in got.column("c").to_pylist()], dtype=np.int64)
+    flat = []
+    for name, kind in (("h", np.uint64), ("c", np.uint32)):
+        flat.append(np.frombuffer(b"".join(b"".join(x.to_pylist()) for x in got.column(name).chunks), dtype=kind))
+    size = pc.binary_length(got.column("c")).to_numpy().astype(np.int64) // 4
     del got
     terms = np.unique(flat[0])
     term = np.empty(len(flat[0]), np.int32)
