@@ -96,29 +96,32 @@ def bm25_scores(texts: DataFrame, questions: DataFrame, allowed: str | None = No
     """(question_id, id, score) of texts(id, text) for questions(question_id, question); only pairs that share a term.
 
     score is rounded to nine places, so that equal texts tie. Document frequencies and lengths are those of all texts.
-    allowed names an array column of texts with the question ids that may see the text; null lets all. top keeps the best so
+    allowed names an array column of texts with the question ids that may see the text; null lets all, and questions whose
+    boolean column open is true (if there is one) see all texts without being listed. top keeps the best so
     many per question and batch, which holds every overall top of that size.
     Questions go in blocks of BLOCK; for each block the texts are read twice, and nothing but scores is shuffled.
     """
-    rows = [(r["question_id"], r["question"]) for r in questions.select("question_id", "question").orderBy("question_id").toLocalIterator()]
+    opened = F.coalesce("open", F.lit(False)) if "open" in questions.columns else F.lit(False)
+    rows = [tuple(r) for r in questions.select("question_id", "question", opened).orderBy("question_id").toLocalIterator()]
     kind = questions.schema["question_id"].dataType.simpleString()
     id_kind = texts.schema["id"].dataType.simpleString()
     out = None
     for a in range(0, max(1, len(rows)), BLOCK):
         block = rows[a : a + BLOCK]
-        model = texts.sparkSession.sparkContext.broadcast(_with_statistics(Questions([q for _, q in block]), texts))
-        names = np.array([i for i, _ in block], dtype=object)
-        place = {i: n for n, (i, _) in enumerate(block)}
+        model = texts.sparkSession.sparkContext.broadcast(_with_statistics(Questions([q for _, q, _ in block]), texts))
+        names = np.array([i for i, *_ in block], dtype=object)
+        place = {i: n for n, (i, *_) in enumerate(block)}
+        free = np.flatnonzero([o for *_, o in block])
 
-        def run(parts: Iterator[pd.DataFrame], model=model, names=names, place=place) -> Iterator[pd.DataFrame]:
+        def run(parts: Iterator[pd.DataFrame], model=model, names=names, place=place, free=free) -> Iterator[pd.DataFrame]:
             for part in parts:
                 found_q, found_id, found = [], [], []
                 gates = part["allowed"] if allowed else [None] * len(part)
                 for key, t, gate in zip(part["id"], part["text"], gates, strict=True):
-                    if gate is not None and not any(q in place for q in gate):
+                    at = np.arange(len(names)) if gate is None else np.union1d(free, np.array([place[q] for q in gate if q in place], dtype=np.int64))
+                    if not len(at):
                         continue
                     score = model.value.scores(t)
-                    at = np.flatnonzero(score) if gate is None else np.array([place[q] for q in gate if q in place], dtype=np.int64)
                     at = at[score[at] > 0]
                     found_q.append(at)
                     found_id += [key] * len(at)

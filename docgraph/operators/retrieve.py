@@ -56,13 +56,20 @@ def question_scope(questions: DataFrame, matches: DataFrame, document_products:
     return scoped.unionByName(free.crossJoin(documents.select("document_id")))
 
 
-def gates(documents: DataFrame, matches: DataFrame, document_products: DataFrame, questions: DataFrame) -> DataFrame:
-    """(document_id, gate): ids of the questions that may see a document; null opens it to all (no question has a match)."""
-    free = questions.select("question_id").join(matches.select("question_id").distinct(), "question_id", "left_anti")
-    free_ids = free.agg(F.collect_set("question_id").alias("free"))  # question ids only, one row
+def gates(documents: DataFrame, matches: DataFrame, document_products: DataFrame) -> DataFrame:
+    """(document_id, gate): ids of the questions whose matches let them see a document.
+
+    Questions without a match see all documents; they are told by open_questions() and not listed document by document.
+    """
     seen = matches.join(document_products, "product_id").groupBy("document_id").agg(F.collect_set("question_id").alias("own"))
-    empty = F.array().cast(f"array<{questions.schema['question_id'].dataType.simpleString()}>")
-    return documents.select("document_id").join(seen, "document_id", "left").crossJoin(free_ids).select("document_id", F.array_union(F.coalesce("own", empty), "free").alias("gate"))
+    none = F.array().cast(f"array<{matches.schema['question_id'].dataType.simpleString()}>")
+    return documents.select("document_id").join(seen, "document_id", "left").select("document_id", F.coalesce("own", none).alias("gate"))
+
+
+def open_questions(questions: DataFrame, matches: DataFrame) -> DataFrame:
+    """questions(question_id, question) with open: whether no match narrows what they may see."""
+    matched = matches.select("question_id", F.lit(False).alias("open")).distinct()
+    return questions.select("question_id", "question").join(matched, "question_id", "left").select("question_id", "question", F.coalesce("open", F.lit(True)).alias("open"))
 
 
 def rank_candidates(scores: DataFrame) -> DataFrame:
@@ -194,10 +201,10 @@ def assemble_context(questions: DataFrame, lines: DataFrame, blocks: DataFrame)
 def retrieval_frames(questions: DataFrame, documents: DataFrame, products: DataFrame, document_products: DataFrame, chunks: DataFrame, facts: DataFrame, cfg: Config = Config(), nfkc: bool = True) -> dict[str, DataFrame]:
     """All steps of retrieval by name; facts are unique per fact_id. Tables that later steps read again are written."""
     matches = materialized(match_products(questions, products, nfkc))
-    gate = gates(documents, matches, document_products, questions)
+    gate = gates(documents, matches, document_products)
     fact_texts = facts.select(F.col("fact_id").alias("id"), "document_id", F.concat_ws(" ", "name", "statement").alias("text"))
     chunk_texts = chunks.select(F.col("chunk_id").alias("id"), "document_id", F.concat(F.array_join("headings", " "), F.lit(" "), "text").alias("text"))
-    asked = questions.select("question_id", "question")
+    asked = materialized(open_questions(questions, matches))
     fact_scores = materialized(bm25_scores(fact_texts.join(gate, "document_id"), asked, "gate"))
     chunk_scores = materialized(bm25_scores(chunk_texts.join(gate, "document_id"), asked, "gate"))
     support = facts.select(F.col("fact_id").alias("fact"), F.col("chunk_id").alias("chunk")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _OWN: dict[str, str] = {}
 
 
 def table_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of the application's own where that is unset, as in tests."""
+    """spark.checkpoint.dir. Where that is unset, a temporary folder if all runs in this process, as in tests; else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
