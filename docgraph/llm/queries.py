@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
+from . import bpe, conversation_repair, decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op13_bpe": bpe.op13_bpe,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op5_token_counts": token_counts.OP5_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
 }
