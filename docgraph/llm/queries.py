@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_repair, decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
+from . import bpe, conversation_repair, decontamination, embedding_dedup, minhash_dedup, mixing, pii, quality, suffix_dedup, token_counts, toxicity, url_filters, whitening
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_whitening": whitening.op12_whitening,
     "op13_bpe": bpe.op13_bpe,
 }
 ORACLE_SQL = {
