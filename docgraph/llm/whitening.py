@@ -146,15 +146,19 @@ def cut_above(matrix: np.ndarray, low: float, high: float, count: int) -> tuple[
 
 def contours(matrix: np.ndarray, want: int) -> list[tuple[float, float, int]]:
     """(low, high, eigenvalues inside) of intervals, from the top, that hold the first `want` eigenvalues and whatever clusters with them."""
-    trace = float(np.trace(matrix))
-    top = float(np.linalg.norm(matrix)) * 1.01  # no eigenvalue lies above the Frobenius norm
-    floor = trace * NOTHING
+    floor, high = float(np.trace(matrix)) * NOTHING, float(np.linalg.norm(matrix)) * 1.01
     want = min(want, inertia(matrix, floor))
-    out, high, seen = [], top, 0
+    low = floor
+    while high - low > 1e-9 * high:
+        middle = (low + high) / 2
+        low, high = (middle, high) if inertia(matrix, middle) else (low, middle)
+    out, seen = [], 0
     while seen < want:
         low, above = cut_above(matrix, floor, high, min(want, seen + PER_CONTOUR))
         low = max(low, floor)
         above = inertia(matrix, low)
+        if not out:  # a contour much wider than its eigenvalues would not tell them from their neighbours
+            high += max((high - low) / 4, 1e-8 * high)
         out.append((low, high, above - seen))
         high, seen = low, above
     return out

@@ -69,6 +69,15 @@ def test_equal_eigenvalues_stay_together(spark):
     assert np.allclose(q @ matrix @ q.T @ vectors, vectors * values, atol=1e-11)
 
 
+def test_eigenvalues_that_lie_close(spark):
+    """As of very many vectors without direction: all within a ten-thousandth."""
+    q, _ = np.linalg.qr(np.random.default_rng(6).standard_normal((64, 64)))
+    want = np.sort(1 + 1e-4 * np.random.default_rng(7).standard_normal(64))[::-1]
+    matrix = (q * want) @ q.T
+    values, vectors = wh.leading(spark, (matrix + matrix.T) / 2)
+    assert np.allclose(values, want[:16], rtol=1e-13) and np.abs(np.abs((vectors * (q[:, :16])).sum(axis=0)) - 1).max() < 1e-8
+
+
 def test_inertia_counts_eigenvalues():
     rng = np.random.default_rng(4)
     for d in (1, 2, 30, 150):
