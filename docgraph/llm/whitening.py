@@ -17,6 +17,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 #: Quadrature nodes on the upper half of a contour, and eigenvalues that one contour holds at most, but for clusters.
 NODES, PER_CONTOUR = 8, 8
+#: Vectors of a block beside twice as many as its contour holds.
+SPARE = 4
 #: An eigenvalue below this share of the trace is rounding error, and has no component.
 NOTHING = 1e-12
 ROUNDS = 12
@@ -159,11 +161,30 @@ def contours(matrix: np.ndarray, want: int) -> list[tuple[float, float, int]]:
         above = inertia(matrix, low)
         if not out:  # a contour much wider than its eigenvalues would not tell them from their neighbours
             high += max((high - low) / 4, 1e-8 * high)
-        out.append((low, high, above - seen))
+        out += narrowed(matrix, low, high, above - seen)
         high, seen = low, above
     return out
 
 
+def narrowed(matrix: np.ndarray, low: float, high: float, inside: int) -> list[tuple[float, float, int]]:
+    """The interval, halved as long as more eigenvalues lie near its outside than a block has spare vectors.
+
+    A contour damps what is far from it by its own width. One that a lone large eigenvalue makes wide would not damp the
+    bulk below; halves without eigenvalues are dropped, and the rest is as narrow as its surroundings ask for.
+    """
+    half, near = (high - low) / 2, 1e-9 * high
+    outside = inertia(matrix, low - half) - inertia(matrix, low) + inertia(matrix, high) - inertia(matrix, high + half)
+    if inside == 0 or outside <= inside + SPARE or half < 1e3 * near:
+        return [(low, high, inside)] if inside else []
+    for share in (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65):
+        middle = low + 2 * half * share
+        above = inertia(matrix, middle)
+        if inertia(matrix, middle - near) == above == inertia(matrix, middle + near):
+            above -= inertia(matrix, high)
+            return narrowed(matrix, middle, high, above) + narrowed(matrix, low, middle, inside - above)
+    return [(low, high, inside)]
+
+
 def solves(spark: SparkSession, matrix: np.ndarray, bounds: list[tuple[float, float, int]], guesses: list[np.ndarray]) -> list[np.ndarray]:
     """Each interval's guess, filtered: the contour integral of the resolvent applied to it, a shifted complex solve per node and task."""
     points, weights = np.polynomial.legendre.leggauss(NODES)
@@ -203,7 +224,7 @@ def leading(spark: SparkSession, matrix: np.ndarray, want: int = COMPONENTS) ->
         return np.zeros(0), np.zeros((len(matrix), 0))
     bounds = contours(matrix, want)
     rng, norm = np.random.default_rng(7), float(np.linalg.norm(matrix))
-    blocks = [rng.standard_normal((len(matrix), min(len(matrix), 2 * m + 4))) for _, _, m in bounds]
+    blocks = [rng.standard_normal((len(matrix), min(len(matrix), 2 * m + SPARE))) for _, _, m in bounds]
     polished = False
     for _ in range(ROUNDS):
         found, ready = [], True

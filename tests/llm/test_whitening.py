@@ -78,6 +78,15 @@ def test_eigenvalues_that_lie_close(spark):
     assert np.allclose(values, want[:16], rtol=1e-13) and np.abs(np.abs((vectors * (q[:, :16])).sum(axis=0)) - 1).max() < 1e-8
 
 
+def test_lone_large_eigenvalues_over_a_dense_bulk(spark):
+    rng = np.random.default_rng(8)
+    q, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+    want = np.sort(np.r_[4e5, 400, 133, np.linspace(50, 69, 61)])[::-1]
+    matrix = (q * want) @ q.T
+    values, vectors = wh.leading(spark, (matrix + matrix.T) / 2)
+    assert np.allclose(values, want[:16], rtol=1e-10) and np.abs(np.abs((vectors * q[:, :16]).sum(axis=0)) - 1).max() < 1e-9
+
+
 def test_inertia_counts_eigenvalues():
     rng = np.random.default_rng(4)
     for d in (1, 2, 30, 150):
