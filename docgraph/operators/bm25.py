@@ -1,34 +1,13 @@
-"""BM25 over words and character n-grams for many questions at once."""
+"""BM25 over words and character n-grams: the whole index and whole score tables. Ranked searches are in ranking."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as tx
 
-K1, B = 1.2, 0.75
-#: Questions that are scored in one pass over the texts; what is broadcast is bounded by it.
-BLOCK = 2_000
-_WORD = re.compile(r"[가-힣A-Za-z0-9%]+")
-
-
-def text_terms(text: str | None) -> list[str]:
-    """terms() for one text, for use inside batches."""
-    out: list[str] = []
-    for w in _WORD.findall((text or "").lower()):
-        n = len(w)
-        if n > 1:
-            out.append("w:" + w)
-            out += ["g:" + w[i : i + 2] for i in range(n - 1)]
-            out += ["g:" + w[i : i + 3] for i in range(n - 2)]
-    return out
+from .ranking import Index
 
 
 def bm25_index(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -39,104 +18,10 @@ def bm25_index(texts: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
-class Questions:
-    """A block of questions by term: which questions hold a term, and what a text's term is worth."""
-
-    def __init__(self, texts: list[str]):
-        holders: dict[str, list[int]] = {}
-        for q, t in enumerate(texts):
-            for term in set(text_terms(t)):
-                holders.setdefault(term, []).append(q)
-        self.count = len(texts)
-        self.numbers = {t: i for i, t in enumerate(sorted(holders))}
-        self.holders = [np.array(holders[t], dtype=np.int64) for t in self.numbers]
-        self.idf: np.ndarray | None = None
-        self.average = 0.0
-
-    def matched(self, text: str | None) -> tuple[int, list[tuple[int, int]]]:
-        """(number of terms, [(term number, tf)]) of a text."""
-        all_ = text_terms(text)
-        numbers = self.numbers
-        return len(all_), [(numbers[t], n) for t, n in Counter(all_).items() if t in numbers]
-
-    def scores(self, text: str | None) -> np.ndarray:
-        length, found = self.matched(text)
-        out = np.zeros(self.count)
-        norm = K1 * (1 - B + B * length / max(1.0, self.average))
-        for t, tf in sorted(found):
-            out[self.holders[t]] += self.idf[t] * tf * (K1 + 1) / (tf + norm)
-        return out
-
-
-def _with_statistics(questions: Questions, texts: DataFrame) -> Questions:
-    """Number of texts, mean length and document frequencies over all texts; one row per term of the block comes back."""
-    shared = texts.sparkSession.sparkContext.broadcast(questions)
+def bm25_scores(texts: DataFrame, questions: DataFrame, doors: DataFrame | None = None, column: str | None = None) -> DataFrame:
+    """(question_id, id, score) of all texts(id, text) that share a term with questions(question_id, question[, open]).
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(len(shared.value.numbers), dtype=np.int64)
-        n = total = 0
-        for part in parts:
-            for t in part["text"]:
-                length, found = shared.value.matched(t)
-                n, total = n + 1, total + length
-                df[[i for i, _ in found]] += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"t": np.r_[-2, -1, at], "n": np.r_[n, total, df[at]]})
-
-    rows = texts.select("text").mapInPandas(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    got = {r["t"]: r["n"] for r in rows}
-    n = got.get(-2, 0)
-    df = np.array([got.get(i, 0) for i in range(len(questions.numbers))], dtype=np.float64)
-    questions.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    questions.average = got.get(-1, 0) / n if n else 0.0
-    return questions
-
-
-def bm25_scores(texts: DataFrame, questions: DataFrame, allowed: str | None = None, top: int | None = None) -> DataFrame:
-    """(question_id, id, score) of texts(id, text) for questions(question_id, question); only pairs that share a term.
-
-    score is rounded to nine places, so that equal texts tie. Document frequencies and lengths are those of all texts.
-    allowed names an array column of texts with the question ids that may see the text; null lets all, and questions whose
-    boolean column open is true (if there is one) see all texts without being listed. top keeps the best so
-    many per question and batch, which holds every overall top of that size.
-    Questions go in blocks of BLOCK; for each block the texts are read twice, and nothing but scores is shuffled.
+    score is rounded to nine places, so that equal texts tie. Document frequencies and lengths are those of all texts. doors and
+    column narrow the texts as in Index.search(). This is a row per pair, for who needs them all; Index.search() ranks without it.
     """
-    opened = F.coalesce("open", F.lit(False)) if "open" in questions.columns else F.lit(False)
-    rows = [tuple(r) for r in questions.select("question_id", "question", opened).orderBy("question_id").toLocalIterator()]
-    kind = questions.schema["question_id"].dataType.simpleString()
-    id_kind = texts.schema["id"].dataType.simpleString()
-    out = None
-    for a in range(0, max(1, len(rows)), BLOCK):
-        block = rows[a : a + BLOCK]
-        model = texts.sparkSession.sparkContext.broadcast(_with_statistics(Questions([q for _, q, _ in block]), texts))
-        names = np.array([i for i, *_ in block], dtype=object)
-        place = {i: n for n, (i, *_) in enumerate(block)}
-        free = np.flatnonzero([o for *_, o in block])
-
-        def run(parts: Iterator[pd.DataFrame], model=model, names=names, place=place, free=free) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                found_q, found_id, found = [], [], []
-                gates = part["allowed"] if allowed else [None] * len(part)
-                for key, t, gate in zip(part["id"], part["text"], gates, strict=True):
-                    at = np.arange(len(names)) if gate is None else np.union1d(free, np.array([place[q] for q in gate if q in place], dtype=np.int64))
-                    if not len(at):
-                        continue
-                    score = model.value.scores(t)
-                    at = at[score[at] > 0]
-                    found_q.append(at)
-                    found_id += [key] * len(at)
-                    found.append(score[at])
-                if not found:
-                    continue
-                q, s = np.concatenate(found_q), np.concatenate(found).round(9)
-                frame = pd.DataFrame({"question_id": names[q] if len(q) else [], "id": found_id, "score": s})
-                if top is not None:
-                    frame = frame.sort_values(["question_id", "score", "id"], ascending=[True, False, True]).groupby("question_id").head(top)
-                yield frame
-
-        columns = [F.col("id"), F.col("text")] + ([F.col(allowed).alias("allowed")] if allowed else [])
-        scored = texts.select(*columns).mapInPandas(run, f"question_id {kind}, id {id_kind}, score double")
-        out = scored if out is None else out.unionAll(scored)
-    return out
-
-
+    return Index(texts, questions, carried=(column,) if column else ()).search(None, doors, column).select("question_id", "id", "score")

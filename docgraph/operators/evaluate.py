@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text
 
+from .ranking import Index, KeyGrams
+from .retrieve import Scope, with_products
+
 GROUPS = ("qa_type", "difficulty", "reasoning_type")
 # Categories of a diagnosis.
 CATEGORIES = ("retrieval_failure", "extraction_omission", "reasoning_error", "generation_error", "evaluation_error", "unknown")
@@ -88,17 +91,19 @@ def evidence_coverage(evidences: DataFrame, texts: DataFrame, n: int = 2, nfkc:
     return each.groupBy("id").agg(F.round(F.avg("share"), 9).alias("coverage"))
 
 
-def related_facts(evidences: DataFrame, facts: DataFrame, documents: DataFrame, most: int = 10, nfkc: bool = True) -> DataFrame:
-    """(id, fact_id, overlap, rank): per question the facts of its documents that share the most key 3-grams with its evidence.
+def related_facts(evidences: DataFrame, facts: DataFrame, scope: Scope, document_products: DataFrame, most: int = 10, nfkc: bool = True) -> DataFrame:
+    """(id, fact_id, overlap, rank): per question the facts in its scope that share the most key 3-grams with its evidence.
 
-    evidences(id, evidence), facts(fact_id, document_id, statement), documents(id, document_id). Ties by fact id.
+    evidences(id, evidence), facts(fact_id, document_id, statement). Ties by fact id. Facts are searched like texts by terms, a gram
+    being worth one: blocks of facts that hold too few of a question's grams to reach its best are passed over, and no pairs are made.
     """
-    e = evidences.select("id", text.match_key("evidence", nfkc).alias("k")).select("id", F.explode(text.char_grams("k", 3)).alias("gram")).distinct()
-    keyed = facts.select("document_id", "fact_id", text.match_key("statement", nfkc).alias("k"))
-    f = documents.select("id", "document_id").distinct().join(keyed, "document_id").select("id", "fact_id", F.explode(text.char_grams("k", 3)).alias("gram"))
-    counted = f.join(e, ["id", "gram"]).groupBy("id", "fact_id").agg(F.count("*").alias("overlap"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "fact_id"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= most)
+    asked = evidences.select(F.col("id").alias("question_id"), text.match_key("evidence", nfkc).alias("question"))
+    opened = asked.join(scope.asked.select("question_id", "open"), "question_id", "left")
+    keyed = facts.select(F.col("fact_id").alias("id"), "document_id", text.match_key("statement", nfkc).alias("text"))
+    index = Index(with_products(keyed, document_products), opened, KeyGrams(3), ("products",))
+    found = index.search(most, scope.doors, "products")
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
+    return found.select(F.col("question_id").alias("id"), F.col("id").alias("fact_id"), F.col("score").cast("long").alias("overlap"), rank.alias("rank"))
 
 
 def diagnosis_table(wrong: DataFrame, diagnoses: DataFrame) -> DataFrame:

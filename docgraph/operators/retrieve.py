@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docgraph.functions import text as tx
 from docgraph.sources.tables import materialized
 
-from .bm25 import bm25_scores
+from .ranking import Index
 
 
 @dataclass(frozen=True)
@@ -31,39 +31,62 @@ def by(*order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
 
 
+def _grams(key: Column, most: int = 3) -> Column:
+    """Distinct n-grams of a key for n up to most."""
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, most + 1)])))
+
+
 def match_products(questions: DataFrame, products: DataFrame, nfkc: bool = True) -> DataFrame:
-    """(question_id, product_id, ordinal, n_matches): products whose key is in the question's key.
+    """(question_id, product_id, name, ordinal, n_matches): products whose key is in the question's key.
 
-    A match is dropped if its key is in the key of another match, so two products of one key drop each other. The
-    containment join is a nested loop, keys being made once per side; Spark broadcasts the products if they are small.
+    A match is dropped if its key is in the key of another match, so two products of one key drop each other. A product
+    goes with one 3-gram of its key (all of a shorter key), the one that the fewest questions hold; only questions that hold it are
+    looked at, so no question meets all products. An empty key is in every question, but also in every other match.
     """
-    q = questions.select("question_id", tx.match_key("question", nfkc).alias("qk"))
-    p = products.select("product_id", "ordinal", "name", tx.match_key("name", nfkc).alias("pk"))
-    found = q.join(p, F.contains("qk", "pk")).select("question_id", "product_id", "ordinal", "name", "pk")
+    q = materialized(questions.select("question_id", tx.match_key("question", nfkc).alias("qk")))
+    p = materialized(products.select("product_id", "ordinal", "name", tx.match_key("name", nfkc).alias("pk")))
+    holders = q.select("question_id", F.explode(_grams(F.col("qk"))).alias("gram"))
+    own = p.where("pk <> ''").select("product_id", F.explode(_grams(F.col("pk"))).alias("gram"), F.least(F.length("pk"), F.lit(3)).alias("n")).where(F.length("gram") == F.col("n"))
+    asked = own.select("gram").distinct().join(holders, "gram").groupBy("gram").count()
+    rarest = own.join(asked, "gram", "left").groupBy("product_id").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+    near = holders.join(p.join(rarest, "product_id"), "gram").join(q, "question_id")
+    found = near.where(F.contains("qk", "pk")).select("question_id", "product_id", "ordinal", "name", "pk")
+    bare = p.where("pk = ''").limit(2).collect()
+    if len(bare) == 1:
+        unmatched = q.where("qk is not null").select("question_id").join(found.select("question_id").distinct(), "question_id", "left_anti")
+        found = found.unionByName(unmatched.select("question_id", *[F.lit(bare[0][c]).cast(p.schema[c].dataType).alias(c) for c in ("product_id", "ordinal", "name", "pk")]))
     others = found.groupBy("question_id").agg(F.collect_list(F.struct("product_id", "pk")).alias("o"))
     inside = F.exists("o", lambda x: (x["product_id"] != F.col("product_id")) & F.contains(x["pk"], F.col("pk")))
     kept = found.join(others, "question_id").where(~inside)
     return kept.select("question_id", "product_id", "name", "ordinal", F.count("*").over(Window.partitionBy("question_id")).alias("n_matches"))
 
 
-def question_scope(questions: DataFrame, matches: DataFrame, document_products: DataFrame, documents: DataFrame) -> DataFrame:
-    """(question_id, document_id) that a question may see: the documents of its matches, or all without matches.
+@dataclass(frozen=True)
+class Scope:
+    """What questions may see: doors(question_id, key, number), a row per matched product, and asked(question_id, question, open).
 
-    For questions without a match this has a row per document; bm25_scores() with an open gate needs no such rows.
+    A question whose flag open is set has no match and sees all documents; no row says so document by document.
     """
-    scoped = matches.join(document_products, "product_id").select("question_id", "document_id").distinct()
-    free = questions.select("question_id").join(matches.select("question_id").distinct(), "question_id", "left_anti")
-    return scoped.unionByName(free.crossJoin(documents.select("document_id")))
 
+    doors: DataFrame
+    asked: DataFrame
 
-def gates(documents: DataFrame, matches: DataFrame, document_products: DataFrame) -> DataFrame:
-    """(document_id, gate): ids of the questions whose matches let them see a document.
+    def pairs(self, document_products: DataFrame) -> DataFrame:
+        """(question_id, document_id) that a match lets a question see, and a row with a null document for every open question."""
+        seen = self.doors.select("question_id", F.col("key").alias("product_id")).join(document_products, "product_id").select("question_id", "document_id").distinct()
+        return seen.unionByName(self.asked.where("open").select("question_id", F.lit(None).cast(seen.schema["document_id"].dataType).alias("document_id")))
 
-    Questions without a match see all documents; they are told by open_questions() and not listed document by document.
-    """
-    seen = matches.join(document_products, "product_id").groupBy("document_id").agg(F.collect_set("question_id").alias("own"))
-    none = F.array().cast(f"array<{matches.schema['question_id'].dataType.simpleString()}>")
-    return documents.select("document_id").join(seen, "document_id", "left").select("document_id", F.coalesce("own", none).alias("gate"))
+
+def question_scope(questions: DataFrame, matches: DataFrame) -> Scope:
+    """The scope of every question: the documents of its matches, or all without matches."""
+    doors = matches.select("question_id", F.col("product_id").alias("key"), F.col("ordinal").cast("long").alias("number"))
+    return Scope(doors, materialized(open_questions(questions, matches)))
+
+
+def with_products(rows: DataFrame, document_products: DataFrame) -> DataFrame:
+    """rows(document_id, ...) with products, the ids of the document's products."""
+    listed = document_products.groupBy("document_id").agg(F.array_sort(F.collect_set("product_id")).alias("products"))
+    return rows.join(listed, "document_id", "left")
 
 
 def open_questions(questions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -81,7 +104,8 @@ def quota_first(ranked: DataFrame, owner: DataFrame, matches: DataFrame, documen
     """ranked(question_id, id, rank) cut at budget, each matched product's best first.
 
     Per matched product, in product order, its first max(least, min(most, budget // n_matches)) ids by rank; then all by
-    rank; first occurrences, numbered from 1 in pos.
+    rank; first occurrences, numbered from 1 in pos. ranked may hold just the best `most` of each product and the best
+    `budget` of all: the order among them is all that counts.
     """
     scoped = matches.select("question_id", "product_id", "ordinal", "n_matches").join(document_products, "product_id")
     own = ranked.join(owner, "id").join(scoped, ["question_id", "document_id"])
@@ -93,14 +117,19 @@ def quota_first(ranked: DataFrame, owner: DataFrame, matches: DataFrame, documen
     return merged.withColumn("pos", by("k")).where(F.col("pos") <= budget).select("question_id", "id", "pos")
 
 
-def expand_entities(selected: DataFrame, scores: DataFrame, mentions: DataFrame, seeds: int = 8, most: int = 4) -> DataFrame:
-    """(question_id, id, pos) of up to `most` scored facts that share an entity with the first seeds; ties by seed, then id.
+def entity_doors(selected: DataFrame, mentions: DataFrame, seeds: int = 8) -> DataFrame:
+    """(question_id, key, number): entities that the first seeds mention, each with the place of its first seed. mentions(fact, entity)."""
+    start = selected.where(F.col("pos") <= seeds).join(mentions.withColumnRenamed("fact", "id"), "id")
+    return start.groupBy("question_id", F.col("entity").alias("key")).agg(F.min("pos").cast("long").alias("number"))
+
 
-    mentions(fact, entity). The scored facts of a question restrict the second hop, so a hub entity gives no square.
+def expand_entities(selected: DataFrame, near: DataFrame, most: int = 4) -> DataFrame:
+    """(question_id, id, pos) of up to `most` facts that aren't selected yet; ties by seed, then id.
+
+    near(question_id, id, score, seed): the best facts that share an entity with the first seeds, `most` and as many as may be
+    selected. They come from a search that the seeds' entities gate, so an entity of very many facts gathers them nowhere.
     """
-    start = selected.where(F.col("pos") <= seeds).join(mentions.withColumnRenamed("fact", "id"), "id").groupBy("question_id", "entity").agg(F.min("pos").alias("seed"))
-    near = scores.join(mentions.withColumnRenamed("fact", "id"), "id").join(start, ["question_id", "entity"])
-    best = near.groupBy("question_id", "id").agg(F.max("score").alias("score"), F.min("seed").alias("seed")).join(selected.select("question_id", "id"), ["question_id", "id"], "left_anti")
+    best = near.join(selected.select("question_id", "id"), ["question_id", "id"], "left_anti")
     counted = selected.groupBy("question_id").agg(F.max("pos").alias("base"))
     return best.withColumn("n", by(F.desc("score"), "seed", "id")).where(F.col("n") <= most).join(counted, "question_id").select("question_id", "id", (F.col("base") + F.col("n")).cast("int").alias("pos"))
 
@@ -126,10 +155,12 @@ def expand_adjacent(selected: DataFrame, neighbours: DataFrame, limit: int) -> D
     return selected.unionByName(more.where(F.col("pos") <= limit))
 
 
-def expand_supported_facts(chunks: DataFrame, facts: DataFrame, scores: DataFrame, support: DataFrame, limit: int, each: int = 3) -> DataFrame:
-    """facts and, per selected chunk in order, the new ones of its best facts (unscored count 0, ties by id), up to limit in all."""
-    of_chunk = chunks.select("question_id", F.col("id").alias("chunk"), F.col("pos").alias("cpos")).join(support, "chunk").select("question_id", "chunk", "cpos", F.col("fact").alias("id"))
-    scored = of_chunk.join(scores.select("question_id", "id", "score"), ["question_id", "id"], "left").withColumn("s", F.coalesce("score", F.lit(0.0)))
+def expand_supported_facts(offered: DataFrame, facts: DataFrame, scores: DataFrame, limit: int, each: int = 3) -> DataFrame:
+    """facts and, per selected chunk in order, the new ones of its best facts (unscored count 0, ties by id), up to limit in all.
+
+    offered(question_id, chunk, cpos, id): the facts of the selected chunks.
+    """
+    scored = offered.join(scores.select("question_id", "id", "score"), ["question_id", "id"], "left").withColumn("s", F.coalesce("score", F.lit(0.0)))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("question_id", "chunk").orderBy(F.desc("s"), "id"))).where(F.col("n") <= each)
     fresh = best.groupBy("question_id", "id").agg(F.min(F.struct("cpos", "n")).alias("k")).join(facts.select("question_id", "id"), ["question_id", "id"], "left_anti")
     counted = facts.groupBy("question_id").agg(F.max("pos").alias("base"))
@@ -180,6 +211,24 @@ def chunk_blocks(selected: DataFrame, chunks: DataFrame, documents: DataFrame, s
     return joined.select("question_id", "id", "document_id", "pos", block.alias("block"))
 
 
+def replace_ids(raw: Column, aliases: Column, note: str = NO_CHUNK) -> Column:
+    """raw with every canonical id replaced in one pass: by its alias, or by note where a chunk id has none.
+
+    aliases is an array of (alias, canonical). The text is cut at its ids once, however many aliases there are.
+    """
+    form = "F:f_[0-9a-f]{20}|C:c_[0-9a-f]+"
+    known = F.map_from_entries(F.transform(aliases, lambda a: F.struct(a["canonical"], a["alias"])))
+    size = F.lit(24)  # of a mark and an id; what follows an id stays
+
+    def named(found: Column) -> Column:
+        alias = F.try_element_at(known, F.substring(found, F.lit(1), size))
+        rest = F.substring(found, size + 1, F.length(found))
+        return F.when(alias.isNotNull(), F.concat(alias, rest)).when(F.startswith(found, F.lit("C:")), F.lit(note)).otherwise(found)
+
+    between, ids = F.split(raw, form, -1), F.transform(F.regexp_extract_all(raw, F.lit(form), F.lit(0)), named)
+    return F.array_join(F.zip_with(between, ids, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def assemble_context(questions: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(question_id, context, citation_map): parts joined by blank lines; canonical ids become F:i and C:i, other chunk ids a note."""
 
@@ -194,31 +243,41 @@ def assemble_context(questions: DataFrame, lines: DataFrame, blocks: DataFrame)
         return F.coalesce(F.transform(name, entry), F.array().cast("array<struct<alias:string,canonical:string>>"))
 
     named = joined.select("question_id", F.array_join(parts, "\n\n").alias("raw"), F.concat(aliases("f", "F"), aliases("c", "C")).alias("a"))
-    renamed = F.aggregate("a", F.col("raw"), lambda acc, x: F.replace(acc, x["canonical"], x["alias"]))
-    return named.select("question_id", F.regexp_replace(renamed, "C:c_[0-9a-f]+", NO_CHUNK).alias("context"), F.map_from_entries("a").alias("citation_map"))
+    return named.select("question_id", replace_ids(F.col("raw"), F.col("a")).alias("context"), F.map_from_entries("a").alias("citation_map"))
 
 
 def retrieval_frames(questions: DataFrame, documents: DataFrame, products: DataFrame, document_products: DataFrame, chunks: DataFrame, facts: DataFrame, cfg: Config = Config(), nfkc: bool = True) -> dict[str, DataFrame]:
-    """All steps of retrieval by name; facts are unique per fact_id. Tables that later steps read again are written."""
+    """All steps of retrieval by name; facts are unique per fact_id. Tables that later steps read again are written.
+
+    Facts and chunks are ranked by gated searches, which give the best few per question and per matched product; scores of
+    other facts are worked out for the pairs that a step asks for. So no table of all scores is made.
+    """
     matches = materialized(match_products(questions, products, nfkc))
-    gate = gates(documents, matches, document_products)
-    fact_texts = facts.select(F.col("fact_id").alias("id"), "document_id", F.concat_ws(" ", "name", "statement").alias("text"))
-    chunk_texts = chunks.select(F.col("chunk_id").alias("id"), "document_id", F.concat(F.array_join("headings", " "), F.lit(" "), "text").alias("text"))
-    asked = materialized(open_questions(questions, matches))
-    fact_scores = materialized(bm25_scores(fact_texts.join(gate, "document_id"), asked, "gate"))
-    chunk_scores = materialized(bm25_scores(chunk_texts.join(gate, "document_id"), asked, "gate"))
+    scope = question_scope(questions, matches)
+    mentioned = F.array_distinct(F.transform("entities", lambda e: F.to_json(e))).alias("mentioned")
+    fact_texts = with_products(facts.select(F.col("fact_id").alias("id"), "document_id", mentioned, F.concat_ws(" ", "name", "statement").alias("text")), document_products)
+    chunk_texts = with_products(chunks.select(F.col("chunk_id").alias("id"), "document_id", F.concat(F.array_join("headings", " "), F.lit(" "), "text").alias("text")), document_products)
+    fact_index = Index(fact_texts, scope.asked, carried=("products", "mentioned"))
+    chunk_index = Index(chunk_texts, scope.asked, carried=("products",))
+    fact_top = materialized(fact_index.search(cfg.retrieval_facts, scope.doors, "products", each=8).select("question_id", "id", "score").distinct())
+    chunk_top = materialized(chunk_index.search(30, scope.doors, "products").select("question_id", "id", "score"))
     support = facts.select(F.col("fact_id").alias("fact"), F.col("chunk_id").alias("chunk")).distinct()
     mentions = facts.select(F.col("fact_id").alias("fact"), F.explode("entities").alias("e")).select("fact", F.to_json("e").alias("entity")).distinct()
     neighbours = chunks.select("document_id", F.col("chunk_id").alias("source"), F.lead("chunk_id").over(Window.partitionBy("document_id").orderBy("ordinal")).alias("target")).where("target is not null")
-    ranked_f, ranked_c = rank_candidates(fact_scores), rank_candidates(chunk_scores)
+    ranked_f, ranked_c = rank_candidates(fact_top), rank_candidates(chunk_top)
     first_f = materialized(quota_first(ranked_f, fact_texts.select("id", "document_id"), matches, document_products, 2, 8, cfg.retrieval_facts))
-    hop = expand_entities(first_f, fact_scores, mentions)
+    doors = materialized(entity_doors(first_f, mentions))
+    near = materialized(fact_index.search(4 + cfg.retrieval_facts, scope.doors, "products", via=doors, via_column="mentioned"))
+    hop = expand_entities(first_f, near)
     with_hop = materialized(first_f.unionByName(hop))
     fused = fuse_chunks(with_hop, support, ranked_c)
     first_c = materialized(quota_first(fused, chunk_texts.select("id", "document_id"), matches, document_products, 1, 3, cfg.retrieval_chunks))
     all_c = materialized(expand_adjacent(first_c, neighbours, cfg.retrieval_chunks + 3))
-    all_f = materialized(expand_supported_facts(all_c, with_hop, fact_scores, support, cfg.retrieval_facts + 12))
-    return {"matches": matches, "fact_scores": fact_scores, "chunk_scores": chunk_scores, "ranked_chunks": ranked_c, "first_facts": first_f, "hop": hop, "fused": fused, "first_chunks": first_c, "chunks": all_c, "facts": all_f, "support": support}
+    offered = materialized(all_c.select("question_id", F.col("id").alias("chunk"), F.col("pos").alias("cpos")).join(support, "chunk").select("question_id", "chunk", "cpos", F.col("fact").alias("id")))
+    beside = materialized(fact_index.pairs(offered.select("question_id", "id").distinct()))
+    all_f = materialized(expand_supported_facts(offered, with_hop, beside, cfg.retrieval_facts + 12))
+    known = fact_top.unionByName(near.select("question_id", "id", "score")).unionByName(beside).distinct()
+    return {"matches": matches, "fact_scores": known, "ranked_chunks": ranked_c, "first_facts": first_f, "hop": hop, "fused": fused, "first_chunks": first_c, "chunks": all_c, "facts": all_f, "support": support}
 
 
 def retrieve(questions: DataFrame, documents: DataFrame, products: DataFrame, document_products: DataFrame, chunks: DataFrame, facts: DataFrame, cfg: Config = Config(), nfkc: bool = True) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions import ids, text
-from docgraph.operators import answers, bm25, corpus, evaluate, extract, graph, report, retrieve, units, validate
+from docgraph.operators import answers, bm25, corpus, evaluate, extract, graph, ranking, report, retrieve, units, validate
+from docgraph.sources.tables import materialized
 
 from . import sql
 from .binding import Corpus, corpus_of, raw, table
@@ -378,7 +379,7 @@ def r4(spark, sf):
     c = corpus_of(spark, sf)
     texts = c.chunks.select(F.col("chunk_id").alias("id"), F.concat(F.array_join("headings", " "), F.lit(" "), "text").alias("text"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    best = retrieve.rank_candidates(bm25.bm25_scores(texts, asked, top=10)).where("rank <= 10")
+    best = retrieve.rank_candidates(ranking.Index(texts, asked).search(10))
     return best.select("question_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -400,10 +401,12 @@ def r1(spark, sf):
     return retrieve.match_products(c.questions, c.products, nfkc=False)
 
 
-@query("r3_question_scope", sql.query("SELECT question_id, document_id FROM scope", *sql.CORPUS, ASKED, MATCH))
+@query("r3_question_scope", sql.query("SELECT question_id, document_id FROM match JOIN src USING (product_id) GROUP BY ALL UNION ALL SELECT question_id, NULL FROM asked WHERE question_id NOT IN (SELECT question_id FROM match)", *sql.CORPUS, ASKED, MATCH))
 def r3(spark, sf):
+    """Documents by question; a null document stands for all, where nothing narrows a question's scope."""
     c = corpus_of(spark, sf)
-    return retrieve.question_scope(c.questions, retrieve.match_products(c.questions, c.products, nfkc=False), c.document_products, c.documents)
+    matches = materialized(retrieve.match_products(c.questions, c.products, nfkc=False))
+    return retrieve.question_scope(c.questions, matches).pairs(c.document_products)
 
 
 UFACT = "uf AS (SELECT fact_id, arg_max(name, chunk_id || fact_pos) AS name, any_value(statement) AS statement, any_value(document_id) AS document_id, any_value(type) AS type, max(chunk_id) AS chunk_id FROM fact GROUP BY fact_id)"
@@ -459,7 +462,10 @@ def _placed(df: DataFrame) -> DataFrame:
 
 @query("r0b_fact_scores", sql.query("SELECT question_id, id, round(score, 6) AS score FROM fs", *sql.FULL, ASKED, MATCH, UFACT, *SCORES))
 def r0b(spark, sf):
-    return frames(spark, sf)["fact_scores"].select("question_id", "id", F.round("score", 6).alias("score"))
+    c = corpus_of(spark, sf)
+    scope = retrieve.question_scope(c.questions, materialized(retrieve.match_products(c.questions, c.products, nfkc=False)))
+    texts = retrieve.with_products(c.unique_facts.select(F.col("fact_id").alias("id"), "document_id", F.concat_ws(" ", "name", "statement").alias("text")), c.document_products)
+    return bm25.bm25_scores(texts, scope.asked, scope.doors, "products").select("question_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("r5_r6_selected_facts", sql.query("SELECT question_id, id, pos FROM sf", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL))
@@ -663,9 +669,9 @@ def v7(spark, sf):
   JOIN (SELECT DISTINCT q.question_id AS id, f.fact_id, unnest({grams('f.k', 3)}) AS g FROM scope q JOIN (SELECT fact_id, document_id, {sql.KEY.format('statement')} AS k FROM uf) f USING (document_id) WHERE length(f.k) >= 3) USING (id, g) GROUP BY id, fact_id)) WHERE rank <= 10""", *sql.FULL, ASKED, MATCH, UFACT))
 def v8(spark, sf):
     c = corpus_of(spark, sf)
-    matches = retrieve.match_products(c.questions, c.products, nfkc=False)
-    scope = retrieve.question_scope(c.questions, matches, c.document_products, c.documents).withColumnRenamed("question_id", "id")
-    found = evaluate.related_facts(c.questions.select(F.col("question_id").alias("id"), F.col("question").alias("evidence")), c.unique_facts.select("fact_id", "document_id", "statement"), scope, nfkc=False)
+    scope = retrieve.question_scope(c.questions, materialized(retrieve.match_products(c.questions, c.products, nfkc=False)))
+    asked = c.questions.select(F.col("question_id").alias("id"), F.col("question").alias("evidence"))
+    found = evaluate.related_facts(asked, c.unique_facts.select("fact_id", "document_id", "statement"), scope, c.document_products, nfkc=False)
     return found.select("id", "fact_id", "overlap", F.col("rank").cast("long").alias("rank"))
 
 
