@@ -46,13 +46,24 @@ def dedup_documents(raw: DataFrame) -> DataFrame:
     return won.select(ids.document_id(F.col("sha256")).alias("document_id"), "sha256", text.doc_title("content", "relative_path").alias("title"), F.col("content").alias("text"), "source_count", text.date_mentions("content").alias("date_mentions"))
 
 
-def dataset_fingerprint(sources: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the JSON list of [relative_path, sha256] in path order.
+def dataset_fingerprint(sources: DataFrame, leaf: int = 4096) -> DataFrame:
+    """One row: SHA-256 of the JSON list of [relative_path, sha256] in path order; of a tree of such lists for over `leaf` paths.
 
-    Paths and hashes meet in one row, which is fine for some ten million files; artifact_fingerprint() has no such bound.
+    Paths go to leaves by the first digits of their own hash, two more for every 256-fold of `leaf`, and a parent is the list of
+    [digits, hash] of its up to 256 children. So the leaves depend on the paths alone, and no row holds more than some `leaf`
+    paths whatever the corpus. No sources give the hash of the empty list.
     """
-    pairs = F.array_sort(F.collect_list(F.array("relative_path", "sha256")))
-    return sources.agg(F.sha2(ids.json_text(pairs), 256).alias("dataset_hash"))
+    n, digits = sources.count(), 0
+    while n > leaf * 16**digits:
+        digits += 2
+    listed = lambda key, value: F.sha2(ids.json_text(F.array_sort(F.collect_list(F.array(key, value)))), 256)
+    level = sources.select(F.substring(F.sha2("relative_path", 256), 1, digits).alias("k"), "relative_path", "sha256")
+    if not digits:
+        return level.agg(listed("relative_path", "sha256").alias("dataset_hash"))
+    level = level.groupBy("k").agg(listed("relative_path", "sha256").alias("h"))
+    for rest in range(digits - 2, 0, -2):
+        level = level.groupBy(F.substring("k", 1, rest).alias("up")).agg(listed("k", "h").alias("h")).withColumnRenamed("up", "k")
+    return level.agg(listed("k", "h").alias("dataset_hash"))
 
 
 def corpus_manifest(sources: DataFrame, documents: DataFrame, units: DataFrame, chunks: DataFrame) -> DataFrame:

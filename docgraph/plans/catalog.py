@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions import ids, text
-from docgraph.operators import answers, bm25, corpus, evaluate, extract, graph, ranking, report, retrieve, units, validate
+from docgraph.operators import answers, bm25, corpus, evaluate, extract, faults, graph, ranking, report, retrieve, units, validate
 from docgraph.sources.tables import materialized
 
 from . import sql
@@ -136,11 +136,24 @@ def d3(spark, sf):
     return corpus_of(spark, sf).documents.select("document_id", "sha256", "title", "source_count", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("d4_dataset_fingerprint", sql.query("SELECT sha256('[' || string_agg('[' || to_json(relative_path) || ',' || to_json(sha256) || ']', ',' ORDER BY relative_path) || ']') AS dataset_hash FROM src", *sql.CORPUS))
+def hash_tree(leaf: int) -> str:
+    """Fingerprint of src: one list where it has `leaf` rows at most, else lists by the first two digits of the path's hash, up to 256 times as many."""
+    pairs = "'[' || string_agg('[' || to_json(relative_path) || ',' || to_json(sha256) || ']', ',' ORDER BY relative_path) || ']'"
+    leaves = f"(SELECT substr(sha256(relative_path), 1, 2) AS k, sha256({pairs}) AS h FROM src GROUP BY 1)"
+    return f"SELECT CASE WHEN (SELECT count(*) FROM src) <= {leaf} THEN (SELECT sha256({pairs}) FROM src) ELSE (SELECT sha256('[' || string_agg('[' || to_json(k) || ',' || to_json(h) || ']', ',' ORDER BY k) || ']') FROM {leaves}) END AS dataset_hash"
+
+
+@query("d4_dataset_fingerprint", sql.query(hash_tree(4096), *sql.CORPUS))
 def d4(spark, sf):
     return corpus.dataset_fingerprint(corpus_of(spark, sf).sources)
 
 
+@query("d4_fingerprint_tree", sql.query(hash_tree(64), *sql.CORPUS))
+def d4b(spark, sf):
+    """The same with small leaves, so these tables give a tree."""
+    return corpus.dataset_fingerprint(corpus_of(spark, sf).sources, 64)
+
+
 @query("d5_manifest", sql.query("SELECT (SELECT count(*) FROM prod) AS products, (SELECT count(*) FROM src) AS source_documents, (SELECT count(*) FROM docs) AS unique_documents, (SELECT sum(length(text))::BIGINT FROM docs) AS raw_chars, (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM chunks) AS chunks", *sql.CUT))
 def d5(spark, sf):
     c = corpus_of(spark, sf)
@@ -367,6 +380,36 @@ def x11(spark, sf):
     return _validated(c, units=turned, chunks=c.chunks.withColumn("ordinal", F.col("ordinal") * 2))
 
 
+#: What the fault of each rule must give.
+FAULTY = {
+    "X1": "document_id AS id FROM docs",
+    "X2": "source_id AS id FROM src",
+    "X3": "source_id AS id FROM src",
+    "X4": "chunk_id AS id FROM chunks",
+    "X5": "entity_id AS id FROM ent GROUP BY 2",
+    "X6": "fact_id AS id FROM fact GROUP BY 2",
+    "X7": "fact_id AS id FROM fact GROUP BY 2",
+    "X8": "fact_id AS id FROM fact GROUP BY 2",
+    "X9": "fact_id AS id FROM fact JOIN chunks USING (chunk_id) WHERE unit_ids[-1] = unit_id GROUP BY 2",
+    "X10": "fact_id AS id FROM fact GROUP BY 2",
+    "X11": "id FROM edges WHERE type = 'NEXT_CHUNK'",
+    "X12": "id FROM edges WHERE type = 'MENTIONS'",
+    "X13": "unit_id AS id FROM units",
+}
+
+
+def _register_fault(rule: str, found: str) -> None:
+    @query(f"{rule.lower()}_fault", sql.query(f"SELECT '{rule}' AS rule, {found}", *sql.FULL))
+    def fault(spark, sf):
+        c = corpus_of(spark, sf)
+        valid = {"documents": c.documents, "sources": c.sources, "units": c.units, "chunks": c.chunks, "facts": c.unique_facts, "nodes": c.nodes, "edges": c.edges}
+        return validate.validate_graph(**faults.faulty(valid, rule))
+
+
+for _rule, _found in FAULTY.items():
+    _register_fault(_rule, _found)
+
+
 # Retrieval
 
 CHUNK_TEXTS = "SELECT chunk_id AS id, array_to_string(headings, ' ') || ' ' || text AS text FROM chunks"
@@ -505,8 +548,8 @@ PACK = (
     || CASE WHEN length(u.statement) > 650 THEN ' [이하 생략: 연결된 원문 청크에서 전체 조건 확인]' ELSE '' END AS line
   FROM allf a JOIN uf u ON u.fact_id = a.id JOIN label l USING (document_id) JOIN (SELECT fact, string_agg('C:' || chunk, ',' ORDER BY chunk) AS proof FROM supp GROUP BY fact) p ON p.fact = a.id),
 keptf AS (SELECT * FROM (SELECT *, 12 + sum(length(line)) OVER (PARTITION BY question_id ORDER BY pos) AS total FROM line) WHERE total <= 27000 * 0.32)""",
-    """blk AS (SELECT a.question_id, a.id, a.pos, c.document_id, length('[C:' || a.id || '] 문서: ' || d.title || '; 상품: ' || l.scope || '; 페이지: [1]' || chr(10) || c.text) AS n
-  FROM allc a JOIN chunks c ON c.chunk_id = a.id JOIN docs d USING (document_id) JOIN label l USING (document_id)),
+    """blk AS (SELECT *, length(block) AS n FROM (SELECT a.question_id, a.id, a.pos, c.document_id, '[C:' || a.id || '] 문서: ' || d.title || '; 상품: ' || l.scope || '; 페이지: [1]' || chr(10) || c.text AS block
+  FROM allc a JOIN chunks c ON c.chunk_id = a.id JOIN docs d USING (document_id) JOIN label l USING (document_id))),
 seqb AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS k FROM blk),
 spent AS (SELECT question_id, coalesce(max(total), 12) AS used FROM asked LEFT JOIN keptf USING (question_id) GROUP BY question_id),
 walk AS (SELECT question_id, 0::BIGINT AS k, used::BIGINT AS used, false AS taken FROM spent UNION ALL SELECT w.question_id, s.k, CASE WHEN w.used + s.n <= 27000 THEN w.used + s.n ELSE w.used END, w.used + s.n <= 27000 FROM walk w JOIN seqb s ON s.question_id = w.question_id AND s.k = w.k + 1),
@@ -542,10 +585,16 @@ def traces(spark, sf) -> DataFrame:
     return retrieve.retrieve(c.questions, c.documents, c.products, c.document_products, c.chunks, c.unique_facts, nfkc=False)
 
 
-@query("r16_contexts")
+CONTEXT = """named AS (SELECT a.question_id, list_concat(coalesce(f.x, []), coalesce(c.x, [])) AS x, array_to_string(list_concat(['검색된 지식그래프 사실'], list_concat(coalesce(f.t, []), list_concat([chr(10) || '연결된 원문 청크'], coalesce(c.t, [])))), chr(10) || chr(10)) AS raw
+  FROM asked a LEFT JOIN (SELECT question_id, list(line ORDER BY pos) AS t, list('F:' || id || chr(1) || 'F:' || nr ORDER BY pos) AS x FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS nr FROM keptf) GROUP BY 1) f USING (question_id)
+  LEFT JOIN (SELECT question_id, list(block ORDER BY pos) AS t, list('C:' || id || chr(1) || 'C:' || nr ORDER BY pos) AS x FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS nr FROM keptc) GROUP BY 1) c USING (question_id)),
+context AS (SELECT question_id, len(x) AS citations, regexp_replace(list_reduce(list_prepend(raw, x), lambda t, a: replace(t, split_part(a, chr(1), 1), split_part(a, chr(1), 2))), 'C:c_[0-9a-f]+', '(연결 원문 청크 미포함)', 'g') AS context FROM named)"""
+
+
+@query("r16_contexts", sql.query("SELECT question_id, length(context) AS context_chars, sha256(context) AS context_hash, citations FROM context", *sql.FULL, ASKED, MATCH, UFACT, *RETRIEVAL, *PACK, CONTEXT))
 def r16(spark, sf):
-    """Context texts and citation maps of all questions."""
-    return traces(spark, sf).select("question_id", "context_chars", F.sha2("context", 256).alias("context_hash"), F.size("citation_map").alias("citations"))
+    """Context texts and citation maps of all questions; the SQL replaces one id after another."""
+    return traces(spark, sf).select("question_id", F.col("context_chars").cast("long").alias("context_chars"), F.sha2("context", 256).alias("context_hash"), F.size("citation_map").cast("long").alias("citations"))
 
 
 # Answers

@@ -12,14 +12,14 @@ from docgraph.sources.tables import materialized
 
 @pytest.fixture(scope="module")
 def made(spark):
-    raw = spark.createDataFrame([("가 적금/약관/document.md", "# 가 약관\n\n계약 기간은 12개월이며 우리은행이 판매한다."), ("나 적금/약관/document.md", "# 나 약관\n\n계약 기간은 24개월이며 우리은행이 판매한다.")], "relative_path string, content string")
+    raw = spark.createDataFrame([("north ferry/rules/document.md", "# North\n\nThe crossing takes 12 minutes and Harbour Line sells the tickets."), ("south ferry/rules/document.md", "# South\n\nThe crossing takes 45 minutes and Harbour Line sells the tickets.")], "relative_path string, content string")
     f = {"sources": materialized(corpus.build_sources(raw))}
     f["products"] = materialized(corpus.build_products(f["sources"]))
     f["documents"] = materialized(corpus.dedup_documents(raw))
     f["document_products"] = materialized(corpus.document_products(f["sources"]))
     f["units"] = materialized(units.document_units(f["documents"]))
     f["chunks"] = materialized(units.make_chunks(f["units"]))
-    reply = json.dumps({"facts": [{"type": "Rule", "name": "계약  기간", "units": ["U1", "U1"], "entities": [{"type": "Organization", "name": "우리은행"}, {"type": "Concept", "name": "없는 말"}]}]}, ensure_ascii=False)
+    reply = json.dumps({"facts": [{"type": "Rule", "name": "time  of crossing", "units": ["U1", "U1"], "entities": [{"type": "Organization", "name": "Harbour Line"}, {"type": "Concept", "name": "No Such Line"}]}]}, ensure_ascii=False)
     responses = f["chunks"].select("chunk_id", F.lit(reply).alias("raw_text"), F.lit(False).alias("possibly_truncated"))
     good, f["errors"] = extract.validate_extractions(materialized(responses), f["chunks"])
     f["facts"] = materialized(extract.assemble_facts(good, f["chunks"], f["units"]))
@@ -32,7 +32,7 @@ def made(spark):
 def test_facts(made):
     rows = made["facts"].collect()
     assert made["errors"].count() == 0 and len(rows) == 2
-    assert all(r["name"] == "계약 기간" and len(r["unit_ids"]) == 1 and [e["name"] for e in r["entities"]] == ["우리은행"] and len(r["rejected_entities"]) == 1 for r in rows)
+    assert all(r["name"] == "time of crossing" and len(r["unit_ids"]) == 1 and [e["name"] for e in r["entities"]] == ["Harbour Line"] and len(r["rejected_entities"]) == 1 for r in rows)
 
 
 def test_graph_is_valid_and_round_trips(made, spark, tmp_path):
@@ -46,9 +46,9 @@ def test_graph_is_valid_and_round_trips(made, spark, tmp_path):
 
 
 def test_scoped_retrieval(made, spark):
-    q = spark.createDataFrame([("q1", "가 적금의 계약 기간은?")], "question_id string, question string")
+    q = spark.createDataFrame([("q1", "How long does the north ferry take?")], "question_id string, question string")
     r = retrieve.retrieve(q, made["documents"], made["products"], made["document_products"], made["chunks"], made["unique"]).first()
-    assert r["matched_products"] == ["가 적금"] and "12개월" in r["context"] and "24개월" not in r["context"]
+    assert r["matched_products"] == ["north ferry"] and "12 minutes" in r["context"] and "45 minutes" not in r["context"]
     assert r["fact_ids"] and r["chunk_ids"] and set(r["citation_map"]) == {"F:1", "C:1"}
 
 

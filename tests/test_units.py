@@ -7,16 +7,16 @@ from docgraph.functions.text import cut_text
 from docgraph.operators import corpus, units
 from docgraph.sources import files
 
-PAGE = """# 우대 조건
+PAGE = """# Opening hours
 
 <!-- page: 2 -->
-급여 이체 6개월 이상인 고객에게 적용한다.
-둘째 줄도 같은 문단이다.
+The ferry runs every day from April.
+In winter it runs on Sundays only.
 
-<table><tr><th>항목</th><th>값</th></tr><tr><td>기간</td><td>12개월</td></tr></table>
+<table><tr><th>pier</th><th>fare</th></tr><tr><td>North</td><td>4</td></tr></table>
 
-## 해지
-중도해지 시 제외한다."""
+## Lost property
+Ask at the kiosk."""
 
 
 def test_rowspan_is_carried():
@@ -49,11 +49,11 @@ def test_row_texts():
 def test_units_pages_headings_offsets():
     got = units.parse_units("title", PAGE, 1700)
     assert [u[2] for u in got] == [2] * len(got)
-    assert got[0][1] == "우대 조건" and got[0][0].startswith("급여 이체") and "\n" in got[0][0]
+    assert got[0][1] == "Opening hours" and got[0][0].startswith("The ferry") and "\n" in got[0][0]
     table = [u for u in got if u[5] is not None]
     assert len(table) == 2 and all(PAGE[u[3] : u[4]].startswith("<table>") for u in table)
     # a heading line directly followed by text is a paragraph and sets no heading
-    assert got[-1][0].startswith("## 해지") and got[-1][1] == "우대 조건"
+    assert got[-1][0].startswith("## Lost property") and got[-1][1] == "Opening hours"
     assert all(0 <= u[3] < u[4] <= len(PAGE) for u in got)
 
 
@@ -75,11 +75,11 @@ def test_chunks_hold_every_unit_once_and_repeat(spark):
 
 
 def test_exact_dedup_keeps_both_products(spark):
-    raw = spark.createDataFrame([("가 적금/약관/document.md", "# 공통\n본문"), ("나 적금/약관/document.md", "# 공통\n본문")], "relative_path string, content string")
+    raw = spark.createDataFrame([("harbour/rules/document.md", "# Shared\nOne text."), ("island/rules/document.md", "# Shared\nOne text.")], "relative_path string, content string")
     s = corpus.build_sources(raw)
     assert s.count() == 2 and corpus.dedup_documents(raw).count() == 1 and corpus.build_products(s).count() == 2
     assert corpus.document_products(s).count() == 2
-    assert corpus.dedup_documents(raw).first()["title"] == "공통"
+    assert corpus.dedup_documents(raw).first()["title"] == "Shared"
 
 
 def test_read_corpus(spark, tmp_path):
@@ -91,12 +91,12 @@ def test_read_corpus(spark, tmp_path):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("한  글\u001c x ",), ("ＡＢＣ 적금!",)], "t string")
+    df = spark.createDataFrame([("한  글\u001c x ",), ("ＡＢＣ 나무!",)], "t string")
     assert [r[0] for r in df.select(text.normalize_ws("t")).collect()][0] == "한 글 x"
-    assert [r[0] for r in df.select(text.match_key("t")).collect()][1] == "abc적금"
-    one = spark.createDataFrame([('<think>no {"a":1}</think>```json\n{"correct": false}\n```', 'draft {"answer":"a","citations":["[C:1]"]} then ```{"answer":"b","citations":["[C:2]"]}```')], "j string, a string")
+    assert [r[0] for r in df.select(text.match_key("t")).collect()][1] == "abc나무"
+    one = spark.createDataFrame([('<think>no {"a":1}</think>```json\n{"open": [1, 2]}\n```', 'draft {"answer":"a","citations":["[C:1]"]} then ```{"answer":"b","citations":["[C:2]"]}```')], "j string, a string")
     r = one.select(text.extract_json_object("j").alias("j"), text.last_answer_object("a").alias("a")).first()
-    assert r["j"] == '{"correct": false}' and '"b"' in r["a"] and "[C:2]" in r["a"]
+    assert r["j"] == '{"open": [1, 2]}' and '"b"' in r["a"] and "[C:2]" in r["a"]
     quotes = spark.createDataFrame([('"x"',), ('["a", {"quote": "b"}, {"text": "c"}]',), ("{}",)], "e string")
     assert [r[0] for r in quotes.select(text.evidence_quote("e")).collect()] == ["x", "a\nb\nc", ""]
     low, high = spark.range(1).select(text.wilson_interval(F.lit(108), F.lit(120)).alias("w")).first()["w"]
