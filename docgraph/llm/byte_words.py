@@ -119,11 +119,27 @@ def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return (total[n:] - total[:-n]) * powers(INVERSE, len(total) - n) + np.uint64(n + seed)
 
 
-def terms_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, term hash) of all terms, in slices; terms are lower-case runs of letters and digits."""
+def terms_of(texts: list[str | None], beginnings: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, term hash) of all terms, in slices; terms are lower-case runs of letters and digits.
+
+    beginnings adds the first so many letters of every longer term, as terms of their own kind.
+    """
     for data, begin, number in slices([(t or "").lower().encode(errors="replace") for t in texts]):
         start, end = term_spans(data)
-        yield number[np.searchsorted(begin, start, side="right") - 1], span_hashes(running_sums(data), start, end)
+        total, owner = running_sums(data), number[np.searchsorted(begin, start, side="right") - 1]
+        owners, hashes = [owner], [span_hashes(total, start, end)]
+        if beginnings:
+            lead = (data & 0xC0) != 0x80
+            place, count = np.flatnonzero(lead), np.cumsum(lead, dtype=np.int64)
+            first, size = count[start] - 1, count[end - 1] - count[start] + 1
+            for n in beginnings:
+                some = size > n
+                owners.append(owner[some])
+                hashes.append(mix(span_hashes(total, start[some], place[first[some] + n]) + GOLD))
+            order = np.argsort(np.concatenate(owners), kind="stable")
+            yield np.concatenate(owners)[order], np.concatenate(hashes)[order]
+        else:
+            yield owner, hashes[0]
 
 
 class Numbers:

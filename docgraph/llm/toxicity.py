@@ -16,10 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .byte_words import Numbers, terms_of
 from .common import with_fields, written
 
-#: Bound of the labelled examples, chosen by a hash of their id. All their terms are indexed.
+#: Bound of the labelled examples, chosen by a hash of their id.
 MAX_EXAMPLES = 20_000
-#: Neighbours that vote: this many times the root of the number of examples; nearest ones that are named as evidence.
-VOTERS, EVIDENCE = 2.5, 15
+#: Beside whole words, the first so many letters of longer ones are terms: rude stems go on in many ways.
+BEGINNINGS = (4, 5, 6, 7)
+#: A term counts if this share of the examples has it, or the root of their number, whichever is less. Rarer ones make texts differ without telling how.
+LEAST_SHARE = 0.02
+#: Neighbours that may vote, in roots of the number of examples; the votes about the examples decide. Nearest ones that are named as evidence.
+VOTERS, EVIDENCE = (0.5, 1.0, 2.0, 4.0), 15
 #: Examples in a block, terms of most examples that are kept as dense rows with block maxima, queries searched in step.
 BLOCK, COMMON, STEP = 64, 512, 256
 #: Groups of examples with like common terms; blocks hold neighbours of one group, which makes their bounds tight.
@@ -219,7 +223,7 @@ def sampled_labels(labels: DataFrame, label: str, ok: Column, most: int = MAX_EX
 def counted(texts: list[str | None], numbers: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(text number, term numbers, their counts) of every text that has a known term; the terms are sorted."""
     late: list[np.ndarray] = []
-    for owner, h in terms_of(texts):
+    for owner, h in terms_of(texts, BEGINNINGS):
         term = numbers.of(h)
         late.append((owner[term >= 0] << 32) | term[term >= 0])
         if not len(owner):
@@ -249,7 +253,7 @@ def hashed_terms(examples: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             mine = [np.empty(0, np.uint64) for _ in texts]
-            for owner, h in terms_of(texts):
+            for owner, h in terms_of(texts, BEGINNINGS):
                 cut = np.searchsorted(owner, np.arange(len(texts) + 1))
                 for i in np.unique(owner):
                     mine[i] = np.r_[mine[i], h[cut[i] : cut[i + 1]]]
@@ -260,6 +264,36 @@ def hashed_terms(examples: DataFrame) -> DataFrame:
     return examples.select("doc_id", "y", "text").mapInArrow(run, with_fields(examples.select("doc_id", "y").schema, "h binary, c binary"))
 
 
+def frequent_terms(made: DataFrame, least: int) -> np.ndarray:
+    """Sorted hashes of the terms that at least so many examples of hashed_terms() have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    found = made.select("h").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def with_terms(made: DataFrame, terms: np.ndarray) -> DataFrame:
+    """hashed_terms() without the terms that aren't in the sorted terms."""
+    shared = made.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(shared.value)
+        for batch in batches:
+            out: tuple[list[bytes], list[bytes]] = [], []
+            for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                h, c = np.frombuffer(h, dtype=np.uint64), np.frombuffer(c, dtype=np.uint32)
+                some = numbers.of(h) >= 0
+                out[0].append(h[some].tobytes())
+                out[1].append(c[some].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.binary()) for x in out]], names=["doc_id", "y", "h", "c"])
+
+    return made.select("doc_id", "y", "h", "c").mapInArrow(run, made.select("doc_id", "y", "h", "c").schema)
+
+
 def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents; partial counts per partition."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -351,16 +385,20 @@ def collected(made: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
     """Learn from at most `most` labelled documents that ok() lets through; document frequencies come from all documents.
 
-    Every term (run of letters and digits, lower case) of the examples counts. Equal texts among the examples count once (the greatest label
-    holds). What comes to the driver is bounded by most: the examples' terms, their counts and document frequencies. The
-    calibration is fitted on the votes about every example by all others. Null and empty texts have no terms; examples
-    like that set the prior. No usable labels, or an empty table: the prior is all there is. Extra columns are not read.
+    Terms are runs of letters and digits in lower case, and the first letters of longer ones (BEGINNINGS), if enough examples have
+    them (LEAST_SHARE). Equal texts among the examples count once (the greatest label holds). What comes to the driver is bounded by
+    most: the examples' terms, their counts and document frequencies. Every example is voted on by all others; these votes
+    choose the number of voters by their calibrated loss, and fit the calibration, so no row outside ok() has a part in
+    it. Null and empty texts have no terms; examples like that set the prior. No usable labels, or an empty table: the prior is all
+    there is. Extra columns are not read.
     """
     sc = docs.sparkSession.sparkContext
     chosen = F.broadcast(sampled_labels(labels, label, ok, most))  # at most `most` rows of two numbers
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
     one = hashed_terms(rows).groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
-    made = written(one.select("doc_id", "y", "h", "c"), "toxicity-examples")
+    every = written(one.select("doc_id", "y", "h", "c"), "toxicity-hashed")
+    n = every.count()
+    made = written(with_terms(every, frequent_terms(every, math.ceil(min(LEAST_SHARE * n, math.sqrt(n))))), "toxicity-examples")
     id_type = made.schema["doc_id"].dataType.simpleString()
     ids, y, cut, terms, term, tf = collected(made)
     df, n = document_frequencies(docs, "text", terms)
@@ -368,31 +406,41 @@ def fit(docs: DataFrame, labels: DataFrame, ok: Column, label: str = "toxic", mo
     prior = float((y[bare].sum() + 0.5) / (bare.sum() + 10))
     index = BlockMaxIndex(np.log((n + 1) / np.maximum(df, 1)), cut, term, tf, y.astype(np.float64))
     del term, tf
-    k = max(1, math.ceil(VOTERS * math.sqrt(len(y))))
+    ks = [max(1, math.ceil(v * math.sqrt(len(y)))) for v in VOTERS]
     shared = sc.broadcast(Examples(terms, index, ids))
     del index
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Votes on every example by the others; terms that no other one has are unknown to them."""
+        """Votes on every example by the others, for each number of voters."""
         index, terms = shared.value.index, shared.value.terms
         at = {d: p for p, d in enumerate(shared.value.ids[index.place].tolist())}
-        df = np.bincount(index.term, minlength=len(terms))
         for batch in batches:
-            rows = [(i, y, np.searchsorted(terms, np.frombuffer(h, dtype=np.uint64)), np.frombuffer(c, dtype=np.uint32)) for i, y, h, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "y", "h", "c")), strict=True) if h]
-            queries = [(t[df[t] > 1], c[df[t] > 1].astype(np.int64)) for *_, t, c in rows]
-            found = index.search(queries, k, [at[i] for i, *_ in rows])
-            x = [votes(index.labels[p], cosine, c.sum()) for (p, cosine), (_, c) in zip(found, queries, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([y for _, y, *_ in rows], pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            rows = [(i, y, np.searchsorted(terms, np.frombuffer(h, dtype=np.uint64)), np.frombuffer(c, dtype=np.uint32).astype(np.int64)) for i, y, h, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "y", "h", "c")), strict=True) if h]
+            found = index.search([q[2:] for q in rows], max(ks), [at[q[0]] for q in rows])
+            x = [[v for k in ks for v in votes(index.labels[p[:k]], cosine[:k], q[3].sum())] for (p, cosine), q in zip(found, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([q[1] for q in rows], pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     told = made.repartition(sc.defaultParallelism, F.xxhash64("h")).mapInArrow(itself, "y int, x array<double>").toPandas()
-    weights = None
+    weights, k = None, ks[0]
     if len(told):
         x = np.array(told["x"].to_list())
         order = np.lexsort((*x.T, told["y"].to_numpy()))  # the sums of the fit don't depend on the order of the tasks
-        weights = calibrated(x[order], told["y"].to_numpy()[order].astype(float))
+        weights, k = chosen_voters(x[order], told["y"].to_numpy()[order].astype(float), ks)
     return Model(shared, id_type, k, prior, weights)
 
 
+def chosen_voters(x: np.ndarray, y: np.ndarray, ks: list[int]) -> tuple[np.ndarray, int]:
+    """(calibration, number of voters) of the least log loss; x has the three features of every number of voters side by side."""
+    best = None
+    for i, k in enumerate(ks):
+        mine = x[:, 3 * i : 3 * i + 3]
+        w = calibrated(mine, y)
+        loss = float(np.logaddexp(0, -(2 * y - 1) * (np.c_[np.ones(len(y)), mine] @ w)).mean())
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, w, k
+    return best[1:]
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with score, predicted (score >= threshold) and evidence (ids of the nearest examples), each name after prefix.
 

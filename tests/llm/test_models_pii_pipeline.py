@@ -183,12 +183,36 @@ def test_terms_of_slices_equal_plain_ones(monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
+def plain_toxic_terms(text):
+    """Words, and the first four to seven letters of longer ones."""
+    words = [x for x in plain_terms(text) if x]
+    return [*words, *("^" + x[:n] for x in words for n in (4, 5, 6, 7) if len(x) > n)]
+
+
+def test_beginnings_are_terms_of_their_own():
+    for size in (1_500_000, 40):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(byte_words.slices, "__defaults__", (size,))
+            seen, texts = {}, ["éclairs über überall abcd abcde", "", "überal abcdefghijkl"]
+            got = [[] for _ in texts]
+            for owner, h in byte_words.terms_of(texts, (4, 5, 6, 7)):
+                assert (np.diff(owner) >= 0).all()
+                for i, x in zip(owner.tolist(), h.tolist(), strict=True):
+                    got[i].append(x)
+            for want, found in zip(map(plain_toxic_terms, texts), got, strict=True):
+                assert len(want) == len(found)
+                seen.setdefault("all", []).append((Counter(want).most_common(), Counter(found).most_common()))
+            names = Counter(x for t in texts for x in plain_toxic_terms(t))
+            hashes = Counter(x for g in got for x in g)
+            assert sorted(names.values()) == sorted(hashes.values()) and len(names) == len(hashes)
+
+
 def test_toxicity_equals_brute_force(labelled, spark, docs):
     d, l = labelled
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.fit(d.select("doc_id", "text"), l, ~held)
     texts = {r["doc_id"]: r["text"] for r in d.collect()}
-    bags = {i: Counter(x for x in plain_terms(t) if x) for i, t in texts.items()}
+    bags = {i: Counter(plain_toxic_terms(t)) for i, t in texts.items()}
     told = {}
     for i, _, y in l.collect():
         if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
@@ -197,15 +221,17 @@ def test_toxicity_equals_brute_force(labelled, spark, docs):
     for i in sorted(told):
         first.setdefault(tuple(sorted(bags[i].items())), i)
     df = Counter(x for b in bags.values() for x in b)
-    known = {x for i in first.values() for x in bags[i]}
+    held_by = Counter(x for i in first.values() for x in bags[i])
+    known = {x for x, c in held_by.items() if c >= math.ceil(min(0.02 * len(first), math.sqrt(len(first))))}
 
     def unit(b):
         w = {x: (1 + math.log(c)) * math.log((len(texts) + 1) / df[x]) for x, c in b.items() if x in known}
-        norm = math.sqrt(sum(v * v for v in w.values()))
+        norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
         return {x: v / norm for x, v in w.items()}
 
     vectors = {i: unit(bags[i]) for i in first.values()}
-    k = math.ceil(2.5 * math.sqrt(len(vectors)))
+    k = model.k
+    assert k in [math.ceil(v * math.sqrt(len(vectors))) for v in (0.5, 1, 2, 4)]
     rows = {r["doc_id"]: r for r in toxicity.scored(d, model).collect()}
     for i in range(0, 600, 7):
         q = unit(bags[i])
