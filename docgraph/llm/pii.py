@@ -201,11 +201,24 @@ def discovered(found: DataFrame) -> DataFrame:
         if not more:
             break
     told = all_.where("not over").join(known.select("value", F.col("k").alias("kind_no"), "score"), "value").select("doc_id", "h", "start", "end", F.col("kind_no").alias("k"), "score").distinct()
-    # of overlapping discoveries the surest stays, then the longest, then the first
+    return surest(told)
+
+
+def surest(told: DataFrame) -> DataFrame:
+    """(doc_id, h, extra) of told(doc_id, h, start, end, k, score): of overlapping spans the surest stays, then the longest, then the first.
+
+    Spans that overlap one another, if over others, form a group; groups are told by one running maximum along the text, and
+    a span is compared with those of its group only. So the work grows with the spans of a text, not with their square.
+    """
+    along = Window.partitionBy("doc_id", "h").orderBy("start", "end", "k")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    first = told.withColumn("first", F.when(F.col("start") < reach, 0).otherwise(1))
+    grouped = first.withColumn("g", F.sum("first").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), (F.col("start") - F.col("end")).alias("b"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("k").alias("k"))))
     kept_type = "array<struct<start:int,k:int,end:int>>"
     keep = F.aggregate("o", F.array().cast(kept_type), lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"))))))
-    return told.groupBy("doc_id", "h").agg(order.alias("o")).select("doc_id", "h", keep.alias("extra"))
+    each = grouped.groupBy("doc_id", "h", "g").agg(order.alias("o")).select("doc_id", "h", keep.alias("e"))
+    return each.groupBy("doc_id", "h").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("extra"))
 
 
 def _tagged(kind: str, number: int) -> Column:

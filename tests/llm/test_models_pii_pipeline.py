@@ -124,6 +124,23 @@ def sparse_rows(rng, n, terms, most):
     return [(t, rng.integers(1, 6, len(t))) for t in found]
 
 
+def test_surest_of_overlapping_spans(spark):
+    rng = np.random.default_rng(5)
+    told = []
+    for doc in range(40):
+        spans = {(int(a), int(a + n)) for a, n in zip(rng.integers(0, 120, 30), rng.integers(1, 25, 30), strict=True)}
+        told += [(doc, 7, a, b, int(rng.integers(4)), float(rng.choice([0.8, 0.9]))) for a, b in spans]
+    told += [(99, 1, 10 * i, 10 * i + 9, 0, 0.9) for i in range(20_000)]
+    want = {}
+    for doc, _, a, b, k, score in sorted(told, key=lambda t: (t[0], -t[5], t[2] - t[3], t[2], t[3], t[4])):
+        mine = want.setdefault(doc, [])
+        if doc == 99 or not any(x < b and y > a for x, _, y in mine):
+            mine.append((a, k, b))
+    df = spark.createDataFrame(told, "doc_id long, h long, start int, end int, k int, score double")
+    got = {r["doc_id"]: [tuple(x) for x in r["extra"]] for r in pii.surest(df).collect()}
+    assert got == {doc: sorted(spans) for doc, spans in want.items()}
+
+
 @pytest.mark.parametrize(("terms", "most", "k"), [(60, 9, 10), (5000, 200, 40), (3, 3, 7)])
 def test_block_max_search_is_exact(terms, most, k):
     rng = np.random.default_rng(3)
