@@ -43,6 +43,16 @@ def f2(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.match_key("text").alias("k"))
 
 
+WIDE = "abcdefghijklmnopqrstuvwxyz0123456789", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９"
+
+
+@query("f2_key_of_wide_letters", f"SELECT doc_id, sha256({sql.KEY.format('nfc_normalize(text)')}) AS k FROM documents")
+def f2_wide(spark, sf):
+    """Texts whose letters and digits are made full-width, and whose accents are set apart: the key's NFKC takes both back."""
+    wide = F.translate(F.lower("text"), *WIDE)
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.match_key(F.replace(wide, F.lit("é"), F.lit("e\u0301"))), 256).alias("k"))
+
+
 @query("f3_f4_ids", f"SELECT page_id, sha256(url) AS content, {sql.ident('s', sql.j('url'))} AS source_id, {sql.ident('u', sql.j('url'), 'page_id::VARCHAR')} AS unit_id FROM pages")
 def f3(spark, sf):
     url = F.col("url")
@@ -236,6 +246,24 @@ def e4(spark, sf):
     return corpus_of(spark, sf).errors
 
 
+@query("e4_every_rule", sql.query("""SELECT chunk_id, reason FROM (SELECT chunk_id, CASE right(chunk_id, 1) WHEN '0' THEN 'truncated' WHEN '1' THEN 'no_json' WHEN '2' THEN 'facts_not_list' WHEN '3' THEN 'bad_type' WHEN '4' THEN 'empty_name' WHEN '5' THEN 'bad_unit'
+  WHEN '6' THEN 'entities_not_list' WHEN '7' THEN CASE WHEN length(text) > 250 THEN 'empty_result' END WHEN '8' THEN 'bad_unit' WHEN '9' THEN 'truncated' WHEN 'a' THEN 'bad_type' END AS reason FROM chunks) WHERE reason IS NOT NULL""", *sql.CUT))
+def e4b(spark, sf):
+    """Every rule is broken by some chunks' responses; three break several, so the first fact, and in it the first rule, decides."""
+    c = corpus_of(spark, sf)
+    fact = '{"type": "%s", "name": "%s", "units": ["%s"], "entities": %s}'
+    good = fact % ("Rule", "n", "U1", "[]")
+    of = lambda *facts: '{"facts": [' + ", ".join(facts) + "]}"
+    replies = {"1": "no answer", "2": '{"facts": "none"}', "3": of(good, fact % ("Opinion", "n", "U1", "[]")), "4": of(fact % ("Rule", " ", "U1", "[]")), "5": of(fact % ("Rule", "n", "U99999", "[]")), "6": of(fact % ("Rule", "n", "U1", '"x"')), "7": of()}
+    replies |= {"8": of(fact % ("Rule", "n", "U0", "[]"), fact % ("Opinion", "n", "U1", "[]")), "9": "no answer", "a": of(fact % ("Opinion", "", "U0", '"x"'))}
+    mark = F.substring("chunk_id", -1, 1)
+    raw_text = F.lit(of(good))
+    for digit, reply in replies.items():
+        raw_text = F.when(mark == digit, reply).otherwise(raw_text)
+    responses = c.chunks.select("chunk_id", raw_text.alias("raw_text"), mark.isin("0", "9").alias("possibly_truncated"))
+    return extract.validate_extractions(responses, c.chunks)[1]
+
+
 @query("e5_e7_facts", sql.query("SELECT fact_id, type, name, sha256(statement) AS statement_hash, [unit_id] AS unit_ids, document_id, chunk_id, fact_pos::INT AS fact_pos FROM fact", *sql.FULL))
 def e5(spark, sf):
     return corpus_of(spark, sf).facts.select("fact_id", "type", "name", F.sha2("statement", 256).alias("statement_hash"), "unit_ids", "document_id", "chunk_id", "fact_pos")
@@ -303,6 +331,13 @@ def g6(spark, sf):
     return graph.check_foreign_keys(c.nodes.where("type <> 'Product'"), c.edges, c.units)
 
 
+@query("g6_every_rule", sql.query("SELECT CASE WHEN type IN ('HAS_CHUNK', 'ASSERTS') THEN 'edge_source' ELSE 'edge_target' END AS rule, id FROM edges WHERE type IN ('HAS_CHUNK', 'ASSERTS', 'ABOUT_PRODUCT', 'VERSION_OF') UNION ALL SELECT 'unit_document', unit_id FROM units", *sql.FULL))
+def g6b(spark, sf):
+    """Without products and documents, edges lack their source or their target, and units their document."""
+    c = corpus_of(spark, sf)
+    return graph.check_foreign_keys(c.nodes.where("type not in ('Product', 'Document')"), c.edges, c.units)
+
+
 @query("g8_graph_counts", sql.query("""SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type
   UNION ALL SELECT 'total', 'facts', count(DISTINCT fact_id) FROM fact UNION ALL SELECT 'total', 'units', count(*) FROM units""", *sql.FULL))
 def g8(spark, sf):
@@ -329,6 +364,14 @@ def g11(spark, sf):
     return graph.provenance_coverage(c.unique_facts, c.edges)
 
 
+@query("g11_partial_coverage", sql.query("SELECT facts, supported, supported / facts AS coverage FROM (SELECT count(DISTINCT fact_id) AS facts, count(DISTINCT CASE WHEN c.ordinal > 0 THEN fact_id END) AS supported FROM fact JOIN chunks c USING (chunk_id))", *sql.FULL))
+def g11b(spark, sf):
+    """Without the support of every document's first chunk."""
+    c = corpus_of(spark, sf)
+    first = c.chunks.where("ordinal = 0").select(F.col("chunk_id").alias("target"), F.lit("SUPPORTED_BY").alias("type"))
+    return graph.provenance_coverage(c.unique_facts, c.edges.join(first, ["target", "type"], "left_anti"))
+
+
 def _validated(c: Corpus, **changed: DataFrame) -> DataFrame:
     frames = {"documents": c.documents, "sources": c.sources, "units": c.units, "chunks": c.chunks, "facts": c.unique_facts, "nodes": c.nodes, "edges": c.edges}
     return validate.validate_graph(**(frames | changed))
@@ -702,14 +745,16 @@ def grams(x: str, n: int) -> str:
     return f"list_transform(range(1, length({x}) - {n - 2}), lambda i: substr({x}, i, {n}))"
 
 
-ENDS = f"""ev AS (SELECT item_id AS id, {sql.KEY.format('text')} AS k FROM benchmark), tx AS (SELECT doc_id % 40 AS id, {sql.KEY.format('text')} AS k FROM documents),
+ENDS = f"""ev AS (SELECT item_id AS id, {sql.KEY.format('text')} AS k FROM benchmark), tx AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS id, {sql.KEY.format('text')} AS k FROM documents),
 eg AS (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM ev WHERE length(k) >= 2), tg AS (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM tx WHERE length(k) >= 2)"""
 
 
 @query("v7_evidence_coverage", sql.query("SELECT id, round(count(tg.g) / count(*), 6) AS coverage FROM eg LEFT JOIN tg USING (id, g) GROUP BY id", ENDS))
 def v7(spark, sf):
-    e = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit(0).alias("n"), F.col("text").alias("evidence"))
-    t = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("id"), "text")
+    """Documents are dealt to the benchmark's items; all of both tables take part."""
+    b = table(spark, sf, "benchmark")
+    e = b.select(F.col("item_id").alias("id"), F.lit(0).alias("n"), F.col("text").alias("evidence"))
+    t = table(spark, sf, "documents").select((F.col("doc_id") % b.count()).alias("id"), "text")
     return evaluate.evidence_coverage(e, t, nfkc=False).select("id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -770,12 +815,16 @@ def v12(spark, sf):
 # Audit
 
 
-@query("a1_quote_coverage", f"""SELECT id, round(count(b.g) / count(*), 6) AS coverage FROM (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) a
-  LEFT JOIN (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format("regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g')")} AS k FROM pages)) b USING (id, g) GROUP BY id""")
+BARE = "regexp_replace({}, '</?[A-Za-z][^>]*>', ' ', 'g')"
+
+
+@query("a1_quote_coverage", f"""SELECT id, round(count(b.g) / count(*), 6) AS coverage FROM (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT page_id AS id, {sql.KEY.format(BARE.format('html'))} AS k FROM pages)) a
+  LEFT JOIN (SELECT DISTINCT id, unnest({grams('k', 2)}) AS g FROM (SELECT doc_id % (SELECT count(*) FROM pages) AS id, {sql.KEY.format(BARE.format('text'))} AS k FROM documents)) b USING (id, g) GROUP BY id""")
 def a1(spark, sf):
+    """Pages as quotes, looked for in the documents that are dealt to them."""
     p = table(spark, sf, "pages")
     e = p.select(F.col("page_id").alias("id"), F.lit(0).alias("n"), F.col("html").alias("evidence"))
-    t = p.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    t = table(spark, sf, "documents").select((F.col("doc_id") % p.count()).alias("id"), "text")
     return report.quote_coverage(e, t, unescape=False, nfkc=False).select("id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -784,12 +833,13 @@ def a2(spark, sf):
     return report.duplicate_statements(corpus_of(spark, sf).facts)
 
 
-@query("a3_literal_checks", f"SELECT id, term, contains(ck, {sql.KEY.format('term')}) AS hit FROM (SELECT DISTINCT item_id AS id, unnest(string_split(text, ' ')[1:4]) AS term FROM benchmark) JOIN (SELECT doc_id AS id, {sql.KEY.format('text')} AS ck FROM documents) USING (id)")
+@query("a3_literal_checks", f"SELECT id, term, contains(ck, {sql.KEY.format('term')}) AS hit FROM (SELECT DISTINCT doc_id AS id, unnest(string_split(url, '/')) AS term FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)) JOIN (SELECT doc_id AS id, {sql.KEY.format('text')} AS ck FROM documents) USING (id)")
 def a3(spark, sf):
-    """The first words of a benchmark item, looked for in the document of the same number."""
-    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.slice(F.split("text", " "), 1, 4).alias("evidence_terms"))
-    contexts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
-    return report.literal_checks(cases, contexts, nfkc=False).select("id", F.explode("checks").alias("term", "hit"))
+    """The parts of a page's address, looked for in every document that is dealt to the page."""
+    p = table(spark, sf, "pages")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
+    cases = d.join(p, F.col("id") % p.count() == F.col("page_id")).select("id", F.split("url", "/").alias("evidence_terms"))
+    return report.literal_checks(cases, d, nfkc=False).select("id", F.explode("checks").alias("term", "hit"))
 
 
 @query("a4_generation_stats", """SELECT stage, calls, tokens, seconds, peak_memory FROM (SELECT l_returnflag AS stage, count(*) AS calls, sum(l_linenumber)::BIGINT AS tokens FROM lineitem GROUP BY 1)
