@@ -55,6 +55,14 @@ def test_words_are_forgotten_beyond_the_bound(library, vocabulary):
         assert encoder.block([t])[0] == b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids)
 
 
+def test_every_code_point(library, vocabulary):
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1 {c}{c}b {c}" for c in signs[a : a + 8192]) for a in range(0, len(signs), 8192)]
+    encoder = bpe.Encoder(bpe.Vocabulary(vocabulary))
+    for t in texts:
+        assert encoder.block([t])[0] == b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids)
+
+
 def test_other_vocabularies_are_refused():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
         bpe.Vocabulary(f.read())
