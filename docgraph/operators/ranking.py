@@ -43,7 +43,7 @@ class Words:
         return [w for w in _WORD.findall(text.lower()) if len(w) > 1]
 
     def terms(self, word: str) -> list[str]:
-        return ["w:" + word, *("g:" + word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1))]
+        return ["w:" + word, *["g:" + word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]]
 
 
 @dataclass(frozen=True)
