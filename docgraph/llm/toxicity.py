@@ -85,7 +85,7 @@ class BlockMaxIndex:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_ready": False}
 
     def _row_of(self) -> np.ndarray:
-        row = np.full(len(self.idf), -1)
+        row = np.full(len(self.idf), -1, np.int32)
         row[self.common] = np.arange(len(self.common))
         return row
 
@@ -117,9 +117,11 @@ class BlockMaxIndex:
         self._dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))
         del dense, row
         self._most = np.ascontiguousarray(self._dense.max(axis=2).T)
-        rest = np.flatnonzero(~some)
+        rest = np.flatnonzero(~some).astype(np.int32)
+        del some
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self._doc, self._w = doc[rest].astype(np.int64), w[rest]
+        self._doc, self._w = doc[rest], w[rest]
+        del doc, w
         self._start = np.r_[0, np.cumsum(np.bincount(self.term[rest], minlength=len(self.idf)))]
         self._query = np.zeros(len(self.idf))
         self._ready = True
