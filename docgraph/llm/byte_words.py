@@ -8,8 +8,8 @@ import numpy as np
 
 from .common import mix
 
-#: Bytes of text that are held as arrays at once; a longer text goes by pieces, cut at a blank.
-SLICE_BYTES = 1_500_000
+#: Bytes of text that are held as arrays at once; a longer text goes by pieces, cut at a blank. Bytes without a blank that stay together.
+SLICE_BYTES, LONGEST = 250_000, 1_500_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 BASE = 0x5851F42D4C957F2D
@@ -68,8 +68,8 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def slices(coded: list[bytes], size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(data, begin, number) of slices of the coded texts: bytes, where texts begin in them, which texts these are.
 
-    Texts are set apart by blanks. A text longer than a slice comes in several, cut behind a blank, or anywhere in a run of so
-    many bytes without one.
+    Texts are set apart by blanks. A text longer than a slice comes in several, cut behind a blank, or anywhere in a run of
+    LONGEST bytes without one.
     """
     parts: list[bytes] = []
     numbers: list[int] = []
@@ -84,7 +84,8 @@ def slices(coded: list[bytes], size: int = SLICE_BYTES) -> Iterator[tuple[np.nda
         while at < len(text) or at == 0:
             end = len(text)
             if end - at > size:
-                end = text.rfind(b" ", at, at + size) + 1 or at + size
+                most = at + max(size, LONGEST)
+                end = text.rfind(b" ", at, at + size) + 1 or text.find(b" ", at + size, most) + 1 or min(len(text), most)
             if held + end - at > size and parts:
                 yield packed()
                 parts, numbers, held = [], [], 0

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, forest, mix, shingle_hashes, with_fields, words_of, written
+from .common import WordHashes, connected_components, forest, mix, parts, shingle_hashes, with_fields, words_of, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 4 coordinates: a pair at similarity 0.8 is missed by all bands with a chance of 3e-6.
 BANDS, ROWS = 24, 4
 #: Characters of text whose shingles are held at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 #: Sets of a group that a task holds of each of two shards, about.
 GROUP_ROWS = 4_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +111,7 @@ def band_keys(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         number = np.arange(1, bands + 1, dtype=np.uint64) * _GOLD
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 sets = [weighted_shingles(t, hashes, n, counts) for t in texts[a:b]]
@@ -134,7 +134,7 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 sets = [np.unique(shingle_hashes(hashes.of(words_of(t)), n)) for t in texts[a:b]]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .byte_words import Numbers, terms_of
-from .common import with_fields, written
+from .common import PART_ROWS, parts, with_fields, written
 
 #: Bound of the labelled examples, chosen by a hash of their id.
 MAX_EXAMPLES = 20_000
@@ -103,26 +103,31 @@ class BlockMaxIndex:
 
     def prepare(self) -> None:
         """Postings and dense rows, made where they are used and not sent along."""
-        n, width = len(self.labels), self.blocks * BLOCK
+        n, size = len(self.labels), len(self.idf)
         self._row, self._log = self._row_of(), np.r_[0.0, 1 + np.log(np.arange(1, int(self.tf.max(initial=0)) + 1))]
-        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.cut))
-        w = np.empty(len(doc), np.float32)
-        for a in range(0, len(doc), 1 << 20):
-            at = slice(a, a + (1 << 20))
-            w[at] = self._log[self.tf[at]] * self.idf[self.term[at]] * self.inverse[doc[at]]
-        row = self._row[self.term]
-        some = row >= 0
-        dense = np.zeros((width, len(self.common)), np.float32)
-        dense[doc[some], row[some]] = w[some]
-        self._dense = np.ascontiguousarray(dense.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))
-        del dense, row
+        chunks = [(a, min(n, a + PART_ROWS)) for a in range(0, n, PART_ROWS)]
+        held = np.zeros(size, np.int64)
+        for a, b in chunks:
+            held += np.bincount(self.term[self.cut[a] : self.cut[b]], minlength=size)
+        held[self.common] = 0
+        self._start = np.r_[0, np.cumsum(held)]
+        self._dense = np.zeros((self.blocks, len(self.common), BLOCK), np.float32)
+        self._doc, self._w = np.empty(self._start[-1], np.int32), np.empty(self._start[-1], np.float32)
+        free = self._start[:-1].copy()
+        for a, b in chunks:
+            at = slice(self.cut[a], self.cut[b])
+            term, doc = self.term[at], np.repeat(np.arange(a, b, dtype=np.int32), np.diff(self.cut[a : b + 1]))
+            w = (self._log[self.tf[at]] * self.idf[term] * self.inverse[doc]).astype(np.float32)
+            row = self._row[term]
+            some = row >= 0
+            self._dense[doc[some] // BLOCK, row[some], doc[some] % BLOCK] = w[some]
+            rest = np.flatnonzero(~some)
+            rest = rest[np.argsort(term[rest], kind="stable")]
+            many = np.bincount(term[rest], minlength=size)
+            place = spans(free, many)
+            self._doc[place], self._w[place] = doc[rest], w[rest]
+            free += many
         self._most = np.ascontiguousarray(self._dense.max(axis=2).T)
-        rest = np.flatnonzero(~some).astype(np.int32)
-        del some
-        rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self._doc, self._w = doc[rest], w[rest]
-        del doc, w
-        self._start = np.r_[0, np.cumsum(np.bincount(self.term[rest], minlength=len(self.idf)))]
         self._query = np.zeros(len(self.idf))
         self._ready = True
 
@@ -255,7 +260,7 @@ def hashed_terms(examples: DataFrame) -> DataFrame:
     """examples(doc_id, y, text) as (doc_id, y, h, c): distinct terms as sorted hashes and their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(2).to_pylist()
             mine = [np.empty(0, np.uint64) for _ in texts]
             for owner, h in terms_of(texts, BEGINNINGS):
@@ -306,7 +311,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(shared.value)
         df = np.zeros(len(shared.value) + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             df[-1] += batch.num_rows
             for _, term, _ in counted(batch.column(0).to_pylist(), numbers):
                 df[term] += 1
@@ -359,10 +364,12 @@ def scores(texts: list[str | None], examples: Examples, k: int, prior: float, we
                 evidence[i] = examples.ids[index.place[at[:EVIDENCE]]].tolist()
         asked.clear()
 
-    for query in counted(list(one), examples.numbers()):
-        asked.append(query)
-        if len(asked) == STEP:
-            answer()
+    distinct = list(one)
+    for a in range(0, len(distinct), PART_ROWS):
+        for i, terms, n in counted(distinct[a : a + PART_ROWS], examples.numbers()):
+            asked.append((a + i, terms, n))
+            if len(asked) == STEP:
+                answer()
     answer()
     return score[same], [evidence[i] for i in same.tolist()]
 
