@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import INVERSE, powers, run_hashes, running_sums, span_hashes, whole_texts
-from .common import mix, with_fields, written
+from .common import mix, parts, with_fields, written
 from .suffix_groups import common_prefixes, suffix_array
 
 #: Length of a repeated string, of an anchor, and of a named block, in bytes.
 LENGTH, GRAM, BLOCK = 400, 64, 16
 #: Distinct neighbourhoods of anchors that one task sorts, about; more of one anchor go by the windows themselves.
 SHARD_ROWS, MOST_OF_ANCHOR = 3_000, 8_000
-_SLICE = 1_000_000
+_SLICE = 250_000
 _PLACE = np.uint64(2**24 - 1)
 #: Words of a passage that is reported beside, and the hash bits that keep its anchors apart from those of bytes.
 PASSAGE = 51
@@ -101,7 +101,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     schema = with_fields(docs.select("doc_id").schema, "c binary, n_bytes long, worded boolean, fps array<long>, times array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             found: list[list[np.ndarray]] = [[] for _ in texts]
             for i, h, *_ in anchors_of(texts, length, gram):
@@ -129,7 +129,7 @@ def neighbourhoods(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             twice = batch.column(3).to_pylist()
             found: dict[tuple[int, bytes], list] = {}
@@ -267,7 +267,7 @@ def window_starts(sets: DataFrame, length: int, block: int = BLOCK) -> DataFrame
     whole = length // block - 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for i, (at, snip) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 for first in range(at % block, len(snip) - whole * block + 1, block):
@@ -276,7 +276,7 @@ def window_starts(sets: DataFrame, length: int, block: int = BLOCK) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["fp", "s", "first", "key"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for i, (first, at, snip) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 for x in range(max(0, first - block + 1), min(first, len(snip) - length) + 1):
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     joined = rows.select("doc_id", "text", text_name("text").alias("c")).join(hits.hint("merge"), "c", "left").select("doc_id", "text", "twice", "starts", F.coalesce("passage", F.lit(False)).alias("passage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             found = [kept_bytes(*x, length) for x in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))

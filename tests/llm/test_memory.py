@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from docgraph.llm import byte_words, common, toxicity
+from docgraph.llm import byte_words, common, suffix_dedup, toxicity
 
 
 def peak_of(work) -> tuple[float, float]:
@@ -68,3 +68,15 @@ def test_batches_go_by_parts():
     got = list(common.parts(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
     assert [x.num_rows for x in got] == [512, 512, 276, 3]
     assert [v for x in got for v in x.column(0).to_pylist()] == [*range(1300), 0, 1, 2]
+
+
+def test_anchors_of_many_texts_are_found_in_little_memory():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 2000, dtype=np.uint8).tobytes() for _ in range(1500)]  # 3 MB
+    suffix_dedup.powers(suffix_dedup.INVERSE, 1_500_000)  # kept by the process, not counted here
+
+    def walk():
+        for _ in suffix_dedup.anchors_of(texts, 400, 64):
+            pass
+
+    assert peak_of(walk)[0] < 25
