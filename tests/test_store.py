@@ -4,10 +4,13 @@ import hashlib
 import json
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docgraph.operators import corpus, faults, graph, validate
+from docgraph.plans import catalog
 from docgraph.sources import files
 
 
@@ -91,6 +94,17 @@ def test_dataset_fingerprint_is_a_tree_of_lists(spark, n, leaf):
     assert corpus.dataset_fingerprint(rows, leaf).first()[0] == plain_fingerprint(pairs, leaf)
 
 
+@pytest.mark.parametrize("n,leaf", [(4, 4), (300, 1), (900, 1)])
+def test_one_level_of_leaves_equals_sql(spark, n, leaf):
+    """However many paths: leaves by two digits, as in the SQL of the fingerprint queries."""
+    pairs = [[f'a/{i}"é', str(i % 7)] for i in range(n)]
+    src = pa.table({"relative_path": [p for p, _ in pairs], "sha256": [h for _, h in pairs]})
+    con = duckdb.connect()
+    con.register("src", src)
+    rows = spark.createDataFrame(pairs, "relative_path string, sha256 string").repartition(3)
+    assert corpus.dataset_fingerprint(rows, leaf, levels=1).first()[0] == con.execute(catalog.hash_tree(leaf)).fetchall()[0][0]
+
+
 @pytest.fixture(scope="module")
 def valid(spark):
     """A small valid graph: two documents of two chunks of two units each, a fact on every unit."""
