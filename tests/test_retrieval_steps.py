@@ -60,4 +60,4 @@ def test_the_statements_key_is_worked_out_once(spark):
     assert [tuple(e) for e in found.first()["entities"]] == [("Concept", "beta"), ("Organization", "ALPHA")]
     assert len(found.first()["rejected_entities"]) == 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("lower(statement") == 1 and "transform(array(regexp_replace(lower(statement" in plan
+    assert plan.count("lower(statement") == 1 and "transform(array(array_join(regexp_extract_all(lower(statement" in plan
